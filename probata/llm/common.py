@@ -1,45 +1,16 @@
-"""What the operators of this subpackage share: the shared folder, lineage cuts, batching of texts."""
+"""What the operators of this subpackage share."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (local runs)."""
-    known = spark.conf.get("spark.checkpoint.dir", None)
-    if known:
-        return known
-    folder = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if folder.isDefined():
-        return folder.get()
-    own = tempfile.mkdtemp(prefix="probata-")
-    spark.sparkContext.setCheckpointDir(own)
-    return own
-
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder."""
-    spark = df.sparkSession
-    folder = shared_dir(spark)
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
-
-
-def scratch(spark: SparkSession, what: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
-
-
-def word_count(text) -> F.col:
+def word_count(text: str | Column) -> Column:
     """Number of runs of characters other than blank, tab and line ends; 0 for null."""
     return F.coalesce(F.regexp_count(F.col(text) if isinstance(text, str) else text, F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
 

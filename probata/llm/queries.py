@@ -15,6 +15,13 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(read(spark, sf_dir, "documents"))
 
 
+def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .neardup import near_duplicates
+
+    return near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES = {
+    "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op10_language_id": op10_language_id,
 }
