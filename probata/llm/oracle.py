@@ -1,3 +1,30 @@
 """DuckDB SQL for the queries that SQL can express over whole tables."""
 
-ORACLE: dict[str, str] = {}
+OP5 = r"""
+WITH d AS (
+    SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
+        md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS h
+    FROM documents
+), s AS (
+    SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS no FROM d GROUP BY source
+), w AS (
+    SELECT source, source_size, CASE (no - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS weight FROM s
+), e AS (
+    SELECT *, 3.0::DOUBLE * source_size AS lim, 3.0::DOUBLE * source_size / weight AS edge, (SELECT sum(source_size) FROM s)::DOUBLE AS total FROM w
+), l AS (
+    SELECT *, (total - coalesce(sum(lim) OVER (ORDER BY edge, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0::DOUBLE))
+        / sum(weight) OVER (ORDER BY edge, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM e
+), o AS (
+    SELECT min(edge) AS edge, arg_min(level, edge) AS level FROM l WHERE edge > level
+), t AS (
+    SELECT source, source_size, least(lim, CASE WHEN o.level IS NULL OR l.edge < o.edge THEN lim ELSE weight * o.level END) AS target FROM l, o
+), p AS (
+    SELECT doc_id, source, size, coalesce(sum(size) OVER (PARTITION BY source ORDER BY h, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begin_at FROM d
+)
+SELECT p.doc_id, p.source, p.size, t.source_size, t.target,
+    CAST(CASE WHEN p.size = 0 THEN 0 ELSE (CAST(round(t.target) AS BIGINT) // t.source_size) * p.size
+        + greatest(0, least(p.begin_at + p.size, CAST(round(t.target) AS BIGINT) % t.source_size) - p.begin_at) END AS BIGINT) AS taken
+FROM p JOIN t ON p.source IS NOT DISTINCT FROM t.source
+"""
+
+ORACLE: dict[str, str] = {"op5_source_mixing": OP5}

@@ -27,7 +27,14 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix
+
+    return mix(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op5_source_mixing": op5_source_mixing,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op10_language_id": op10_language_id,
