@@ -33,7 +33,15 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read(spark, sf_dir, "documents"))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import detect, fit
+
+    docs = read(spark, sf_dir, "documents")
+    return detect(docs, fit(docs))
+
+
 QUERIES = {
+    "op8_pii": op8_pii,
     "op5_source_mixing": op5_source_mixing,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
