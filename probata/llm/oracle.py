@@ -27,4 +27,54 @@ SELECT p.doc_id, p.source, p.size, t.source_size, t.target,
 FROM p JOIN t ON p.source IS NOT DISTINCT FROM t.source
 """
 
-ORACLE: dict[str, str] = {"op5_source_mixing": OP5}
+STEPS = 20
+
+OP1 = (
+    r"""
+WITH p AS (
+    SELECT page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+        coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path, html
+    FROM pages
+), r AS (
+    SELECT page_id, host, path, html,
+        CASE WHEN (host = 'example.org' OR host LIKE '%.example.org') AND starts_with(path, '/en/1') THEN 'example.org/en/1'
+            WHEN (host = 'example.org' OR host LIKE '%.example.org') AND starts_with(path, '/es/') THEN 'example.org/es/'
+            WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/fr/') THEN 'com/fr/'
+            WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/de/') THEN 'com/de/'
+            WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/') THEN 'org/' END AS rule
+    FROM p
+), v AS (
+    SELECT *, CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END AS ruled FROM r
+), link AS (
+    SELECT host AS src, translate(unnest(regexp_extract_all(html, '(?i)\bhref\s*=\s*["'']?\s*[a-z][a-z0-9+.-]*://([^/?#"''\s<>]*)', 1)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS dst FROM p
+), edge AS (
+    SELECT src, dst, count(*) AS n FROM link WHERE dst <> '' AND src <> '' AND src <> dst GROUP BY src, dst
+), ways AS (
+    SELECT 't' AS kind, src AS host, dst AS dest, n FROM edge UNION ALL SELECT 'd', dst, src, n FROM edge
+), w AS (
+    SELECT kind, host, dest, n::DOUBLE / sum(n) OVER (PARTITION BY kind, host) AS w FROM ways
+), shares AS (
+    SELECT host, avg(CASE WHEN ruled = 'allow' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS t FROM v WHERE host <> '' AND ruled IS NOT NULL GROUP BY host
+), raw AS (
+    SELECT 't' AS kind, host, t AS seed FROM shares WHERE t > 0 UNION ALL SELECT 'd', host, 1 - t FROM shares WHERE t < 1
+), seed AS (
+    SELECT kind, host, seed / sum(seed) OVER (PARTITION BY kind) AS seed FROM raw
+), k0 AS (SELECT kind, host, seed AS score FROM seed)"""
+    + "".join(
+        f"""
+, m{i} AS MATERIALIZED (SELECT w.kind, w.dest AS host, score * w * 0.85::DOUBLE AS got FROM k{i - 1} k JOIN w ON k.kind = w.kind AND k.host = w.host)
+, k{i} AS MATERIALIZED (SELECT kind, host, sum(got) AS score FROM (
+    SELECT * FROM m{i} UNION ALL
+    SELECT s.kind, s.host, seed * (1 - coalesce((SELECT sum(got) FROM m{i} WHERE m{i}.kind = s.kind), 0)) FROM seed s) GROUP BY kind, host)"""
+        for i in range(1, STEPS + 1)
+    )
+    + f"""
+, h AS (
+    SELECT host FROM k{STEPS} GROUP BY host
+    HAVING round(coalesce(sum(score) FILTER (WHERE kind = 'd'), 0) - coalesce(sum(score) FILTER (WHERE kind = 't'), 0), 10) > 0
+)
+SELECT page_id, v.host, path, rule, coalesce(ruled, CASE WHEN h.host IS NOT NULL THEN 'block' END, 'allow') AS verdict FROM v LEFT JOIN h ON v.host = h.host
+"""
+)
+
+ORACLE: dict[str, str] = {"op1_url_trust": OP1, "op5_source_mixing": OP5}

@@ -40,7 +40,14 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect(docs, fit(docs))
 
 
+def op1_url_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .urlrank import judge
+
+    return judge(read(spark, sf_dir, "pages"))
+
+
 QUERIES = {
+    "op1_url_trust": op1_url_trust,
     "op8_pii": op8_pii,
     "op5_source_mixing": op5_source_mixing,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
