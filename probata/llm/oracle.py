@@ -77,4 +77,16 @@ SELECT page_id, v.host, path, rule, coalesce(ruled, CASE WHEN h.host IS NOT NULL
 """
 )
 
-ORACLE: dict[str, str] = {"op1_url_trust": OP1, "op5_source_mixing": OP5}
+OP4 = (
+    """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS sha FROM pages),
+m AS (SELECT sha, max(page_id) AS best FROM p GROUP BY sha)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, """
+    + " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substr(p.sha, {1 + 5 * g}, 5) AS BIGINT) >> {shift}) & 31 AS BIGINT) + 1, 1)" for g in range(8) for shift in (15, 10, 5, 0))
+    + """ AS payload_digest,
+    CASE WHEN page_id = best THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> best THEN best END AS refers_to
+FROM p JOIN m ON p.sha = m.sha
+"""
+)
+
+ORACLE: dict[str, str] = {"op1_url_trust": OP1, "op4_warc_dictionary": OP4, "op5_source_mixing": OP5}

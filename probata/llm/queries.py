@@ -46,7 +46,17 @@ def op1_url_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(read(spark, sf_dir, "pages"))
 
 
+def op4_warc_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..session import scratch
+    from .warc import read as read_archives
+    from .warc import write
+
+    write(read(spark, sf_dir, "pages"), folder := scratch(spark, "warc"))
+    return read_archives(spark, folder, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES = {
+    "op4_warc_dictionary": op4_warc_dictionary,
     "op1_url_trust": op1_url_trust,
     "op8_pii": op8_pii,
     "op5_source_mixing": op5_source_mixing,
