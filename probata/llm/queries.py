@@ -55,7 +55,14 @@ def op4_warc_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_archives(spark, folder, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op6_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .spans import remove_repeated
+
+    return remove_repeated(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES = {
+    "op6_sentence_spans": op6_sentence_spans,
     "op4_warc_dictionary": op4_warc_dictionary,
     "op1_url_trust": op1_url_trust,
     "op8_pii": op8_pii,
