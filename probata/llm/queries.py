@@ -61,7 +61,15 @@ def op6_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op7_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import fit, score
+
+    docs = read(spark, sf_dir, "documents")
+    return score(docs, fit(docs, read(spark, sf_dir, "labels")))
+
+
 QUERIES = {
+    "op7_toxicity_chain": op7_toxicity_chain,
     "op6_sentence_spans": op6_sentence_spans,
     "op4_warc_dictionary": op4_warc_dictionary,
     "op1_url_trust": op1_url_trust,
