@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,7 +69,14 @@ def op7_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, fit(docs, read(spark, sf_dir, "labels")))
 
 
+def op3_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ann import nearest
+
+    return nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 QUERIES = {
+    "op3_cross_polytope": op3_cross_polytope,
     "op7_toxicity_chain": op7_toxicity_chain,
     "op6_sentence_spans": op6_sentence_spans,
     "op4_warc_dictionary": op4_warc_dictionary,
