@@ -185,6 +185,24 @@ def predict(docs: DataFrame, model: Prototypes, key: list[str], text: str = "tex
     return kept.mapInArrow(name, f"{schema}, lang_pred string, score double")
 
 
+def keep_identified(docs: DataFrame, model: Prototypes, text: str = "text", least: float = 0.05) -> DataFrame:
+    """The documents, with all their columns, that have a letter and a cosine of ``least`` or more with some language."""
+    spots, at = model.vectors.T.copy(), docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        space = LetterSpace(model.dims, model.seed)
+        for batch in batches:
+            good: list[bool] = []
+            for texts in chunks(batch.column(at).to_pylist()):
+                v = space.encode(texts)
+                size = np.linalg.norm(v, axis=1)
+                best = (v @ spots).max(axis=1, initial=0) / np.where(size > 0, size, 1)
+                good += (best >= least).tolist()
+            yield batch.filter(pa.array(good, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     """True where crc32 of the id as text leaves 1 modulo 3; a null id is not held out."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
