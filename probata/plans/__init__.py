@@ -1 +1,6 @@
 """Queries built from the operators, with their SQL twins."""
+
+from . import evidence
+from .registry import ORACLE, QUERIES
+
+__all__ = ["ORACLE", "QUERIES", "evidence"]
