@@ -1,6 +1,6 @@
 """Queries built from the operators, with their SQL twins."""
 
-from . import evidence
+from . import evidence, groups
 from .registry import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "evidence"]
+__all__ = ["ORACLE", "QUERIES", "evidence", "groups"]
