@@ -1,6 +1,6 @@
 """Queries built from the operators, with their SQL twins."""
 
-from . import evidence, groups
+from . import evidence, groups, lakehouse
 from .registry import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "evidence", "groups"]
+__all__ = ["ORACLE", "QUERIES", "evidence", "groups", "lakehouse"]
