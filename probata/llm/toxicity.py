@@ -144,7 +144,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         for f in range(folds):
             own = fold != f
             if own.all() or not own.any():
-                unseen[~own] = y.mean()
+                unseen[~own] = y.mean() if len(y) else 0.0
                 continue
             model = train_linear([s for s, o in zip(sets, own, strict=True) if o], earlier[own], y[own], features)
             unseen[~own] = model.scores([s for s, o in zip(sets, own, strict=True) if not o], earlier[~own])
