@@ -6,9 +6,11 @@ only if they share the sampled runs in the same order, so agreement follows edit
 of 32 sketches are candidates; they are linked if their words align with similarity 1 - edits / longer length >= 0.8.
 
 How groups stay bounded: equal texts become one class first (partial sums on each side of the shuffle). In a bucket of
-candidates every text is compared with the bucket's least text only. Texts that don't match it are then compared with
-all of their bucket, but for the pairs that the triangle inequality of edit distance rules out, so no candidate pair is
-left undecided and no group is expanded into its pairs. Classes are the connected components of the links.
+candidates every text is compared with the bucket's least text only. Texts that don't match it are sketched again, by
+two of the runs they have and that text has not, and meet in the buckets of these sketches; so texts that have but a common
+passage with the least text, and are near each other, still find each other, and texts that have but that passage in
+common don't all meet. This goes on until no bucket holds a pair that has not been compared. No group is expanded into
+its pairs and none is cut. Classes are the connected components of the links.
 
 Defined results: a null text belongs to no group (its class is its own id); empty texts are equal texts; texts without
 five words count as one run; rows with the same id share a class; words are compared in lower case. Columns that are
@@ -95,90 +97,84 @@ def order_minhash(runs: np.ndarray, seeds: np.ndarray, take: int) -> np.ndarray:
     return key.view(np.int64)
 
 
+def seeds_of(sketches: int) -> np.ndarray:
+    return mixed(np.arange(1, sketches + 1, dtype=np.uint64) * np.uint64(0xBF58476D1CE4E5B9))
+
+
 def sketch(docs: DataFrame, key: str, text: str, k: int, take: int, sketches: int) -> DataFrame:
-    """(id, sha, n, keys) of every row with a text."""
-    seeds = mixed(np.arange(1, sketches + 1, dtype=np.uint64) * np.uint64(0xBF58476D1CE4E5B9))
+    """(id, sha, keys) of every row with a text."""
+    seeds = seeds_of(sketches)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            sizes, keys = [], []
+            keys = []
             for t in batch.column(2):
                 words = t.as_py().lower().split()
                 w = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-                sizes.append(len(words))
                 keys.append(order_minhash(labelled_runs(w, k), seeds, take))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["id", "sha", "n", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.list_(pa.int64()))], ["id", "sha", "keys"])
 
     rows = docs.where(F.col(text).isNotNull()).select(F.col(key).cast("long").alias("id"), F.unhex(F.sha2(F.col(text).cast("binary"), 256)).alias("sha"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "id long, sha binary, n long, keys array<long>")
-
-
-def allowed(n: str | F.Column, m: str | F.Column, similarity: float) -> F.Column:
-    """Edits that two texts of these lengths may differ by."""
-    return F.floor(F.greatest(n, m) * F.lit(1 - similarity) + F.lit(1e-9))
+    return rows.mapInArrow(run, "id long, sha binary, keys array<long>")
 
 
-def verify(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """(a, b, edits, bound) of pairs (a, b): edits is null if they are too many, bound never exceeds their number."""
+def verify(pairs: DataFrame, texts: DataFrame, similarity: float, k: int, take: int, sketches: int) -> DataFrame:
+    """(id, center, near, keys) of pairs (id, center): whether they align; if not, the sketches of what ``id`` has besides ``center``."""
+    seeds = seeds_of(sketches)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
         for batch in batches:
-            edits, bounds = [], []
+            near, keys = [], []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
                 x, y = x.as_py().lower().split(), y.as_py().lower().split()
                 most = int(max(len(x), len(y)) * (1 - similarity) + 1e-9)
-                bound = bag_bound(x, y)
-                d = banded_distance(x, y, most) if bound <= most else None
-                edits.append(d)
-                bounds.append(d if d is not None else max(bound, most + 1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(edits, pa.int64()), pa.array(bounds, pa.int64())], ["a", "b", "edits", "bound"])
+                ok = abs(len(x) - len(y)) <= most and bag_bound(x, y) <= most and banded_distance(x, y, most) is not None
+                near.append(ok)
+                if ok:
+                    keys.append(None)
+                    continue
+                a, b = (labelled_runs(np.fromiter(map(hashes.__getitem__, w), np.uint64, len(w)), k) for w in (x, y))
+                keys.append(order_minhash(a[~np.isin(a, b)], seeds, take))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(near, pa.bool_()), pa.array(keys, pa.list_(pa.int64()))], ["id", "center", "near", "keys"])
 
     side = lambda i: texts.select(F.col("id").alias(i), F.col("text").alias(f"text_{i}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, edits long, bound long")
+    return pairs.join(side("id"), "id").join(side("center"), "center").select("id", "center", "text_id", "text_center").mapInArrow(run, "id long, center long, near boolean, keys array<long>")
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, take: int = 4, sketches: int = 32, similarity: float = 0.8) -> DataFrame:
-    """One row per document: ``key``, copy_of (least id with the same text), class_id (least id of its group), n_links (verified links of its text), is_kept."""
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, take: int = 4, sketches: int = 32, rest_take: int = 2, similarity: float = 0.8) -> DataFrame:
+    """One row per document: ``key``, copy_of (least id with the same text), class_id (least id of its group), is_kept."""
     seen = stored(sketch(docs, key, text, k, take, sketches), "omh")
-    reps = stored(seen.groupBy("sha").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("keys").alias("keys")), "omh-classes")
-
-    rows = reps.where("id is not null").select(F.explode("keys").alias("bucket"), "id", "n")
-    stars = rows.groupBy("bucket").agg(F.min(F.struct("id", "n")).alias("c"), F.count("*").alias("size")).where("size > 1").select("bucket", F.col("c.id").alias("center"), F.col("c.n").alias("center_n"))
-    members = checkpoint(rows.join(stars, "bucket").select("bucket", "id", "n", "center", "center_n"))
-    close = F.least("n", "center_n") >= F.greatest("n", "center_n") - allowed("n", "center_n", similarity)
-    first = members.where((F.col("id") != F.col("center")) & close).select(F.col("id").alias("a"), F.col("center").alias("b")).distinct()
-    first = checkpoint(first)
-    involved = members.select("id").distinct()
+    reps = stored(seen.groupBy("sha").agg(F.min("id").alias("id"), F.first("keys").alias("keys")), "omh-classes")
+
+    def starred(members: DataFrame) -> DataFrame:
+        """The pairs (id, center) of buckets with more than one text."""
+        stars = members.groupBy("bucket").agg(F.min("id").alias("center"), F.count("*").alias("size")).where("size > 1").select("bucket", "center")
+        return members.join(stars, "bucket").where("id <> center").select("id", "center").distinct()
+
+    pairs = checkpoint(starred(reps.where("id is not null").select(F.explode("keys").alias("bucket"), "id")))
     own = docs.where(F.col(text).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
+    involved = pairs.select("id").unionByName(pairs.select(F.col("center").alias("id"))).distinct()
     texts = stored(own.join(involved, "id", "left_semi").dropDuplicates(["id"]), "omh-texts")
-    judged = checkpoint(verify(first, texts, similarity))
-
-    # What doesn't match its bucket's least text meets the rest of the bucket.
-    state = members.join(judged.select(F.col("a").alias("id"), F.col("b").alias("center"), "edits", "bound"), ["id", "center"], "left")
-    state = state.withColumn("edits", F.when(F.col("id") == F.col("center"), F.lit(0).cast("long")).otherwise(F.col("edits")))
-    state = state.withColumn("bound", F.coalesce("bound", F.greatest("n", "center_n") - F.least("n", "center_n")))
-    left = state.where("edits is null").select("bucket", F.col("id").alias("a"), F.col("n").alias("an"), F.col("bound").alias("ab"))
-    other = state.where(F.col("id") != F.col("center")).select("bucket", F.col("id").alias("b"), F.col("n").alias("bn"), "edits")
-    most = allowed("an", "bn", similarity)
-    rest = left.join(other, "bucket").where(
-        (F.col("a") != F.col("b"))
-        & (F.col("edits").isNotNull() | (F.col("a") > F.col("b")))
-        & (F.abs(F.col("an") - F.col("bn")) <= most)
-        & (F.col("edits").isNull() | (F.col("ab") - F.col("edits") <= most))
-    )
-    rest = checkpoint(rest.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().join(judged, ["a", "b"], "left_anti"))
-    links = judged.where("edits is not null").select("a", "b").unionByName(verify(rest, texts, similarity).where("edits is not null").select("a", "b"))
-    links = checkpoint(links)
-
-    groups = components(links, "a", "b").select(F.col("node").alias("copy_of"), F.col("component"))
-    degree = links.select(F.explode(F.array("a", "b")).alias("copy_of")).groupBy("copy_of").agg(F.count("*").alias("n_links"))
-    of = reps.select("sha", F.col("id").alias("copy_of")).join(groups, "copy_of", "left").join(degree, "copy_of", "left")
-    known = seen.select("id", "sha").join(of, "sha")
-    out = known.select("id", "copy_of", F.coalesce("component", "copy_of").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+    done = None
+    while not pairs.isEmpty():
+        judged = checkpoint(verify(pairs, texts, similarity, k, rest_take, sketches))
+        done = judged.select("id", "center", "near") if done is None else done.unionByName(judged.select("id", "center", "near"))
+        # texts that are not near the bucket's least text meet again by what sets them apart from it
+        members = judged.where(~F.col("near")).select("id", "center", F.explode("keys").alias("key")).select(F.xxhash64("center", "key").alias("bucket"), "id")
+        pairs = checkpoint(starred(members).join(done, ["id", "center"], "left_anti"))
+
+    known = seen.select("id", "sha")
+    if done is None:
+        groups = reps.select(F.col("id").alias("copy_of"), F.col("id").alias("component")).limit(0)
+    else:
+        groups = components(done.where("near"), "id", "center").select(F.col("node").alias("copy_of"), F.col("component"))
+    known = known.join(reps.select("sha", F.col("id").alias("copy_of")).join(groups, "copy_of", "left"), "sha")
+    out = known.select("id", "copy_of", F.coalesce("component", "copy_of").alias("class_id"))
     none = docs.where(F.col(text).isNull()).select(F.col(key).cast("long").alias("id"))
-    none = none.select("id", F.col("id").alias("copy_of"), F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
-    return out.unionByName(none).select(F.col("id").alias(key), "copy_of", "class_id", "n_links", F.coalesce(F.col("id") == F.col("class_id"), F.lit(False)).alias("is_kept"))
+    none = none.select("id", F.col("id").alias("copy_of"), F.col("id").alias("class_id"))
+    return out.unionByName(none).select(F.col("id").alias(key), "copy_of", "class_id", F.coalesce(F.col("id") == F.col("class_id"), F.lit(False)).alias("is_kept"))
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
