@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructType
 
+from ..session import checkpoint
+
 BREAK = re.compile(r"(?<=[.!?])[\x20\t]+|[\x20\t]*\n\s*")
 
 
@@ -85,6 +87,7 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     rows = span_rows(docs, key, text)
     place = F.struct(F.col("id").isNull().alias("last"), F.col("id"), F.col("copy"), F.col("at"))
     first = rows.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("h1", "h2", "first")
+    first = checkpoint(first)  # with an exchange of its own the join can split the rows of a hot span
     later = rows.join(first, ["h1", "h2"]).where(~(place.eqNullSafe(F.col("first"))))
     return later.groupBy("id", "copy").agg(F.collect_set(F.struct("at", "to")).alias("ranges"))
 
