@@ -6,11 +6,11 @@ only if they share the sampled runs in the same order, so agreement follows edit
 of 32 sketches are candidates; they are linked if their words align with similarity 1 - edits / longer length >= 0.8.
 
 How groups stay bounded: equal texts become one class first (partial sums on each side of the shuffle). In a bucket of
-candidates every text is compared with the bucket's least text only. Texts that don't match it are sketched again, by
-two of the runs they have and that text has not, and meet in the buckets of these sketches; so texts that have but a common
-passage with the least text, and are near each other, still find each other, and texts that have but that passage in
-common don't all meet. This goes on until no bucket holds a pair that has not been compared. No group is expanded into
-its pairs and none is cut. Classes are the connected components of the links.
+candidates every text is compared with the bucket's least text. If any text of a bucket fails, all texts of the bucket
+are held against each other by an exact filter: texts that align well enough share so many words that, with all words
+in one order (rare ones first), their first ``floor((1 - similarity) * length) + 1`` words have one in common. Texts that
+share such a word, are of lengths that allow it and aren't linked yet are compared, so every pair of a bucket is linked
+through others, compared or ruled out. No group is cut. Classes are the connected components of the links.
 
 Defined results: a null text belongs to no group (its class is its own id); empty texts are equal texts; texts without
 five words count as one run; rows with the same id share a class; words are compared in lower case. Columns that are
@@ -32,6 +32,8 @@ from ..session import checkpoint, stored
 from .align import bag_bound, banded_distance
 
 BLOCK = 32_768
+#: Counters of word frequencies; words that share one are taken for more frequent than they are, which only changes their order.
+SLOTS = 262_144
 
 
 class WordHashes(dict):
@@ -119,52 +121,106 @@ def sketch(docs: DataFrame, key: str, text: str, k: int, take: int, sketches: in
     return rows.mapInArrow(run, "id long, sha binary, keys array<long>")
 
 
-def verify(pairs: DataFrame, texts: DataFrame, similarity: float, k: int, take: int, sketches: int) -> DataFrame:
-    """(id, center, near, keys) of pairs (id, center): whether they align; if not, the sketches of what ``id`` has besides ``center``."""
-    seeds = seeds_of(sketches)
+def verify(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """(id, center, near) of pairs (id, center): whether they align."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in batches:
-            near, keys = [], []
+            near = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
                 x, y = x.as_py().lower().split(), y.as_py().lower().split()
-                most = int(max(len(x), len(y)) * (1 - similarity) + 1e-9)
-                ok = abs(len(x) - len(y)) <= most and bag_bound(x, y) <= most and banded_distance(x, y, most) is not None
-                near.append(ok)
-                if ok:
-                    keys.append(None)
-                    continue
-                a, b = (labelled_runs(np.fromiter(map(hashes.__getitem__, w), np.uint64, len(w)), k) for w in (x, y))
-                keys.append(order_minhash(a[~np.isin(a, b)], seeds, take))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(near, pa.bool_()), pa.array(keys, pa.list_(pa.int64()))], ["id", "center", "near", "keys"])
+                most = allowed(max(len(x), len(y)), similarity)
+                near.append(abs(len(x) - len(y)) <= most and bag_bound(x, y) <= most and banded_distance(x, y, most) is not None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(near, pa.bool_())], ["id", "center", "near"])
 
     side = lambda i: texts.select(F.col("id").alias(i), F.col("text").alias(f"text_{i}"))
-    return pairs.join(side("id"), "id").join(side("center"), "center").select("id", "center", "text_id", "text_center").mapInArrow(run, "id long, center long, near boolean, keys array<long>")
+    return pairs.join(side("id"), "id").join(side("center"), "center").select("id", "center", "text_id", "text_center").mapInArrow(run, "id long, center long, near boolean")
+
+
+def allowed(n: int, similarity: float) -> int:
+    """Edits that two texts may differ by if the longer one has ``n`` words."""
+    return int(n * (1 - similarity) + 1e-9)
+
+
+def frequencies(texts: DataFrame) -> np.ndarray:
+    """How often words occur, by the lowest bits of their hashes; from 16 tasks, so that the driver gets 16 arrays of 1 MB."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, n = WordHashes(), np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            for t in batch.column(0):
+                words = t.as_py().lower().split()
+                n += np.bincount(np.fromiter((hashes[w] % SLOTS for w in words), np.int64, len(words)), minlength=SLOTS)
+        yield pa.RecordBatch.from_arrays([pa.array([n.astype(np.int32).tobytes()], pa.binary())], ["n"])
+
+    rows = texts.select("text").repartition(16).mapInArrow(run, "n binary").collect()
+    return sum((np.frombuffer(r.n, np.int32) for r in rows), np.zeros(SLOTS, np.int64))
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, take: int = 4, sketches: int = 32, rest_take: int = 2, similarity: float = 0.8) -> DataFrame:
+def rare_words(texts: DataFrame, similarity: float) -> DataFrame:
+    """(word, id, n): of every text with ``n`` words so many of the rarest that any near text has one of them among its own.
+
+    A near text lacks at most ``allowed(n)`` of the words, so one more than that can't all be missing. Words are
+    numbered among their equals, and rarity only sets the order: any order that is the same for all texts is exact.
+    Words that occur once in all texts are shared by none and left out after the choice.
+    """
+    often = frequencies(texts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            sizes, words = [], []
+            for t in batch.column(1):
+                w = t.as_py().lower().split()
+                h = np.fromiter(map(hashes.__getitem__, w), np.uint64, len(w))
+                numbered = labelled_runs(h, 1)
+                count = often[(h % np.uint64(SLOTS)).astype(np.int64)]
+                chosen = np.lexsort((numbered, count))[: allowed(len(w), similarity) + 1]
+                sizes.append(len(w))
+                words.append(numbered[chosen[count[chosen] > 1]].view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(words, pa.list_(pa.int64()))], ["id", "n", "words"])
+
+    return texts.select("id", "text").mapInArrow(run, "id long, n long, words array<long>").select(F.explode("words").alias("word"), "id", "n")
+
+
+def unlinked(judged: DataFrame, met: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (id, center) that may be near and are neither linked nor compared, of texts that met in a bucket (``met``: bucket, id, center) where one failed."""
+    failing = met.join(judged.where(~F.col("near")), ["id", "center"], "left_semi").select("bucket").distinct()
+    suspects = texts.join(met.join(failing, "bucket", "left_semi").select("id").distinct(), "id", "left_semi")
+    linked = components(judged.where("near"), "id", "center").select(F.col("node").alias("id"), "component")
+    rows = stored(rare_words(suspects, similarity).join(linked, "id", "left").withColumn("component", F.coalesce("component", "id")), "omh-words")
+    # a word within one component tells nothing new
+    open_words = rows.groupBy("word").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("word")
+    rows = checkpoint(rows.join(open_words, "word", "left_semi"))
+    other = rows.select("word", F.col("id").alias("center"), F.col("n").alias("m"), F.col("component").alias("c2"))
+    close = F.abs(F.col("n") - F.col("m")) <= F.floor(F.greatest("n", "m") * F.lit(1 - similarity) + F.lit(1e-9))
+    pairs = rows.join(other, "word").where((F.col("id") > F.col("center")) & (F.col("component") != F.col("c2")) & close)
+    return pairs.select("id", "center").distinct().join(judged, ["id", "center"], "left_anti")
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, take: int = 4, sketches: int = 32, similarity: float = 0.8) -> DataFrame:
     """One row per document: ``key``, copy_of (least id with the same text), class_id (least id of its group), is_kept."""
     seen = stored(sketch(docs, key, text, k, take, sketches), "omh")
     reps = stored(seen.groupBy("sha").agg(F.min("id").alias("id"), F.first("keys").alias("keys")), "omh-classes")
 
-    def starred(members: DataFrame) -> DataFrame:
-        """The pairs (id, center) of buckets with more than one text."""
-        stars = members.groupBy("bucket").agg(F.min("id").alias("center"), F.count("*").alias("size")).where("size > 1").select("bucket", "center")
-        return members.join(stars, "bucket").where("id <> center").select("id", "center").distinct()
-
-    pairs = checkpoint(starred(reps.where("id is not null").select(F.explode("keys").alias("bucket"), "id")))
+    members = reps.where("id is not null").select(F.explode("keys").alias("bucket"), "id")
+    stars = members.groupBy("bucket").agg(F.min("id").alias("center"), F.count("*").alias("size")).where("size > 1").select("bucket", "center")
+    met = stored(members.join(stars, "bucket").where("id <> center").select("bucket", "id", "center"), "omh-buckets")
+    pairs = checkpoint(met.select("id", "center").distinct())
     own = docs.where(F.col(text).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     involved = pairs.select("id").unionByName(pairs.select(F.col("center").alias("id"))).distinct()
     texts = stored(own.join(involved, "id", "left_semi").dropDuplicates(["id"]), "omh-texts")
     done = None
-    while not pairs.isEmpty():
-        judged = checkpoint(verify(pairs, texts, similarity, k, rest_take, sketches))
-        done = judged.select("id", "center", "near") if done is None else done.unionByName(judged.select("id", "center", "near"))
-        # texts that are not near the bucket's least text meet again by what sets them apart from it
-        members = judged.where(~F.col("near")).select("id", "center", F.explode("keys").alias("key")).select(F.xxhash64("center", "key").alias("bucket"), "id")
-        pairs = checkpoint(starred(members).join(done, ["id", "center"], "left_anti"))
+    if not pairs.isEmpty():
+        done = checkpoint(verify(pairs, texts, similarity))
+        if not done.where(~F.col("near")).isEmpty():
+            rest = checkpoint(unlinked(done, met, texts, similarity))
+            done = done.unionByName(checkpoint(verify(rest, texts, similarity)))
 
+    if done is None:
+        groups = reps.select(F.col("id").alias("copy_of"), F.col("id").alias("component")).limit(0)
+    else:
+        groups = components(done.where("near"), "id", "center").select(F.col("node").alias("copy_of"), F.col("component"))
     known = seen.select("id", "sha")
     if done is None:
         groups = reps.select(F.col("id").alias("copy_of"), F.col("id").alias("component")).limit(0)

@@ -50,6 +50,18 @@ def test_groups_are_those_of_all_pairs(spark):
     assert [got[i] for i in range(len(texts))] == brute(texts)
 
 
+def test_pairs_that_are_near_neither_to_the_least_text(spark):
+    """Excerpts of a common passage: all that two of them share is what their bucket's least text has as well."""
+    rng = random.Random(7)
+    vocab = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(900)]
+    some = lambda n: [rng.choice(vocab) for _ in range(n)]
+    passage = some(100)
+    texts = [" ".join(some(20) + passage + some(20)) for _ in range(300)]
+    texts += [" ".join(passage), " ".join(passage + some(10)), " ".join(some(40) + passage[:70]), " ".join(some(12) + passage)]
+    got = {r.doc_id: r.class_id for r in N.near_duplicates(frame(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == brute(texts)
+
+
 def test_edge_cases(spark):
     long = " ".join(f"w{i}" for i in range(40_000))
     texts = [None, None, "", "", "one two", "One  two", "one two", long, long + " more", "a " * 60, "a " * 61]
