@@ -220,9 +220,20 @@ def parity(spark, d):
 
 @query("prov_lineage", "WITH RECURSIVE e AS (SELECT 'order' || o_orderkey AS child, 'customer' || o_custkey AS parent FROM orders WHERE o_orderkey <= 200 UNION ALL SELECT 'customer' || c_custkey, 'nation' || c_nationkey FROM customer UNION ALL SELECT 'nation' || n_nationkey, 'region' || n_regionkey FROM nation), up AS (SELECT child AS node, parent AS source, 1 AS depth FROM e WHERE child LIKE 'order%' UNION ALL SELECT node, parent, depth + 1 FROM up JOIN e ON e.child = up.source) SELECT node, source, depth FROM up")
 def prov_lineage(spark, d):
-    """All ancestors of orders over an edge table: joins until no edge is left, one per level."""
+    """The ancestors of the orders that the SQL twin covers; prov_lineage_all has those of all orders."""
+    return lineage(spark, d, table(spark, d, "orders").where("o_orderkey <= 200"))
+
+
+@query("prov_lineage_all")
+def prov_lineage_all(spark, d):
+    """All ancestors of all orders."""
+    return lineage(spark, d, table(spark, d, "orders"))
+
+
+def lineage(spark, d, orders):
+    """(node, source, depth): all ancestors of ``orders`` over an edge table: joins until no edge is left, one per level."""
     name = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
-    e = table(spark, d, "orders").where("o_orderkey <= 200").select(name("order", "o_orderkey").alias("child"), name("customer", "o_custkey").alias("parent"))
+    e = orders.select(name("order", "o_orderkey").alias("child"), name("customer", "o_custkey").alias("parent"))
     e = e.unionByName(table(spark, d, "customer").select(name("customer", "c_custkey").alias("child"), name("nation", "c_nationkey").alias("parent")))
     e = stored(e.unionByName(table(spark, d, "nation").select(name("nation", "n_nationkey").alias("child"), name("region", "n_regionkey").alias("parent"))), "lineage")
     level = e.where("child like 'order%'").select(F.col("child").alias("node"), F.col("parent").alias("source"), F.lit(1).alias("depth"))
