@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import PCA, IDF, CountVectorizer, StandardScaler, Tokenizer
+from pyspark.ml.feature import PCA, StandardScaler, Tokenizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -451,10 +455,41 @@ def fit_logistic(spark, d):
     return m.transform(v).groupBy("label").agg(F.count("*").alias("n"), F.count_if(F.col("prediction") == F.col("label")).alias("hits"))
 
 
+def term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, term, df, squares) of documents (lang, w): how many hold the term, and their squared counts; partial sums."""
+
+    def out() -> pa.RecordBatch:
+        cols = [pa.array([x[i] for x in sums], pa.string()) for i in (0, 1)] + [pa.array([x[i] for x in sums.values()], pa.int64()) for i in (0, 1)]
+        return pa.RecordBatch.from_arrays(cols, ["lang", "term", "df", "squares"])
+
+    sums: dict = {}
+    for batch in batches:
+        for lang, w in zip(batch.column(0), batch.column(1), strict=True):
+            lang = lang.as_py()
+            for term, n in Counter(w.as_py()).items():
+                x = sums.setdefault((lang, term), [0, 0])
+                x[0] += 1
+                x[1] += n * n
+            if len(sums) > 300_000:
+                yield out()
+                sums.clear()
+    yield out()
+
+
 @query("text_tfidf")
 def text_tfidf(spark, d):
-    """TF-IDF weights over the corpus' vocabulary: terms in use per language."""
-    t = Tokenizer(inputCol="text", outputCol="w").transform(table(spark, d, "documents").select("doc_id", "lang", "text"))
-    c = CountVectorizer(inputCol="w", outputCol="tf", vocabSize=2000, minDF=2.0).fit(t).transform(t)
-    x = IDF(inputCol="tf", outputCol="x").fit(c).transform(c)
-    return x.groupBy("lang").agg(F.count("*").alias("docs"), F.round(F.avg(F.aggregate(vector_to_array("x"), F.lit(0.0), lambda a, v: a + v * v)), 4).alias("mean_square"))
+    """TF-IDF weights over the corpus' whole vocabulary of terms in two documents or more: mean sum of squares per language.
+
+    The weight of a term is its count in the document times ln((documents + 1) / (documents with it + 1)), so the sums
+    per language need only the sums of squared counts per term and language.
+    """
+    docs = table(spark, d, "documents").select("lang", "text")
+    words = Tokenizer(inputCol="text", outputCol="w").transform(docs.where("text is not null"))
+    parts = words.select("lang", "w").mapInArrow(term_counts, "lang string, term string, df long, squares long")
+    terms = stored(parts.groupBy("term", "lang").agg(F.sum("df").alias("df"), F.sum("squares").alias("squares")), "tfidf-terms")
+    df = terms.groupBy("term").agg(F.sum("df").alias("n")).where("n >= 2")
+    sizes = docs.groupBy("lang").agg(F.count("*").alias("docs"))
+    idf = F.ln((F.col("all") + 1) / (F.col("n") + 1))
+    x = terms.join(df, "term").crossJoin(F.broadcast(docs.agg(F.count("*").alias("all")))).groupBy(F.col("lang").alias("l2")).agg(F.sum(F.col("squares") * idf * idf).alias("total"))
+    x = sizes.join(F.broadcast(x), F.col("lang").eqNullSafe(F.col("l2")), "left")
+    return x.select("lang", "docs", F.round(F.coalesce("total", F.lit(0.0)) / F.col("docs"), 4).alias("mean_square"))
