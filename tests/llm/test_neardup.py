@@ -2,6 +2,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from probata.llm import neardup as N
 from probata.llm.align import banded_distance
@@ -27,21 +28,23 @@ def frame(spark, texts):
     return spark.createDataFrame(rows, SCHEMA)
 
 
-def brute(texts):
-    root = list(range(len(texts)))
+def partition(n, links):
+    root = list(range(n))
 
     def find(x):
         while root[x] != x:
             x = root[x]
         return x
 
+    for i, j in links:
+        a, b = find(i), find(j)
+        root[max(a, b)] = min(a, b)
+    return [find(i) for i in range(n)]
+
+
+def brute(texts):
     w = [t.lower().split() for t in texts]
-    for i in range(len(texts)):
-        for j in range(i):
-            if texts[i] == texts[j] or banded_distance(w[i], w[j], int(max(len(w[i]), len(w[j])) * 0.2 + 1e-9)) is not None:
-                a, b = find(i), find(j)
-                root[max(a, b)] = min(a, b)
-    return [find(i) for i in range(len(texts))]
+    return partition(len(texts), [(i, j) for i in range(len(texts)) for j in range(i) if texts[i] == texts[j] or banded_distance(w[i], w[j], int(max(len(w[i]), len(w[j])) * 0.2 + 1e-9)) is not None])
 
 
 def test_groups_are_those_of_all_pairs(spark):
@@ -84,6 +87,63 @@ def test_repeated_rows_and_null_ids(spark):
     assert Counter(r.doc_id for r in kept) == Counter({1: 1, 2: 1, None: 1})
 
 
+def test_one_id_with_two_texts(spark):
+    """Each text is judged by itself, whatever the order of the rows."""
+    a, b = ([f"{c}{i}" for i in range(60)] for c in "ab")
+    rows = [(1, a), (1, b), (2, [*a, "x"]), (3, [*b, "y"]), (4, ["alone"] * 9), (None, [*a, "z"]), (None, ["none"] * 7)]
+    rows = [(i, " ".join(w), "", "", 1, "", "") for i, w in rows]
+    for own in (rows, rows[::-1]):
+        df = spark.createDataFrame(own, SCHEMA)
+        got = sorted(((r.doc_id, r.copy_of, r.class_id) for r in N.near_duplicates(df).collect()), key=str)
+        assert got == sorted([(1, 1, 1), (1, 1, 1), (2, 2, 1), (3, 3, 1), (4, 4, 4), (None, None, 1), (None, None, None)], key=str)
+        kept = Counter((r.doc_id, r.text[:2]) for r in N.keep_one(df).collect() if r.doc_id is not None)
+        assert set(kept) in ({(1, "a0"), (1, "b0"), (4, "al")}, {(1, "a0"), (4, "al")}, {(1, "b0"), (4, "al")})
+        assert max(kept.values()) == 1
+
+
+@pytest.mark.parametrize("similarity", [0.98, 0.95, 0.9, 0.85, 0.82, 0.8])
+@pytest.mark.parametrize("length", [60, 200, 1000])
+def test_recall_of_candidates(similarity, length):
+    """Of pairs as similar as that, nine in ten or more share a sketch, down to the least similarity that links."""
+    rng, seeds = np.random.default_rng(length), N.seeds_of(96)
+    hits = 0
+    for _ in range(100):
+        a = rng.integers(0, 2**63, length).astype(np.uint64)
+        b = a.copy()
+        b[rng.choice(length, round(length * (1 - similarity)), replace=False)] = rng.integers(0, 2**63, round(length * (1 - similarity)))
+        x, y = (N.order_minhash(N.labelled_runs(t, 5), seeds, 2) for t in (a, b))
+        hits += bool((x == y).any())
+    assert hits >= 90
+
+
+def test_blocks_are_no_cut(spark):
+    """The same classes whether the texts that met one centre are a block or many, of many lengths."""
+    rng = random.Random(11)
+    vocab = ["".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(700)]
+    some = lambda n: [rng.choice(vocab) for _ in range(n)]
+    passage = some(60)
+    texts = [" ".join(passage + some(10)) for _ in range(20)] + [" ".join(some(5 * i) + passage + some(15)) for i in range(40)]
+    texts += [" ".join(passage + some(i)) for i in range(12, 30)] + [" ".join(passage), " ".join(passage[:49])]
+    for chars in (10**9, 2000, 300):
+        got = {r.doc_id: r.class_id for r in N.near_duplicates(frame(spark, texts), block_chars=chars).collect()}
+        assert [got[i] for i in range(len(texts))] == brute(texts)
+
+
+def test_links_within_is_exact():
+    rng = random.Random(3)
+    for turn in range(60):
+        base = [rng.choice("abcdefghijklmnop") for _ in range(30)]
+        lists = [[rng.choice("abcdefghijklmnop") if rng.random() < 0.15 else w for w in base][: rng.randrange(20, 31)] for _ in range(14)] + [[], []]
+        hashes = N.WordHashes()
+        arrays = [hashes.of(" ".join(x)) for x in lists]
+        block = [i % 2 for i in range(len(lists))] if turn % 2 else [0] * len(lists)
+        links = N.links_within(arrays, list(range(len(lists))), block, 0.8)
+        near = lambda i, j: banded_distance(lists[i], lists[j], N.allowed(max(len(lists[i]), len(lists[j])), 0.8)) is not None  # noqa: E731, B023
+        assert all(near(i, j) for i, j in links)
+        every = [(i, j) for i in range(len(lists)) for j in range(i) if near(i, j) and (turn % 2 == 0 or block[i] != block[j])]
+        assert partition(len(lists), links) == partition(len(lists), every)
+
+
 def test_empty_table(spark):
     assert N.near_duplicates(frame(spark, []).limit(0)).count() == 0
 
