@@ -24,13 +24,15 @@ def session(master: str = "local[*]", **conf: str) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (local runs)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset and all runs on this machine."""
     known = spark.conf.get("spark.checkpoint.dir", None)
     if known:
         return known
     folder = spark.sparkContext._jsc.sc().getCheckpointDir()
     if folder.isDefined():
         return folder.get()
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir is unset: on a cluster it has to name a folder that driver and executors share")
     own = tempfile.mkdtemp(prefix="probata-")
     spark.sparkContext.setCheckpointDir(own)
     return own
@@ -50,6 +52,12 @@ def scratch(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a folder of scratch() that no table depends on any more."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def stored(df: DataFrame, what: str) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read again."""
     df.write.parquet(path := scratch(df.sparkSession, what))
