@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
-from ..session import checkpoint, stored
+from ..session import checkpoint, removed, scratch, stored
 from .align import bag_bound, banded_distance
 
 BLOCK = 32_768
@@ -119,8 +119,13 @@ def digest(text: str | Column) -> Column:
     return F.unhex(F.sha2((F.col(text) if isinstance(text, str) else text).cast("binary"), 256))
 
 
-def sketch(docs: DataFrame, key: str, text: str, k: int, take: int, sketches: int) -> DataFrame:
-    """(id, sha, n, chars, keys) of every row with a text: its words, characters and sketches."""
+def digests(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(id, sha, text) of every row with a text."""
+    return docs.where(F.col(text).isNotNull()).select(F.col(key).cast("long").alias("id"), digest(text).alias("sha"), F.col(text).alias("text"))
+
+
+def sketch(rows: DataFrame, k: int, take: int, sketches: int) -> DataFrame:
+    """(id, sha, n, chars, keys) of rows (id, sha, text): words, characters and sketches of the text."""
     seeds = seeds_of(sketches)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,7 +140,6 @@ def sketch(docs: DataFrame, key: str, text: str, k: int, take: int, sketches: in
                 keys.append(order_minhash(labelled_runs(w, k), seeds, take))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(chars, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["id", "sha", "n", "chars", "keys"])
 
-    rows = docs.where(F.col(text).isNotNull()).select(F.col(key).cast("long").alias("id"), digest(text).alias("sha"), F.col(text).alias("text"))
     return rows.mapInArrow(run, "id long, sha binary, n long, chars long, keys array<long>")
 
 
@@ -262,16 +266,17 @@ def unlinked(met: DataFrame, near: DataFrame, nodes: DataFrame, texts: DataFrame
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, take: int = 2, sketches: int = 96, similarity: float = 0.8, block_chars: int = BLOCK_CHARS) -> tuple[DataFrame, DataFrame]:
     """(id, sha) of every row with a text, and (sha, copy_of, class_id, class_sha) of every different text: the least ids of the text and of its class, and the least digest of the class's texts that have its least id."""
-    seen = stored(sketch(docs, key, text, k, take, sketches), "omh")
-    texts_of = seen.groupBy("sha").agg(F.min("id").alias("copy_of"), F.first("n").alias("n"), F.first("chars").alias("chars"), F.first("keys").alias("keys"))
-    nodes = stored(texts_of.withColumn("node", F.monotonically_increasing_id()), "omh-classes")  # numbers are fixed by writing them
+    spark, seen = docs.sparkSession, digests(docs, key, text)
+    texts_of = sketch(seen, k, take, sketches).groupBy("sha").agg(F.min("id").alias("copy_of"), F.first("n").alias("n"), F.first("chars").alias("chars"), F.first("keys").alias("keys"))
+    texts_of.withColumn("node", F.monotonically_increasing_id()).write.parquet(keyed := scratch(spark, "omh-keys"))  # numbers are fixed by writing them
 
-    members = nodes.select(F.explode("keys").alias("bucket"), "node")
+    members = spark.read.parquet(keyed).select(F.explode("keys").alias("bucket"), "node")
     stars = checkpoint(members.groupBy("bucket").agg(F.min("node").alias("center"), F.count("*").alias("size")).where("size > 1").select("bucket", "center"))
     met = checkpoint(members.join(stars, "bucket").where("node <> center").select("node", "center").distinct())
-    own = docs.where(F.col(text).isNotNull()).select(digest(text).alias("sha"), F.col(text).alias("text"))
+    nodes = stored(spark.read.parquet(keyed).drop("keys"), "omh-nodes")
+    removed(spark, keyed)
     involved = nodes.join(met.select("node").unionByName(met.select(F.col("center").alias("node"))).distinct(), "node", "left_semi")
-    texts = stored(own.join(involved.select("sha", "node"), "sha").dropDuplicates(["node"]).select("node", "text"), "omh-texts")
+    texts = stored(seen.select("sha", "text").join(involved.select("sha", "node"), "sha").dropDuplicates(["node"]).select("node", "text"), "omh-texts")
     size = lambda i: nodes.select(F.col("node").alias(i), F.col("n").alias(f"n_{i}"))
     close = F.abs(F.col("n_node") - F.col("n_center")) <= F.floor(F.greatest("n_node", "n_center") * F.lit(1 - similarity) + F.lit(1e-9))
     pairs = met.join(size("node"), "node").join(size("center"), "center").where(close).select("node", "center")
