@@ -1,8 +1,9 @@
 """WARC archives in dictionary-compressed Zstandard: writer, reader, and revisit records for equal payloads.
 
 An archive starts with a skippable frame that holds the dictionary; every record after it is a frame of its own, so an
-archive can be read from any record on. The dictionary is trained on a bounded sample of the pages (``sample`` of them,
-those whose id has the least hash, cut at ``sample_bytes`` each for the training only); everything is archived whole.
+archive can be read from any record on. The dictionary is trained on a bounded sample of the pages (``sample`` different
+ones, those whose id and payload have the least hash, cut at ``sample_bytes`` each for the training only): hashes are
+chosen first, and only what they stand for goes to the driver. Everything is archived whole.
 
 Of the pages with one payload of at least ``least`` bytes that with the largest id is a response record and the others
 are revisit records that refer to it; the revisit's HTTP header still has the full payload's length. Digests are found
@@ -10,8 +11,9 @@ where the pages are; only ids, digests and roles are joined, and pages meet thei
 one record per row, and of equal rows all are responses.
 
 Archives go to the folder given, which executors must be able to write: a path or URI that pyarrow's file systems know
-(local and mounted folders, hdfs, s3, gs). A task writes under a name of its own attempt and moves the file into place,
-so a task that is run again replaces its archives by the same bytes. Reading goes through Spark's binaryFile source.
+(local and mounted folders, hdfs, s3, gs). A task writes archives under names of its own attempt, and the manifest names
+those of the attempts that counted; reading goes by the manifest, through Spark's binaryFile source, so what a lost or
+repeated task left behind is never read.
 
 Defined results: a null payload is an empty one; payloads under ``least`` bytes are always responses; a page without
 an id is a response of its own; a table without rows gives no archive and no record.
@@ -32,10 +34,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import checkpoint
+
 # The magic numbers of the formats.
 DICTIONARY_FRAME = 0x184D2A5D
 FRAME = 0xFD2FB528
 NAMES = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
+#: Names of archives are broadcast up to this many.
+BROADCAST_ROWS = 500_000
 
 
 def digest(payload: bytes) -> str:
@@ -109,7 +115,11 @@ def records(archive: bytes | pa.Buffer) -> Iterator[bytes]:
 
 def train(pages: DataFrame, html: str = "html", sample: int = 1000, sample_bytes: int = 16_384, dict_bytes: int = 65_536) -> bytes:
     """A dictionary from records of ``sample`` pages; empty if there is too little to train on."""
-    rows = pages.select(F.col("page_id"), F.col("url"), F.substring(F.col(html), 1, sample_bytes).alias("html")).orderBy(F.xxhash64("page_id"), "page_id", "html").limit(sample).collect()
+    own = F.xxhash64(F.col("page_id"), F.col(html))
+    chosen = pages.groupBy(own.alias("__h")).agg(F.count("*").alias("n")).select("__h").orderBy(F.xxhash64("__h"), "__h").limit(sample)
+    rows = pages.withColumn("__h", own).join(F.broadcast(chosen), "__h")
+    rows = rows.select("__h", "page_id", "url", F.substring(F.col(html), 1, sample_bytes).alias("html")).dropDuplicates(["__h"]).collect()
+    rows.sort(key=lambda r: r["__h"])
     samples = [record(r.page_id, r.url, p := (r.html or "").encode("utf-8", "surrogatepass"), hashlib.sha1(p).digest(), None, "") for r in rows]
     total = sum(map(len, samples))
     try:
@@ -121,7 +131,8 @@ def train(pages: DataFrame, html: str = "html", sample: int = 1000, sample_bytes
 def roles(pages: DataFrame, html: str = "html", least: int = 0) -> DataFrame:
     """(page_id, sha, refers_to) of the pages whose payload a page with a larger id has too; sha is the digest in hex."""
     seen = pages.select(F.col("page_id").cast("long"), *_payload(html)).distinct()
-    best = seen.where(F.col("n") >= least).groupBy("sha").agg(F.max("page_id").alias("refers_to"))
+    best = seen.where(F.col("n") >= least).groupBy("sha").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("pages"))
+    best = checkpoint(best.where("pages > 1").select("sha", "refers_to"))  # with an exchange of its own the join can split a hot payload
     return seen.join(best, "sha").where("page_id < refers_to").select("page_id", "sha", "refers_to")
 
 
@@ -142,12 +153,9 @@ def write(pages: DataFrame, folder: str, html: str = "html", least: int = 0, arc
         head, out, made, size = dictionary_frame(words), [], [], 0
 
         def close() -> tuple[str, int, int]:
-            name = f"part-{task.partitionId():06d}-{len(made):04d}.warc.zst"
-            with store.open_output_stream(own := f"{root}/.{name}.{task.taskAttemptId()}") as f:
+            name = f"part-{task.partitionId():06d}-{task.taskAttemptId()}-{len(made):04d}.warc.zst"
+            with store.open_output_stream(f"{root}/{name}", compression=None) as f:
                 f.write(head + b"".join(out))
-            if store.get_file_info(f"{root}/{name}").type != fs.FileType.NotFound:
-                store.delete_file(f"{root}/{name}")
-            store.move(own, f"{root}/{name}")
             return name, len(out), size + len(head)
 
         for batch in batches:
@@ -199,6 +207,11 @@ def read(spark: SparkSession, folder: str, payloads: bool = True) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, record_id string" + ", payload binary" * payloads
-    if spark.read.parquet(f"{folder}-manifest").isEmpty():
+    listed = spark.read.parquet(f"{folder}-manifest").select(F.col("file").alias("__file"))
+    archives = listed.count()
+    if not archives:
         return spark.createDataFrame([], schema)
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder).select("content").mapInArrow(run, schema)
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder)
+    listed = F.broadcast(listed) if archives <= BROADCAST_ROWS else listed
+    found = found.join(listed, F.regexp_extract("path", r"[^/]+$", 0) == F.col("__file"), "left_semi")
+    return found.select("content").mapInArrow(run, schema)
