@@ -1,15 +1,16 @@
 """Substring dedup by sliding sentence spans.
 
-From every sentence a span runs on, and back, over consecutive sentences until it has three sentences and ten words, or
-25 words; so every sentence of a passage that holds a span is in a span inside the passage. Spans are hashed with 128
-bits and joined over all documents; of a span that occurs more than once, the first occurrence (least document id, then
-position) stays, and the sentences that any other occurrence covers are removed.
+From every sentence a span runs on, and back, over consecutive sentences until it has ``least`` (two) of them and
+``words`` (20) words; so every sentence of a passage that holds a span is in a span inside the passage, and no sentence
+is a span by itself. Spans are hashed with 128 bits and joined over all documents; of a span that occurs more than once,
+the first occurrence (least document id, then position) stays, and the sentences that any other occurrence covers are
+removed.
 
 Sentences end after . ! or ? and a blank, or at a line end; what separates them goes with the sentence before. Spans
 compare words in lower case. Counts and first occurrences are partial sums on both sides of the shuffle; the join back
 is one of plain rows, whose hot keys Spark splits.
 
-Defined results: a null text stays null and an empty one empty; a text that is removed whole is left empty; rows with one
+Defined results: a text of one sentence, or of fewer words than a span has, has no span; a null text stays null and an empty one empty; a text that is removed whole is left empty; rows with one
 id are told apart by their text, and equal rows each count as one document, cut alike; a row without an id comes after
 those that have one; columns that are not named are left alone.
 """
@@ -28,7 +29,8 @@ from pyspark.sql.types import LongType, StructType
 
 from ..session import checkpoint
 
-BREAK = re.compile(r"(?<=[.!?])[\x20\t]+|[\x20\t]*\n\s*")
+#: Blanks are matched from their start only, so a long run of them takes one pass.
+BREAK = re.compile(r"(?<=[.!?])[\x20\t]+(?:\n\s*)?|(?<![\x20\t])[\x20\t]*\n\s*")
 
 
 def sentences(text: str) -> list[tuple[int, int]]:
@@ -43,7 +45,7 @@ def sentences(text: str) -> list[tuple[int, int]]:
     return out
 
 
-def spans(text: str, most: int = 3, words: int = 10, enough: int = 25) -> list[tuple[int, int, bytes]]:
+def spans(text: str, least: int = 2, words: int = 20) -> list[tuple[int, int, bytes]]:
     """(first sentence, sentence after the last, hash) of the distinct spans of a text."""
     parts = [text[s:e].lower().split() for s, e in sentences(text)]
     sizes = list(map(len, parts))
@@ -54,7 +56,7 @@ def spans(text: str, most: int = 3, words: int = 10, enough: int = 25) -> list[t
             while 0 <= j < len(parts):
                 n += sizes[j]
                 count += sizes[j] > 0
-                if n >= enough or count >= most and n >= words:
+                if count >= least and n >= words:
                     found.add((i, j + 1) if step > 0 else (j, i + 1))
                     break
                 j += step
