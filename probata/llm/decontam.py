@@ -10,10 +10,13 @@ the last) and of its answer (the last sentence; of an item of one sentence, its
 to occur in the passage.
 
 The index is built on the driver from one shard of the items at a time, and shipped with the tasks; the number of shards
-follows from the characters of all items, so its size is bounded whatever the benchmark's.
+follows from the characters of all items, so its size is bounded whatever the benchmark's. Frequencies, the number of
+items and their mean length are those of all items, so a score doesn't depend on the shards; if there are several, the
+result of each is written before the next index is built, so the driver holds one at a time.
 
-Defined results: null and empty texts have no passage; items without a word are never found; an item in several passages
-of a text counts once, at its best; rows that repeat are judged each by itself; other columns pass through unread.
+Defined results: null and empty texts have no passage; items without a word are never found; an item without an id is
+found like any other, with a null item_id; an item in several passages of a text counts once, at its best; rows that
+repeat are judged each by itself, items too; other columns pass through unread.
 """
 
 from __future__ import annotations
@@ -30,15 +33,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stored
+
 BLOCK = 2
 EPS = 1e-9
-EDGE = re.compile(r"^\W+|\W+$")
+INNER = re.compile(r"\w(?:.*\w)?", re.DOTALL)
 DENSE = 4_000_000
 
 
 def core(token: str) -> str:
     """A token in lower case without what is no letter, digit or underscore at its ends."""
-    return EDGE.sub("", token.lower())
+    m = INNER.search(token.lower())  # from the first to the last, which takes one pass each way
+    return m[0] if m else ""
 
 
 def words_of(text: str) -> list[str]:
@@ -104,21 +110,21 @@ class _Numbers(dict):
 
 
 class Index:
-    """Inverted BM25 index of items (id, text)."""
+    """Inverted BM25 index of items (id, text); ``every`` has the figures of all items if these are a shard of them: how many hold a term, their number and mean length."""
 
-    def __init__(self, items: list[tuple[int, str]], k1: float = 1.2, b: float = 0.75) -> None:
+    def __init__(self, items: list[tuple[int | None, str]], k1: float = 1.2, b: float = 0.75, every: tuple[dict[str, int], int, float] | None = None) -> None:
         bags = [(i, Counter(words_of(t)), t) for i, t in items]
-        bags = sorted(((i, c, t) for i, c, t in bags if c), key=lambda x: (sum(x[1].values()), x[0]))
+        bags = sorted(((i, c, t) for i, c, t in bags if c), key=lambda x: (sum(x[1].values()), x[0] is None, x[0] or 0, x[2]))
         self.ids = [i for i, _, _ in bags]
         self.checks = [tuple(map(check_of, parts(t))) for _, _, t in bags]
         self.longest = max((sum(c.values()) for _, c, _ in bags), default=0)
-        found = Counter(w for _, c, _ in bags for w in c)
-        self.terms = {w: n for n, w in enumerate(sorted(found))}
-        mean = sum(sum(c.values()) for _, c, _ in bags) / max(1, len(bags))
+        own = Counter(w for _, c, _ in bags for w in c)
+        self.terms = {w: n for n, w in enumerate(sorted(own))}
+        found, count, mean = every or (own, len(bags), sum(sum(c.values()) for _, c, _ in bags) / max(1, len(bags)))
         lists: list[list[tuple[int, float]]] = [[] for _ in self.terms]
         for n, (_, c, _) in enumerate(bags):
             length = sum(c.values())
-            raw = {w: math.log(1 + (len(bags) - found[w] + 0.5) / (found[w] + 0.5)) * f * (k1 + 1) / (f + k1 * (1 - b + b * length / mean)) for w, f in c.items()}
+            raw = {w: math.log(1 + (count - found[w] + 0.5) / (found[w] + 0.5)) * f * (k1 + 1) / (f + k1 * (1 - b + b * length / mean)) for w, f in c.items()}
             total = sum(raw.values())
             for w, x in raw.items():
                 lists[self.terms[w]].append((n, x / total))
@@ -210,16 +216,35 @@ class Index:
                 q, a = ((len(x & inside[size]) / len(x) if x else 0.0) for size, x in self.checks[item])
                 if q >= question - EPS and a >= answer - EPS:
                     best[item] = max(best.get(item, (0,)), (self.ids[item], round(score, 6), round(q, 6), round(a, 6)), key=lambda x: x[1:])
-        return sorted(best.values())
+        return [best[item] for item in sorted(best)]
+
+
+def item_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(shard, words, length) of items (shard, t): the distinct words and how many there are."""
+    for batch in batches:
+        words = [words_of(t.as_py()) for t in batch.column(1)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([sorted(set(w)) for w in words], pa.list_(pa.string())), pa.array(list(map(len, words)), pa.int64())], ["shard", "words", "length"])
 
 
-def indexes(benchmark: DataFrame, key: str, text: str, shard_chars: int) -> Iterator[Index]:
-    """An index for each shard of the items; a shard has about ``shard_chars`` characters."""
-    rows = benchmark.where(F.col(text).isNotNull() & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
+def indexes(benchmark: DataFrame, key: str, text: str, shard_chars: int) -> tuple[int, Iterator[Index]]:
+    """How many shards there are, and an index for each; a shard has about ``shard_chars`` characters."""
+    rows = benchmark.where(F.col(text).isNotNull()).select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
     shards = int((rows.agg(F.sum(F.length("t"))).first()[0] or 0) // shard_chars) + 1
-    for s in range(shards):
-        own = rows.where(F.pmod(F.xxhash64("k"), F.lit(shards)) == s) if shards > 1 else rows
-        yield Index(sorted((r.k, r.t) for r in own.collect()))
+    collected = lambda df: [(r.k, r.t) for r in df.collect()]
+    if shards == 1:
+        return 1, iter([Index(collected(rows))])
+    rows = stored(rows.withColumn("shard", F.pmod(F.xxhash64("k", "t"), F.lit(shards)).cast("int")), "items")
+    bags = stored(rows.select("shard", "t").mapInArrow(item_words, "shard int, words array<string>, length long").where("length > 0"), "item-words")
+    total = bags.agg(F.count("*").alias("n"), F.avg("length").alias("mean")).first()
+    words = bags.select("shard", F.explode("words").alias("w"))
+    often = stored(words.groupBy("w").agg(F.count("*").cast("long").alias("n")), "item-terms")
+
+    def each() -> Iterator[Index]:
+        for s in range(shards):
+            own = often.join(words.where(F.col("shard") == s).select("w").distinct(), "w", "left_semi").collect()  # the words of one shard
+            yield Index(collected(rows.where(F.col("shard") == s)), every=({r.w: r.n for r in own}, total.n, total.mean or 1.0))
+
+    return shards, each()
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", least: float = 0.6, window: int = 128, question: float = 0.6, answer: float = 0.6, shard_chars: int = 16_000_000) -> DataFrame:
@@ -240,8 +265,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
 
     rows = docs.where(F.col(text).isNotNull()).select(F.col(key).cast("long").alias(key), F.col(text).alias("__text"))
     out = None
-    for index in indexes(benchmark, item, item_text, shard_chars):
+    shards, every = indexes(benchmark, item, item_text, shard_chars)
+    for index in every:
         found = rows.mapInArrow(finder(index), f"`{key}` long, item_id long, score double, question_overlap double, answer_overlap double")
+        found = stored(found, "contaminated") if shards > 1 else found
         out = found if out is None else out.unionByName(found)
     return out
 
@@ -257,6 +284,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
 
         return run
 
-    for index in indexes(benchmark, item, item_text, shard_chars):
+    shards, every = indexes(benchmark, item, item_text, shard_chars)
+    for index in every:
         docs = docs.mapInArrow(dropper(index, docs.columns.index(text)), docs.schema)
+        docs = stored(docs, "clean") if shards > 1 else docs
     return docs
