@@ -34,13 +34,14 @@ class LetterSpace:
     dims: int = 1024
     seed: int = 7
     most_rows: int = 32_768
+    most_letters: int = 4096
     letters: dict[int, int] = field(default_factory=lambda: {0: 0})
     rows: dict[int, int] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         self.number = np.full(0x110000, -1, np.int32)  # code point -> letter number, 0 for what is no letter
-        self.base = np.zeros((64, self.dims), np.float32)
-        self.base[0] = self._random(0)
+        self.codes = [0]  # letter number -> code point
+        self.base: dict[int, np.ndarray] = {}  # vectors of letters, as many as most_letters
         self.table = np.full(1 << 21, -1, np.int32)  # trigram of letter numbers under 128 -> row
         self.vectors = np.zeros((1024, self.dims), np.float32)
 
@@ -55,12 +56,27 @@ class LetterSpace:
                 continue
             low = ord(ch.lower()[0])
             if low not in self.letters:
-                n = self.letters[low] = len(self.letters)
-                if n >= len(self.base):
-                    self.base = np.concatenate([self.base, np.zeros_like(self.base)])
-                self.base[n] = self._random(low)
+                self.letters[low] = len(self.letters)
+                self.codes.append(low)
             self.number[c] = self.letters[low]
 
+    def _of_letters(self, numbers: np.ndarray) -> np.ndarray:
+        """The vectors of letters; those not kept are made again."""
+        kinds, back = np.unique(numbers, return_inverse=True)
+        out = np.empty((len(kinds), self.dims), np.float32)
+        for i, n in enumerate(kinds.tolist()):
+            v = self.base.get(n)
+            if v is None:
+                v = self._random(self.codes[n])
+                if len(self.base) < self.most_letters:
+                    self.base[n] = v
+            out[i] = v
+        return out[back]
+
+    def _bound(self, keys: np.ndarray) -> np.ndarray:
+        a, b, c = keys >> 42, keys >> 21 & 0x1FFFFF, keys & 0x1FFFFF
+        return np.roll(self._of_letters(a), 2, axis=1) * np.roll(self._of_letters(b), 1, axis=1) * self._of_letters(c)
+
     def _learn_trigrams(self, keys: np.ndarray) -> None:
         if len(self.rows) + len(keys) > self.most_rows:  # a bound on memory, not on what is counted
             self.rows.clear()
@@ -68,10 +84,12 @@ class LetterSpace:
         first = len(self.rows)
         while len(self.vectors) < first + len(keys):
             self.vectors = np.concatenate([self.vectors, np.zeros_like(self.vectors)])
-        a, b, c = keys >> 42, keys >> 21 & 0x1FFFFF, keys & 0x1FFFFF
-        self.vectors[first : first + len(keys)] = np.roll(self.base[a], 2, axis=1) * np.roll(self.base[b], 1, axis=1) * self.base[c]
+        for lo in range(0, len(keys), 2048):
+            part = keys[lo : lo + 2048]
+            self.vectors[first + lo : first + lo + len(part)] = self._bound(part)
         for i, k in enumerate(keys.tolist()):
             self.rows[k] = first + i
+        a, b, c = keys >> 42, keys >> 21 & 0x1FFFFF, keys & 0x1FFFFF
         small = (a < 128) & (b < 128) & (c < 128)
         self.table[(a << 14 | b << 7 | c)[small]] = np.arange(first, first + len(keys), dtype=np.int32)[small]
 
@@ -112,10 +130,9 @@ class LetterSpace:
         return counts.astype(np.float32) @ self.vectors[:width]
 
     def _encode_wide(self, keys: np.ndarray, back: np.ndarray, doc: np.ndarray, out: np.ndarray) -> np.ndarray:
-        for lo in range(0, len(keys), 4096):
-            part = keys[lo : lo + 4096]
-            a, b, c = part >> 42, part >> 21 & 0x1FFFFF, part & 0x1FFFFF
-            v = np.roll(self.base[a], 2, axis=1) * np.roll(self.base[b], 1, axis=1) * self.base[c]
+        for lo in range(0, len(keys), 2048):
+            part = keys[lo : lo + 2048]
+            v = self._bound(part)
             inside = (back >= lo) & (back < lo + len(part))
             counts = np.bincount(doc[inside] * len(part) + back[inside] - lo, minlength=len(out) * len(part)).reshape(len(out), len(part))
             out += counts.astype(np.float32) @ v
