@@ -2,9 +2,7 @@
 
 OP5 = r"""
 WITH d AS (
-    SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-        md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS h
-    FROM documents
+    SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents
 ), s AS (
     SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS no FROM d GROUP BY source
 ), w AS (
@@ -18,20 +16,36 @@ WITH d AS (
     SELECT min(edge) AS edge, arg_min(level, edge) AS level FROM l WHERE edge > level
 ), t AS (
     SELECT source, source_size, least(lim, CASE WHEN o.level IS NULL OR l.edge < o.edge THEN lim ELSE weight * o.level END) AS target FROM l, o
+), b AS (
+    SELECT source, source_size, target, greatest(1, least(8192, CAST(floor(target / 4096) AS BIGINT))) AS block FROM t WHERE source_size > 0 AND target > 0
+), n AS (
+    SELECT *, (source_size + block - 1) // block AS per_epoch FROM b
+), c AS (
+    SELECT *, greatest(1, CAST(round(target / source_size * per_epoch) AS BIGINT)) AS slots FROM n
+), h AS (
+    SELECT *, CAST(sum(slots) OVER (ORDER BY source NULLS LAST) AS BIGINT) AS hi, CAST(sum(slots) OVER () AS BIGINT) AS every FROM c
+), r AS (
+    SELECT source, source_size, block, per_epoch, CAST(floor((hi - slots)::DOUBLE / every * 2147483648.0::DOUBLE) AS BIGINT) AS lo_edge,
+        CAST(floor(hi::DOUBLE / every * 2147483648.0::DOUBLE) AS BIGINT) AS hi_edge FROM h
+), x AS (
+    SELECT (i + 1) % 2147483648 * 1327217885 % 2147483648 AS point FROM range((SELECT coalesce(max(every), 0) FROM h)) q(i)
+), k AS (
+    SELECT source, any_value(source_size) AS source_size, any_value(block) AS block, any_value(per_epoch) AS per_epoch, count(*) AS dealt
+    FROM r JOIN x ON x.point >= r.lo_edge AND x.point < r.hi_edge GROUP BY source
+), g AS (
+    SELECT source, dealt // per_epoch AS whole, least(source_size, dealt % per_epoch * block) AS rest FROM k
 ), p AS (
-    SELECT doc_id, source, size, coalesce(sum(size) OVER (PARTITION BY source ORDER BY h, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begin_at FROM d
+    SELECT doc_id, source, size, coalesce(sum(size) OVER (PARTITION BY source ORDER BY md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || size), size
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begin_at FROM d
 )
 SELECT p.doc_id, p.source, p.size, t.source_size, t.target,
-    CAST(CASE WHEN p.size = 0 THEN 0 ELSE (CAST(round(t.target) AS BIGINT) // t.source_size) * p.size
-        + greatest(0, least(p.begin_at + p.size, CAST(round(t.target) AS BIGINT) % t.source_size) - p.begin_at) END AS BIGINT) AS taken
-FROM p JOIN t ON p.source IS NOT DISTINCT FROM t.source
+    CAST(CASE WHEN p.size = 0 OR g.whole IS NULL THEN 0 WHEN g.whole >= 3 THEN 3 * p.size
+        ELSE g.whole * p.size + greatest(0, least(p.begin_at + p.size, g.rest) - p.begin_at) END AS BIGINT) AS taken
+FROM p JOIN t ON p.source IS NOT DISTINCT FROM t.source LEFT JOIN g ON p.source IS NOT DISTINCT FROM g.source
 """
 
-STEPS = 20
-
-OP1 = (
-    r"""
-WITH p AS (
+OP1 = r"""
+WITH RECURSIVE p AS (
     SELECT page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
         coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path, html
     FROM pages
@@ -46,7 +60,7 @@ WITH p AS (
 ), v AS (
     SELECT *, CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END AS ruled FROM r
 ), link AS (
-    SELECT host AS src, translate(unnest(regexp_extract_all(html, '(?i)\bhref\s*=\s*["'']?\s*[a-z][a-z0-9+.-]*://([^/?#"''\s<>]*)', 1)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS dst FROM p
+    SELECT host AS src, translate(unnest(regexp_extract_all(html, '(?i)\bhref\s*=\s*["'']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#"''\s<>]*)', 1)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS dst FROM p
 ), edge AS (
     SELECT src, dst, count(*) AS n FROM link WHERE dst <> '' AND src <> '' AND src <> dst GROUP BY src, dst
 ), ways AS (
@@ -59,23 +73,17 @@ WITH p AS (
     SELECT 't' AS kind, host, t AS seed FROM shares WHERE t > 0 UNION ALL SELECT 'd', host, 1 - t FROM shares WHERE t < 1
 ), seed AS (
     SELECT kind, host, seed / sum(seed) OVER (PARTITION BY kind) AS seed FROM raw
-), k0 AS (SELECT kind, host, seed AS score FROM seed)"""
-    + "".join(
-        f"""
-, m{i} AS MATERIALIZED (SELECT w.kind, w.dest AS host, score * w * 0.85::DOUBLE AS got FROM k{i - 1} k JOIN w ON k.kind = w.kind AND k.host = w.host)
-, k{i} AS MATERIALIZED (SELECT kind, host, sum(got) AS score FROM (
-    SELECT * FROM m{i} UNION ALL
-    SELECT s.kind, s.host, seed * (1 - coalesce((SELECT sum(got) FROM m{i} WHERE m{i}.kind = s.kind), 0)) FROM seed s) GROUP BY kind, host)"""
-        for i in range(1, STEPS + 1)
-    )
-    + f"""
-, h AS (
-    SELECT host FROM k{STEPS} GROUP BY host
-    HAVING round(coalesce(sum(score) FILTER (WHERE kind = 'd'), 0) - coalesce(sum(score) FILTER (WHERE kind = 't'), 0), 10) > 0
+), moved AS (
+    SELECT 0 AS step, kind, host, seed AS score FROM seed
+    UNION ALL SELECT step + 1, w.kind, dest, sum(score * w * 0.85::DOUBLE) FROM moved JOIN w ON moved.kind = w.kind AND moved.host = w.host WHERE step < 150 GROUP BY step, w.kind, dest
+), k AS (
+    SELECT kind, host, sum(score) / sum(sum(score)) OVER (PARTITION BY kind) AS score FROM moved GROUP BY kind, host
+), h AS (
+    SELECT host FROM k GROUP BY host
+    HAVING round(coalesce(sum(score) FILTER (WHERE kind = 'd'), 0) - coalesce(sum(score) FILTER (WHERE kind = 't'), 0), 8) > 0
 )
 SELECT page_id, v.host, path, rule, coalesce(ruled, CASE WHEN h.host IS NOT NULL THEN 'block' END, 'allow') AS verdict FROM v LEFT JOIN h ON v.host = h.host
 """
-)
 
 OP4 = (
     """
