@@ -88,6 +88,7 @@ REASONS = ("roi_low_confidence", "roi_high_entropy", "branch_disagreement", "lat
 class GatePolicy:
     """Thresholds of the referral gate; what lies on a threshold is retained."""
 
+    # The thresholds.
     roi_confidence: float = 0.70
     roi_entropy: float = 0.65
     latent_confidence: float = 0.50

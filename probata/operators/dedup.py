@@ -5,12 +5,15 @@ from __future__ import annotations
 import hashlib
 import random
 from collections.abc import Sequence
+from itertools import combinations
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import checkpoint
 from .graph import components
+from .ranks import places
 
 
 def exact_groups(df: DataFrame, content: str, id: str) -> DataFrame:
@@ -28,7 +31,7 @@ def conflicts(df: DataFrame, group: str, label: str) -> DataFrame:
 def without_conflicts(df: DataFrame, group: str, label: str) -> DataFrame:
     """Rows whose group has one label; the groups that have more are dropped whole."""
     bad = df.groupBy(group).agg(F.min(label).alias("a"), F.max(label).alias("b")).where("a <> b").select(group)
-    return df.join(bad, group, "left_anti")
+    return df.join(checkpoint(bad), group, "left_anti")  # with an exchange of its own the join can split a hot group
 
 
 def canonical(df: DataFrame, group: str, order: str, *columns: str) -> DataFrame:
@@ -43,32 +46,43 @@ def sign_hash(vector: str, bits: int = 60) -> Column:
     return F.aggregate(v, F.struct(F.lit(0).cast("long").alias("h"), F.lit(1).cast("long").alias("b")), lambda a, x: F.struct((a["h"] + F.when(x > 0, a["b"]).otherwise(F.lit(0).cast("long"))).alias("h"), (a["b"] * 2).alias("b")), lambda a: a["h"])
 
 
-def near_pairs(df: DataFrame, id: str, hash: str, radius: int, bits: int = 60) -> DataFrame:
-    """(a, b, distance) of rows whose hashes differ in at most ``radius`` bits, a < b.
+def near_kinds(hashes: DataFrame, radius: int, bits: int = 60) -> DataFrame:
+    """(h, h2, distance) of distinct hashes (h) that differ in at most ``radius`` bits, h < h2.
 
-    Such hashes agree in one of radius + 1 bands, so candidates come from an equi-join. Rows with equal hashes
-    are joined as one; their ids meet only where the pairs are listed.
+    Of radius + 2 bands of bits such hashes agree in two at least, so candidates come from an equi-join on pairs of bands.
     """
-    bands = radius + 1
+    bands = radius + 2
     edges = [round(i * bits / bands) for i in range(bands + 1)]
-    kinds = df.where(F.col(hash).isNotNull()).select(F.col(hash).alias("h")).distinct()
-    band = F.array(*[F.struct(F.lit(i).alias("band"), F.shiftrightunsigned("h", lo).bitwiseAND(F.lit((1 << hi - lo) - 1)).alias("piece")) for i, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False))])
-    keyed = kinds.select("h", F.explode(band).alias("k")).select("h", "k.band", "k.piece")
-    other = keyed.withColumnRenamed("h", "h2")
+    piece = lambda i: F.shiftrightunsigned("h", edges[i]).bitwiseAND(F.lit((1 << edges[i + 1] - edges[i]) - 1))
+    both = [F.struct(F.lit(n).alias("band"), F.shiftleft(piece(i), edges[j + 1] - edges[j]).bitwiseOR(piece(j)).alias("piece")) for n, (i, j) in enumerate(combinations(range(bands), 2))]
+    keyed = hashes.select("h", F.explode(F.array(*both)).alias("k")).select("h", "k.band", "k.piece")
     distance = F.bit_count(F.col("h").bitwiseXOR(F.col("h2")))
-    near = keyed.join(other, ["band", "piece"]).where((F.col("h") < F.col("h2")) & (distance <= radius)).select("h", "h2").distinct()
-    near = near.unionByName(kinds.select("h", F.col("h").alias("h2")))
-    left, right = df.select(F.col(id).alias("a"), F.col(hash).alias("h")), df.select(F.col(id).alias("b"), F.col(hash).alias("h2"))
-    both = near.join(left, "h").join(right, "h2").where("a <> b")
-    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), distance.cast("int").alias("distance")).distinct()
+    near = keyed.join(keyed.withColumnRenamed("h", "h2"), ["band", "piece"]).where((F.col("h") < F.col("h2")) & (distance <= radius))
+    return near.select("h", "h2", distance.cast("int").alias("distance")).distinct()
+
+
+def kinds(df: DataFrame, id: str, hash: str) -> DataFrame:
+    """(h, id, n): the distinct hashes, with the least id and the number of their rows."""
+    return checkpoint(df.where(F.col(hash).isNotNull()).groupBy(F.col(hash).alias("h")).agg(F.min(id).alias("id"), F.count("*").alias("n")))
 
 
 def near_links(df: DataFrame, id: str, hash: str, radius: int, bits: int = 60) -> DataFrame:
-    """(a, b): links that connect what near_pairs() would; equal hashes form a star, so no group is spelled out."""
-    least = df.where(F.col(hash).isNotNull()).groupBy(F.col(hash).alias("h")).agg(F.min(id).alias("id"))
+    """(a, b, distance): what links rows whose hashes differ in at most ``radius`` bits. Rows of one hash hang on its least id (distance 0), and of two near hashes the least ids are linked, so no group is spelled out."""
+    least = kinds(df, id, hash)
     rows = df.select(F.col(id).alias("a"), F.col(hash).alias("h"))
-    star = rows.join(least.withColumnRenamed("id", "b"), "h").select("a", "b").where("a <> b")
-    return star.unionByName(near_pairs(least, "id", "h", radius, bits).select("a", "b"))
+    star = rows.join(least.select("h", F.col("id").alias("b")), "h").where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"), F.lit(0).alias("distance"))
+    side = lambda h, i: least.select(F.col("h").alias(h), F.col("id").alias(i))
+    near = near_kinds(least.select("h"), radius, bits).join(side("h", "x"), "h").join(side("h2", "y"), "h2")
+    return star.unionByName(near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "distance"))
+
+
+def near_counts(df: DataFrame, id: str, hash: str, radius: int, bits: int = 60) -> DataFrame:
+    """(distance, pairs): how many pairs of rows differ in so many bits of their hashes, from the sizes of equal ones."""
+    least = kinds(df, id, hash)
+    side = lambda h, n: least.select(F.col("h").alias(h), F.col("n").alias(n))
+    near = near_kinds(least.select("h"), radius, bits).join(side("h", "n1"), "h").join(side("h2", "n2"), "h2")
+    pairs = near.select("distance", (F.col("n1") * F.col("n2")).alias("pairs")).unionByName(least.where("n > 1").select(F.lit(0).alias("distance"), F.expr("n * (n - 1) div 2").alias("pairs")))
+    return pairs.groupBy("distance").agg(F.sum("pairs").alias("pairs"))
 
 
 def groups(df: DataFrame, links: DataFrame, id: str) -> DataFrame:
@@ -144,9 +158,8 @@ def leaks(df: DataFrame, group: str = "component", split: str = "split") -> Data
 def stratified(df: DataFrame, label: str, id: str, seed: str, shares: Sequence[tuple[str, float]]) -> DataFrame:
     """``df`` with ``split``: within each label, rows in the order of md5(seed|id) are cut at the cumulative shares."""
     key = F.md5(F.concat_ws("|", F.lit(seed), F.col(id).cast("string")).cast("binary"))
-    place = F.row_number().over(Window.partitionBy(label).orderBy(key, id))
     n = df.groupBy(label).agg(F.count("*").alias("__n"))
-    d = df.withColumn("__place", place).join(F.broadcast(n), label)
+    d = places(df.withColumn("__key", key), ["__key", id], label, out="__place").drop("__key").join(n, label)
     out, upto = F.lit(shares[-1][0]), sum(s for _, s in shares[:-1])
     for name, share in reversed(shares[:-1]):
         out = F.when(F.col("__place") <= F.bround(F.col("__n") * F.lit(round(upto, 9))), name).otherwise(out)

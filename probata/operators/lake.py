@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import stored
+
 
 def reasoned(df: DataFrame, rules: Sequence[tuple[str, Column]]) -> DataFrame:
     """``df`` with ``reason``: the first rule that a row fails, null if none; a rule is (name, what must hold)."""
@@ -20,9 +22,35 @@ def reasoned(df: DataFrame, rules: Sequence[tuple[str, Column]]) -> DataFrame:
     return df.withColumn("reason", reason)
 
 
+def admitted(df: DataFrame, column: str, level: str, strict: bool = False) -> DataFrame:
+    """The rows of one provenance level; if ``strict``, any other row, a null one too, ends the job."""
+    fits = F.coalesce(F.col(column) == level, F.lit(False))
+    if not strict:
+        return df.where(fits)
+    return df.where(F.when(fits, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit(f"{column} has to be {level}, not "), F.coalesce(F.col(column).cast("string"), F.lit("null")))).cast("boolean")))
+
+
 def quarantined(df: DataFrame, payload: Sequence[str], source: str, version: str) -> DataFrame:
-    """The rows with a reason, with their payload as JSON and what remediation needs to know."""
-    return df.where("reason is not null").select(F.to_json(F.struct(*payload)).alias("payload"), F.col("reason").alias("failed_rule"), F.lit(source).alias("source"), F.lit(version).alias("run_version"), F.lit("open").alias("status"))
+    """The rows with a reason: payload as JSON, the rule that failed, ingest time, source, run version and remediation status."""
+    record = F.to_json(F.struct(*payload), {"ignoreNullFields": "false"})
+    return df.where("reason is not null").select(record.alias("payload"), F.col("reason").alias("failed_rule"), F.current_timestamp().alias("ingested_at"), F.lit(source).alias("source"), F.lit(version).alias("run_version"), F.lit("open").alias("status"))
+
+
+def late(df: DataFrame, ts: str, order: Sequence[str], delay: str, width: int = 1024) -> DataFrame:
+    """(n, late): rows that come more than ``delay`` behind the newest before them, by arrival.
+
+    The first column of ``order`` is a whole number that grows with arrival. Running maxima go by ranges of it, by ranges
+    of ranges, and then over those, so a task holds ``width`` ranges, and the last one a row for ``width`` * ``width`` numbers.
+    """
+    b = df.withColumn("__p", F.expr(f"`{order[0]}` div {width}"))
+    upto = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    tops = b.groupBy("__p").agg(F.max(ts).alias("top")).withColumn("__g", F.expr(f"__p div {width}"))
+    over = tops.groupBy("__g").agg(F.max("top").alias("top"))
+    over = over.select("__g", F.max("top").over(upto(Window.orderBy("__g"))).alias("far"))
+    tops = tops.withColumn("near", F.max("top").over(upto(Window.partitionBy("__g").orderBy("__p")))).join(over, "__g")
+    tops = tops.select("__p", F.greatest("near", "far").alias("before"))
+    b = b.withColumn("inside", F.max(ts).over(upto(Window.partitionBy("__p").orderBy(*order)))).join(tops, "__p")
+    return b.agg(F.count("*").alias("n"), F.count_if(F.col(ts) < F.greatest("inside", "before") - F.expr(f"INTERVAL {delay}")).alias("late"))
 
 
 def latest_valid(df: DataFrame, key: str, order: Sequence[Column]) -> DataFrame:
@@ -32,10 +60,17 @@ def latest_valid(df: DataFrame, key: str, order: Sequence[Column]) -> DataFrame:
     return df.withColumn("versions", F.count("*").over(w)).withColumn("__r", place).where("__r = 1").drop("__r")
 
 
-def quality(df: DataFrame, key: str) -> DataFrame:
-    """(ingested, quarantined, duplicates): counts of one batch, from a row per key."""
-    d = df.groupBy(key).agg(F.count("*").alias("n"), F.count_if(F.col("reason").isNotNull()).alias("bad"))
-    return d.agg(F.sum("n").alias("ingested"), F.sum("bad").alias("quarantined"), F.sum(F.col("n") - 1).alias("duplicates"))
+def quality(df: DataFrame, key: str, ts: str, order: Sequence[str], delay: str, changes: DataFrame, sinks: Sequence[DataFrame]) -> DataFrame:
+    """The figures of one batch in one row: ingested, quarantined, duplicate_rate, late_rate, drift_count, reconciliation (rows in no sink) and freshness_seconds (what the newest valid row lies behind the newest)."""
+    d = df.groupBy(key).agg(F.count("*").alias("n"), F.count_if(F.col("reason").isNotNull()).alias("bad"), F.max(ts).alias("newest"), F.max(F.when(F.col("reason").isNull(), F.col(ts))).alias("valid"))
+    d = d.agg(F.sum("n").alias("ingested"), F.sum("bad").alias("quarantined"), F.try_divide(F.sum(F.col("n") - 1), F.sum("n")).alias("duplicate_rate"), (F.unix_seconds(F.max("newest")) - F.unix_seconds(F.max("valid"))).alias("freshness_seconds"))
+    behind = late(df, ts, order, delay).select(F.try_divide("late", "n").alias("late_rate"))
+    stored_rows = None
+    for sink in sinks:
+        n = sink.agg(F.count("*").alias("stored"))
+        stored_rows = n if stored_rows is None else stored_rows.unionByName(n)
+    d = d.crossJoin(behind).crossJoin(changes.agg(F.count("*").alias("drift_count"))).crossJoin(stored_rows.agg(F.sum("stored").alias("stored")))  # one row each
+    return d.select("ingested", "quarantined", "duplicate_rate", "late_rate", "drift_count", (F.col("ingested") - F.col("stored")).alias("reconciliation"), "freshness_seconds")
 
 
 def drift(spark: SparkSession, old: T.StructType, new: T.StructType) -> DataFrame:
@@ -72,9 +107,17 @@ def psi(counts: DataFrame, period: str, bin: str, first: str, second: str, guard
     return wide.crossJoin(F.broadcast(total)).agg(F.sum((a - b) * F.ln(a / b)).alias("psi"))
 
 
-def regressions(base: DataFrame, candidate: DataFrame, tolerances: dict[str, float]) -> DataFrame:
-    """(metric, base, candidate, delta, tolerance) of the metrics that fall by more than their tolerance; tables are (metric, value)."""
-    t = base.sparkSession.createDataFrame(sorted(tolerances.items()), "metric string, tolerance double")
-    d = base.withColumnRenamed("value", "base").join(candidate.withColumnRenamed("value", "candidate"), "metric").join(F.broadcast(t), "metric")
-    d = d.withColumn("delta", F.col("candidate") - F.col("base"))
-    return d.where(F.col("delta") < -F.col("tolerance")).select("metric", "base", "candidate", "delta", "tolerance")
+def ancestors(edges: DataFrame, start: Column) -> DataFrame:
+    """(node, source, depth): all ancestors of the nodes of the edges (child, parent) where ``start`` holds, each with its least depth.
+
+    A join a level; what is known already is left out of the next, so cycles end, and a level is cut off by writing it.
+    """
+    e = stored(edges.distinct(), "lineage")
+    level = stored(e.where(start).select(F.col("child").alias("node"), F.col("parent").alias("source"), F.lit(1).alias("depth")), "lineage")
+    out, depth = level, 1
+    while not level.isEmpty():
+        depth += 1
+        up = level.join(e, F.col("source") == F.col("child")).select("node", F.col("parent").alias("source")).distinct()
+        level = stored(up.join(out.select("node", "source"), ["node", "source"], "left_anti").withColumn("depth", F.lit(depth)), "lineage")
+        out = out.unionByName(level)
+    return out

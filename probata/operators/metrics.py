@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.probs import argmax, clipped, onehot, top, total
+from .ranks import quantiles
 
 #: Bounds of the log loss: the machine epsilon.
 EPS = 2.220446049250313e-16
@@ -140,7 +141,7 @@ def ece(bins: DataFrame) -> DataFrame:
 
 def quantile_calibration(points: DataFrame, bins: int, group: str = "c") -> DataFrame:
     """(group, bin, n, mean_score, share) with edges at the quantiles of the scores; bins are open above, but the last."""
-    edges = points.groupBy(group).agg(F.percentile("score", F.array(*[F.lit(i / bins) for i in range(1, bins)])).alias("edges"))
+    edges = quantiles(points, "score", [i / bins for i in range(1, bins)], group).withColumnRenamed("q", "edges")
     d = points.join(F.broadcast(edges), group).withColumn("bin", F.size(F.filter("edges", lambda e: F.col("score") >= e)))
     return d.groupBy(group, "bin").agg(F.count("*").alias("n"), F.avg("score").alias("mean_score"), F.avg("hit").alias("share"))
 
@@ -165,8 +166,9 @@ def net_benefit(sweep: DataFrame) -> DataFrame:
 
 def moments(df: DataFrame, value: str, *by: str) -> DataFrame:
     """Mean, population deviation, quantiles, skewness and excess kurtosis of a column."""
-    q = F.percentile(value, F.array(*map(F.lit, (0.05, 0.25, 0.5, 0.75, 0.95))))
-    d = df.groupBy(*by).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), q.alias("q"), F.skewness(value).alias("skew"), F.kurtosis(value).alias("kurtosis"))
+    d = df.groupBy(*by).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.skewness(value).alias("skew"), F.kurtosis(value).alias("kurtosis"))
+    q = quantiles(df, value, (0.05, 0.25, 0.5, 0.75, 0.95), *by)
+    d = d.join(q, list(by), "left") if by else d.join(q, how="cross")
     return d.select(*by, "mean", "std", *[F.col("q")[i].alias(f"p{x}") for i, x in enumerate(("05", "25", "50", "75", "95"))], "skew", "kurtosis")
 
 

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranks import places
+
 
 def totals(df: DataFrame, *by: str) -> DataFrame:
     """(by, n, retained_n, coverage, retained_accuracy, errors_total, errors_referred, error_capture) of rows (ok, retained)."""
@@ -38,12 +40,5 @@ def curve(df: DataFrame, thresholds: Sequence[float], rules: dict[str, Column])
 
 
 def matched(df: DataFrame, most: int, id: str = "id", conf: str = "conf") -> DataFrame:
-    """``df`` with ``matched``: whether a row is among the ``most`` of largest confidence, ties by id.
-
-    The place of a row is the number of rows in higher confidence ranges plus its place in its own.
-    """
-    d = df.withColumn("part", F.least(F.floor(F.col(conf) * 1024), F.lit(1024)).cast("int"))
-    sums = d.groupBy("part").agg(F.count("*").alias("own"))
-    sums = sums.select("part", F.coalesce(F.sum("own").over(Window.orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    place = F.row_number().over(Window.partitionBy("part").orderBy(F.desc(conf), id))
-    return d.withColumn("place", place).join(F.broadcast(sums), "part").withColumn("matched", F.col("place") + F.col("before") <= most).drop("part", "place", "before")
+    """``df`` with ``matched``: whether a row is among the ``most`` of largest confidence, ties by id."""
+    return places(df, [F.desc(conf), id]).withColumn("matched", F.col("place") <= most).drop("place")

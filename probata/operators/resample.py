@@ -5,13 +5,13 @@ Draw ``pos`` of replicate ``rep`` is the first 32 bits of md5(seed|rep|pos) modu
 
 from __future__ import annotations
 
-from itertools import accumulate
+import math
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import checkpoint
+from .ranks import places
 
 
 def draws(spark, reps: int, n: int, seed: str) -> DataFrame:
@@ -22,12 +22,8 @@ def draws(spark, reps: int, n: int, seed: str) -> DataFrame:
 
 
 def numbered(df: DataFrame, id: str) -> DataFrame:
-    """``df`` with ``idx``: its place from 0 in the order of ``id``, from sorted partitions and their sizes."""
-    d = checkpoint(df.orderBy(id)).withColumn("__m", F.monotonically_increasing_id()).withColumn("__p", F.shiftright("__m", 33))
-    sizes = sorted((r[0], r[1]) for r in d.groupBy("__p").agg(F.count("*")).collect())  # one row per partition
-    before = dict(zip([p for p, _ in sizes], accumulate([0, *[n for _, n in sizes]]), strict=False))
-    offset = F.create_map(*[F.lit(x).cast("long") for p, n in before.items() for x in (p, n)]) if before else F.create_map().cast("map<bigint,int>")
-    return d.withColumn("idx", (F.element_at(offset, F.col("__p")) + F.col("__m").bitwiseAND(F.lit((1 << 33) - 1))).cast("long")).drop("__m", "__p")
+    """``df`` with ``idx``: its place from 0 in the order of ``id``."""
+    return places(df, [id], out="idx").withColumn("idx", F.col("idx") - 1)
 
 
 def bootstrap(df: DataFrame, id: str, reps: int, seed: str) -> DataFrame:
@@ -75,17 +71,33 @@ def verdict(low: str, high: str) -> Column:
     return F.when((F.col(low) > 0) | (F.col(high) < 0), "Supported").otherwise("Interval includes zero")
 
 
+def ln_gamma(x: Column) -> Column:
+    """Logarithm of the gamma function for x > 0: Stirling's series eight places up, and back by the recurrence."""
+    z = x + 8
+    series = (z - 0.5) * F.ln(z) - z + 0.5 * math.log(2 * math.pi) + 1 / (12 * z) - 1 / (360 * z**3) + 1 / (1260 * z**5) - 1 / (1680 * z**7)
+    product = x
+    for i in range(1, 8):
+        product = product * (x + i)
+    return series - F.ln(product)
+
+
 def binomial_two_sided(b: Column, c: Column) -> Column:
-    """Exact two-sided p of b against c at one half: twice the smaller tail, 1 at most; 1 if both are 0."""
-    n, k = b + c, F.least(b, c)
-    start = F.struct(F.pow(F.lit(0.5), n.cast("double")).alias("term"), F.pow(F.lit(0.5), n.cast("double")).alias("tail"))
+    """Exact two-sided p of b against c at one half: twice the smaller tail, 1 at most; 1 if both are 0.
+
+    The tail's largest term comes from logarithms and the others from it, downwards, so nothing underflows before the
+    whole tail does. Terms more than 12 sqrt(n) + 64 places down are less than 1e-100 of it and left out.
+    """
+    n, k = (b + c).cast("double"), F.least(b, c).cast("double")
+    top = F.exp(ln_gamma(n + 1) - ln_gamma(k + 1) - ln_gamma(n - k + 1) - n * math.log(2))
+    start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("tail"))
 
     def step(a: Column, i: Column) -> Column:
-        term = a["term"] * (n - i + 1) / i
+        term = a["term"] * (k - i) / (n - k + i + 1)
         return F.struct(term.alias("term"), (a["tail"] + term).alias("tail"))
 
-    tail = F.when(k == 0, start["tail"]).otherwise(F.aggregate(F.sequence(F.lit(1).cast("long"), F.greatest(k, F.lit(1)).cast("long")), start, step)["tail"])
-    return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * tail))
+    places = F.least(k, F.floor(12 * F.sqrt(n)) + 64).cast("long")
+    down = F.when(places > 0, F.sequence(F.lit(0).cast("long"), places - 1)).otherwise(F.array().cast("array<bigint>"))
+    return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * top * F.aggregate(down, start, step)["tail"]))
 
 
 def mcnemar(df: DataFrame, first: str, second: str) -> DataFrame:

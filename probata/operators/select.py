@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.probs import argmax, mixture, temperature
+from .ranks import places
 
 
 def fit_temperature(df: DataFrame, y: str, p: str, low: float = 0.25, high: float = 4.0, points: int = 33, rounds: int = 4) -> float:
@@ -47,8 +48,7 @@ def mixture_sweep(df: DataFrame, steps: int = 21) -> DataFrame:
 def nearest_share(df: DataFrame, label: str, distance: str, id: str, share: float) -> DataFrame:
     """Per label the round(n * share) rows (half to even) of least distance."""
     n = df.groupBy(label).agg(F.count("*").alias("__n"))
-    place = F.row_number().over(Window.partitionBy(label).orderBy(distance, id))
-    d = df.withColumn("__r", place).join(F.broadcast(n), label)
+    d = places(df, [distance, id], label, out="__r").join(n, label)
     return d.where(F.col("__r") <= F.bround(F.col("__n") * F.lit(share))).drop("__r", "__n")
 
 

@@ -10,11 +10,15 @@ from ..operators import dedup as D
 from ..operators import metrics as M
 from ..operators import resample as B
 from ..operators import select as S
+from ..operators.ranks import places
+from ..session import stored
 from .adapters import K, PREDS, draw_sql, predictions
 from .evidence import gated, r
 from .registry import query, table
 
 REPS, SEED = 50, "boot"
+#: Shingles of test items (16 bytes each) are broadcast up to this many.
+SHINGLES = 2_000_000
 
 # ---- duplicates
 
@@ -49,14 +53,19 @@ def dup_hardfail(spark, d):
     return n.agg(F.sum(F.col("n") - 1).alias("violations"))
 
 
-BITS, RADIUS = 24, 3
-HASHED = f"hashed AS (SELECT vec_id, label % 4 AS class, CAST({' + '.join(f'(CASE WHEN embedding[{i + 1}] > 0 THEN {1 << i} ELSE 0 END)' for i in range(BITS))} AS BIGINT) AS h FROM embeddings)"
-PAIRS = f"pairs AS (SELECT x.vec_id AS a, y.vec_id AS b, CAST(bit_count(xor(x.h, y.h)) AS INTEGER) AS distance FROM hashed x JOIN hashed y ON x.vec_id < y.vec_id AND bit_count(xor(x.h, y.h)) <= {RADIUS})"
+BITS, RADIUS = 60, 4
+#: The sign hashes of all components but the last four, and near and equal copies of every tenth and fifteenth.
+BASE_HASH = " + ".join(f"(CASE WHEN embedding[{i + 1}] > 0 THEN {1 << i} ELSE 0 END)" for i in range(BITS))
+HASHED = f"h0 AS (SELECT vec_id, label % 4 AS class, CAST({BASE_HASH} AS BIGINT) AS h FROM embeddings), hashed AS (SELECT * FROM h0 UNION ALL SELECT vec_id + 1000000000, class, xor(h, (5::BIGINT << CAST(vec_id % 50 AS INTEGER))) FROM h0 WHERE vec_id % 10 = 0 UNION ALL SELECT vec_id + 2000000000, (class + 1) % 4, h FROM h0 WHERE vec_id % 15 = 0)"
+PAIRS = f"kinds AS (SELECT h, min(vec_id) AS id, count(*) AS n FROM hashed GROUP BY h), near AS (SELECT x.id AS i, y.id AS j, x.n AS n1, y.n AS n2, CAST(bit_count(xor(x.h, y.h)) AS INTEGER) AS distance FROM kinds x JOIN kinds y ON x.h < y.h AND bit_count(xor(x.h, y.h)) <= {RADIUS}), pairs AS (SELECT least(i, j) AS a, greatest(i, j) AS b, distance FROM near UNION ALL SELECT id, vec_id, 0 FROM hashed JOIN kinds USING (h) WHERE vec_id <> id)"
 GROUPED = "walk AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs), reach AS (SELECT vec_id AS node, vec_id AS seen FROM hashed UNION SELECT reach.node, walk.b FROM reach JOIN walk ON walk.a = reach.seen), grouped AS (SELECT node AS vec_id, min(seen) AS component FROM reach GROUP BY node)"
 
 
 def hashed(spark, d) -> DataFrame:
-    return table(spark, d, "embeddings").select("vec_id", (F.col("label") % 4).alias("class"), D.sign_hash("embedding", BITS).alias("h"))
+    h = table(spark, d, "embeddings").select("vec_id", (F.col("label") % 4).alias("class"), D.sign_hash("embedding", BITS).alias("h"))
+    near = h.where("vec_id % 10 = 0").select((F.col("vec_id") + 1_000_000_000).alias("vec_id"), "class", F.expr("h ^ shiftleft(5L, cast(vec_id % 50 as int))").alias("h"))
+    same = h.where("vec_id % 15 = 0").select((F.col("vec_id") + 2_000_000_000).alias("vec_id"), ((F.col("class") + 1) % 4).alias("class"), "h")
+    return h.unionByName(near).unionByName(same)
 
 
 def grouped(spark, d) -> DataFrame:
@@ -71,12 +80,13 @@ def dup_phash(spark, d):
 
 @query("dup_near", f"WITH {HASHED}, {PAIRS} SELECT a, b, distance FROM pairs")
 def dup_near(spark, d):
-    return D.near_pairs(hashed(spark, d), "vec_id", "h", RADIUS, BITS)
+    """Links of near hashes: least ids of two, and rows of one with its least."""
+    return D.near_links(hashed(spark, d), "vec_id", "h", RADIUS, BITS)
 
 
-@query("join_self_theta", f"WITH {HASHED}, {PAIRS} SELECT distance, count(*) AS pairs FROM pairs GROUP BY distance")
+@query("join_self_theta", f"WITH {HASHED}, {PAIRS}, c AS (SELECT distance, n1 * n2 AS pairs FROM near UNION ALL SELECT 0, n * (n - 1) // 2 FROM kinds WHERE n > 1) SELECT distance, CAST(sum(pairs) AS BIGINT) AS pairs FROM c GROUP BY distance")
 def join_self_theta(spark, d):
-    return dup_near(spark, d).groupBy("distance").agg(F.count("*").alias("pairs"))
+    return D.near_counts(hashed(spark, d), "vec_id", "h", RADIUS, BITS)
 
 
 @query("dup_components", f"WITH RECURSIVE {HASHED}, {PAIRS}, {GROUPED} SELECT vec_id, component FROM grouped")
@@ -143,13 +153,17 @@ def win_balanced_sample(spark, d):
 x AS (SELECT doc_id, string_split_regex(lower(text), '\\s+') AS w FROM documents), t AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 7], ' ') AS shingle FROM x, LATERAL (SELECT unnest(range(1, greatest(2, len(w) - 6))) AS i))
 SELECT item_id, doc_id, count(*) AS shared FROM s JOIN t USING (shingle) GROUP BY item_id, doc_id""")
 def split_contam(spark, d):
+    """Shingles as 64-bit hashes; the benchmark's are counted, and broadcast below a size, so the corpus' aren't shuffled."""
+
     def shingles(df: DataFrame, id: str) -> DataFrame:
         # the words are a column of their own, used twice, so they are split once a row and not once a shingle
         df = df.select(id, F.split(F.lower("text"), r"\s+").alias("w"))
         at = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - 7))
-        return df.select(id, F.explode(F.array_distinct(F.transform(at, lambda i: F.array_join(F.slice("w", i, F.lit(8)), " ")))).alias("shingle"))
+        return df.select(id, F.explode(F.array_distinct(F.transform(at, lambda i: F.xxhash64(F.array_join(F.slice("w", i, F.lit(8)), " "))))).alias("shingle"))
 
-    return shingles(table(spark, d, "benchmark"), "item_id").join(shingles(table(spark, d, "documents"), "doc_id"), "shingle").groupBy("item_id", "doc_id").agg(F.count("*").alias("shared"))
+    items = stored(shingles(table(spark, d, "benchmark"), "item_id"), "shingles")
+    items = F.broadcast(items) if items.count() <= SHINGLES else items
+    return shingles(table(spark, d, "documents"), "doc_id").join(items, "shingle").groupBy("item_id", "doc_id").agg(F.count("*").alias("shared"))
 
 
 # ---- joins and sets
@@ -302,7 +316,7 @@ def test_verdict(spark, d):
     return B.interval(boot_paired(spark, d), "delta").select(r("low"), r("high"), B.verdict("low", "high").alias("verdict"))
 
 
-@query("test_mcnemar", f"WITH RECURSIVE {PREDS}, m AS (SELECT count_if(pred_a = y AND pred_b <> y) AS b, count_if(pred_a <> y AND pred_b = y) AS c FROM preds), t AS (SELECT 0::BIGINT AS i, pow(0.5::DOUBLE, b + c) AS term, pow(0.5::DOUBLE, b + c) AS tail FROM m UNION ALL SELECT i + 1, term * (b + c - i) / (i + 1), tail + term * (b + c - i) / (i + 1) FROM t, m WHERE i < least(b, c)) SELECT b, c, round(least(1, 2 * max(tail)), 9) AS p FROM t, m GROUP BY b, c")
+@query("test_mcnemar", f"WITH {PREDS}, m AS (SELECT count_if(pred_a = y AND pred_b <> y) AS b, count_if(pred_a <> y AND pred_b = y) AS c FROM preds), t AS (SELECT b, c, sum(exp(lgamma(b + c + 1) - lgamma(i + 1) - lgamma(b + c - i + 1) - (b + c) * ln(2::DOUBLE))) AS tail FROM (SELECT b, c, unnest(range(least(b, c) + 1)) AS i FROM m) GROUP BY b, c) SELECT b, c, round(least(1, 2 * tail), 9) AS p FROM t")
 def test_mcnemar(spark, d):
     g = gated(spark, d).select("ok", (F.col("pred_b") == F.col("y")).alias("ok_b"))
     return B.mcnemar(g, "ok", "ok_b").select("b", "c", r("p"))
@@ -376,8 +390,8 @@ def win_topk_frac(spark, d):
 
 @query("sel_gate_grid", f"WITH {CENTRED}, o AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY distance, vec_id) AS place, count(*) OVER (PARTITION BY label) AS n FROM far), g AS (SELECT unnest([0::DOUBLE, 0.25::DOUBLE, 0.5::DOUBLE, 1::DOUBLE]) AS share), x AS (SELECT share, count_if(place <= round_even(n * share, 0)) AS admitted, round(coalesce(avg(distance) FILTER (place <= round_even(n * share, 0)), 0), 6) AS mean_distance FROM o, g GROUP BY share) SELECT share, admitted, mean_distance, row_number() OVER (ORDER BY mean_distance, share) = 1 AS chosen FROM x")
 def sel_gate_grid(spark, d):
-    w = Window.partitionBy("label")
-    o = distances(spark, d).withColumn("place", F.row_number().over(w.orderBy("distance", "vec_id"))).withColumn("n", F.count("*").over(w))
+    far = distances(spark, d)
+    o = places(far, ["distance", "vec_id"], "label").join(far.groupBy("label").agg(F.count("*").alias("n")), "label")
     o = o.withColumn("share", F.explode(F.array(*map(F.lit, (0.0, 0.25, 0.5, 1.0)))))
     inside = F.col("place") <= F.bround(F.col("n") * F.col("share"))
     x = o.groupBy("share").agg(F.count_if(inside).alias("admitted"), F.round(F.coalesce(F.avg(F.when(inside, F.col("distance"))), F.lit(0.0)), 6).alias("mean_distance"))

@@ -29,14 +29,14 @@ def drain(df: DataFrame, mode: str = "append", what: str = "stream") -> DataFram
     return spark.read.parquet(out)
 
 
-def route(df: DataFrame, silver: str, quarantine: str) -> None:
-    """Rows with ``reason`` null to ``silver``, the others to ``quarantine``, each trigger written once per sink and batch number."""
+def route(df: DataFrame, silver: str, quarantine: str, record: Callable[[DataFrame], DataFrame] = lambda bad: bad) -> None:
+    """Rows with ``reason`` null to ``silver``, ``record`` of the others to ``quarantine``, each trigger written once per sink and batch number."""
     state = scratch(df.sparkSession, "route-state")
 
     def write(batch: DataFrame, i: int) -> None:
         batch = batch.persist()
         batch.where("reason is null").drop("reason").write.mode("overwrite").parquet(f"{silver}/batch={i}")
-        batch.where("reason is not null").write.mode("overwrite").parquet(f"{quarantine}/batch={i}")
+        record(batch.where("reason is not null")).write.mode("overwrite").parquet(f"{quarantine}/batch={i}")
         batch.unpersist()
 
     df.writeStream.foreachBatch(write).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
@@ -47,6 +47,11 @@ def deduplicated(df: DataFrame, key: str, ts: str, delay: str) -> DataFrame:
     return df.withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])
 
 
+def freshness(df: DataFrame, ts: str, *by: str) -> DataFrame:
+    """(by, last) per trigger: the newest event time so far, from which the lag follows."""
+    return df.groupBy(*by).agg(F.max(ts).alias("last"))
+
+
 def tumbling(df: DataFrame, ts: str, width: str, delay: str, *by: str) -> DataFrame:
     """(start, by, n, total) per window of event time; late rows beyond the watermark are dropped by Spark."""
     d = df.withWatermark(ts, delay).groupBy(F.window(ts, width).alias("w"), *by).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
@@ -54,7 +59,10 @@ def tumbling(df: DataFrame, ts: str, width: str, delay: str, *by: str) -> DataFr
 
 
 def checked_transitions(df: DataFrame, key: str, order: str, state: str, legal: set[tuple[str, str]]) -> DataFrame:
-    """(key, steps, illegal) so far, per trigger: the last state of each key is kept, rows of a trigger are taken in order."""
+    """(key, steps, illegal) so far, per trigger: the last state of each key is kept, rows of a trigger are taken in order.
+
+    Files have to arrive in the order of ``order``: a row that comes in a later trigger than its successor is judged as the step after what the key has last.
+    """
 
     def step(k: tuple, rows: Iterator[pd.DataFrame], own: GroupState) -> Iterator[pd.DataFrame]:
         last, steps, bad = own.get if own.exists else ("", 0, 0)

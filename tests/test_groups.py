@@ -1,9 +1,15 @@
 """Duplicates, components and splits against brute force."""
 
 import random
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from probata.operators import dedup as D
 from probata.operators.graph import components
+from probata.operators.ranks import places, quantiles
 from probata.sources.files import reconcile, safe_path
 
 
@@ -29,13 +35,35 @@ def test_components_of_nothing(spark):
     assert components(spark.createDataFrame([], "src long, dst long")).count() == 0
 
 
-def test_near_pairs_are_all_pairs(spark):
+def test_near_hashes_are_all_found(spark):
     rng = random.Random(1)
     base = [rng.getrandbits(60) for _ in range(30)]
-    rows = [(i, base[i % 30] ^ sum(1 << rng.randrange(60) for _ in range(rng.randrange(5))) & (2**60 - 1)) for i in range(120)]
-    got = {(r.a, r.b, r.distance) for r in D.near_pairs(spark.createDataFrame(rows, "id long, h long"), "id", "h", 4).collect()}
-    want = {(a, b, (x ^ y).bit_count()) for a, x in rows for b, y in rows if a < b and (x ^ y).bit_count() <= 4}
-    assert got == want
+    rows = [(i, base[i % 30] ^ sum(1 << rng.randrange(60) for _ in range(rng.randrange(5))) & (2**60 - 1)) for i in range(120)] + [(200 + i, base[0]) for i in range(9)] + [(300, None)]
+    df = spark.createDataFrame(rows, "id long, h long")
+    rows = rows[:-1]
+    least = {}
+    for i, h in rows:
+        least[h] = min(i, least.get(h, i))
+    got = sorted((r.a, r.b, r.distance) for r in D.near_links(df, "id", "h", 4).collect())
+    want = [(min(least[x], least[y]), max(least[x], least[y]), (x ^ y).bit_count()) for x in least for y in least if x < y and (x ^ y).bit_count() <= 4]
+    assert got == sorted(want + [(least[h], i, 0) for i, h in rows if i != least[h]])
+    counts = Counter((x ^ y).bit_count() for a, x in rows for b, y in rows if a < b and (x ^ y).bit_count() <= 4)
+    assert {r.distance: r.pairs for r in D.near_counts(df, "id", "h", 4).collect()} == counts
+
+
+def test_places_and_quantiles(spark):
+    rng = random.Random(4)
+    rows = [(rng.choice(["a", "a", "a", "b", None]), rng.randrange(40), i) for i in range(500)] + [("c", 7, 500)]
+    df = spark.createDataFrame(rows, "g string, v int, id int").repartition(7)
+    got = {r.id: r.place for r in places(df, ["v", "id"], "g").collect()}
+    for g in ("a", "b", "c", None):
+        own = sorted((v, i) for k, v, i in rows if k == g)
+        assert [got[i] for _, i in own] == list(range(1, len(own) + 1))
+    assert sorted(r.place for r in places(df, ["id"]).collect()) == list(range(1, 502))
+    probs = (0.0, 0.05, 0.5, 0.95, 1.0)
+    for r in quantiles(df.withColumn("v", F.when(F.col("id") % 9 != 0, F.col("v"))), "v", probs, "g").collect():
+        assert r.q == pytest.approx(list(np.quantile([v for g, v, i in rows if g == r.g and i % 9], probs)))
+    assert places(df.limit(0), ["id"], "g").count() == 0
 
 
 def test_choose_groups_hits_the_target():
