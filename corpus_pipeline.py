@@ -52,7 +52,7 @@ STAGES = [
     ("mixture", mixture),
 ]
 
-#: Sketches, alignment and prototypes are beyond SQL: tests hold every stage against a brute-force version.
+#: Sketches, alignment and prototypes are beyond SQL: tests/llm/test_pipeline.py holds every stage against a plain version.
 ORACLE_SQL: str | None = None
 
 
