@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.classification import LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest, RandomForestClassifier
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -91,3 +91,20 @@ def train(df: DataFrame, classes: int, share: float = 0.97, c: float = 0.05, mos
     cells = M.confusion(test.withColumn("pred", P.argmax("p")), classes)
     out = M.summary(cells).crossJoin(M.log_loss(test))
     return out.select(F.lit(float(t)).alias("temperature"), "accuracy", "balanced_accuracy", "macro_f1", "mcc", "log_loss")
+
+
+def alternatives(df: DataFrame, classes: int, trees: int = 50, hidden: int = 32, seed: int = 42) -> DataFrame:
+    """(model, n, hits) on the test rows of a random forest, linear support vectors (one against the rest) and a perceptron with one hidden layer, fitted on the scaled training rows."""
+    scaler = fit_scaler(df.where("part = 'train'"), "x")
+    z = df.select(F.col("y").cast("double").alias("y"), array_to_vector(scaler.scaled("x")).alias("z"), "part").persist()
+    models = {
+        "forest": RandomForestClassifier(featuresCol="z", labelCol="y", numTrees=trees, seed=seed),
+        "vectors": OneVsRest(classifier=LinearSVC(featuresCol="z", labelCol="y", regParam=0.01, maxIter=50), featuresCol="z", labelCol="y"),
+        "perceptron": MultilayerPerceptronClassifier(featuresCol="z", labelCol="y", layers=[len(scaler.mean), hidden, classes], maxIter=100, seed=seed),
+    }
+    out = None
+    for name, model in models.items():
+        p = model.fit(z.where("part = 'train'")).transform(z.where("part = 'test'"))
+        one = p.agg(F.lit(name).alias("model"), F.count("*").alias("n"), F.count_if(F.col("prediction") == F.col("y")).alias("hits"))
+        out = one if out is None else out.unionByName(one)
+    return out

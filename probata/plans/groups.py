@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import probs as P
+from ..functions.images import dct_hash
 from ..operators import dedup as D
 from ..operators import metrics as M
 from ..operators import resample as B
@@ -16,7 +17,7 @@ from .adapters import K, PREDS, draw_sql, predictions
 from .evidence import gated, r
 from .registry import query, table
 
-REPS, SEED = 50, "boot"
+REPS, SEED = 600, "boot"
 #: Shingles of test items (16 bytes each) are broadcast up to this many.
 SHINGLES = 2_000_000
 
@@ -78,6 +79,14 @@ def dup_phash(spark, d):
     return hashed(spark, d).select("vec_id", "h")
 
 
+@query("dup_phash_dct")
+def dup_phash_dct(spark, d):
+    """Picture hashes of 32 x 32 grey values that are made of the vectors; tested against sums of cosines."""
+    at = F.sequence(F.lit(0), F.lit(1023))
+    grey = F.transform(at, lambda i: F.element_at("embedding", ((i * 7 + F.floor(i / 32)) % 64 + 1).cast("int")).cast("double"))
+    return table(spark, d, "embeddings").select("vec_id", dct_hash(grey).alias("h"))
+
+
 @query("dup_near", f"WITH {HASHED}, {PAIRS} SELECT a, b, distance FROM pairs")
 def dup_near(spark, d):
     """Links of near hashes: least ids of two, and rows of one with its least."""

@@ -490,6 +490,12 @@ def fit_logistic(spark, d):
     return TR.train(features(spark, d), K).select(*[F.round(c, 6).alias(c) for c in ("temperature", "accuracy", "balanced_accuracy", "macro_f1", "mcc", "log_loss")])
 
 
+@query("fit_trees_svm_mlp")
+def fit_trees_svm_mlp(spark, d):
+    """Other models on the same rows: forest, support vectors, perceptron; tested on planted classes."""
+    return TR.alternatives(features(spark, d), K)
+
+
 def term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, term, df, squares) of documents (lang, w): how many hold the term, and their squared counts; partial sums."""
 

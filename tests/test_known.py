@@ -175,3 +175,11 @@ def test_training_against_a_plain_solver(spark, rows):
     assert got.accuracy == pytest.approx((q[test].argmax(axis=1) == y[test]).mean(), abs=0.011)
     with pytest.raises(ValueError, match="all 4 classes"):
         T.train(df, 4)
+
+
+def test_other_models_learn_planted_classes(spark, rows):
+    y, x, part = rows
+    df = spark.createDataFrame([(int(a), [float(v) for v in b], str(c)) for a, b, c in zip(y, x, part, strict=True)], "y int, x array<double>, part string")
+    got = {r.model: r for r in T.alternatives(df, 3).collect()}
+    assert set(got) == {"forest", "vectors", "perceptron"}
+    assert all(r.n == (part == "test").sum() and r.hits > 0.6 * r.n for r in got.values())
