@@ -224,13 +224,13 @@ def blocks_of(open_rows: DataFrame, similarity: float, block_chars: int) -> Data
     If the texts of a centre have no more than ``block_chars`` characters, they are one block. Otherwise blocks are made
     by length, in steps within which a near text is at most one step away, and by salt within a step.
     """
-    whole = open_rows.groupBy("center").agg(F.sum("chars").alias("total"))
+    whole = checkpoint(open_rows.groupBy("center").agg(F.sum("chars").alias("total")))  # with an exchange of its own the join can split a hot centre
     rows = open_rows.join(whole, "center")
     small = rows.where(F.col("total") <= block_chars)
     large = rows.where(F.col("total") > block_chars).withColumn("step", F.floor(F.log(F.greatest("n", F.lit(1)).cast("double")) / F.lit(-np.log(similarity)) + F.lit(1e-9)))
     steps = large.groupBy("center", "step").agg(F.greatest(F.ceil(F.sum("chars") / block_chars), F.lit(1)).cast("long").alias("salts"))
     steps = steps.groupBy("center").agg(F.map_from_entries(F.collect_list(F.struct("step", "salts"))).alias("salts"))  # as many entries as steps
-    large = large.join(steps, "center").withColumn("salt", F.expr("pmod(xxhash64(node), salts[step])"))
+    large = large.join(checkpoint(steps), "center").withColumn("salt", F.expr("pmod(xxhash64(node), salts[step])"))
     name = lambda step, salt: F.struct(step.alias("step"), salt.alias("salt"))
     own = name(F.col("step"), F.col("salt"))
     others = F.expr("filter(array(step - 1, step, step + 1), s -> map_contains_key(salts, s))")
