@@ -38,17 +38,17 @@ class CrossPolytope:
         self.signs = np.random.Generator(np.random.PCG64(seed)).integers(0, 2, (tables, 3, self.width)) * 2.0 - 1
 
     def rotated(self, x: np.ndarray, table: int) -> np.ndarray:
-        y = np.zeros((len(x), self.width))
-        y[:, : x.shape[1]] = x / np.linalg.norm(x, axis=1, keepdims=True)
+        y = np.zeros((self.width, len(x)))  # a row per component, so that sums and differences are of whole rows
+        y[: x.shape[1]] = (x / np.linalg.norm(x, axis=1, keepdims=True)).T
         for signs in self.signs[table]:
-            y = self._hadamard(y * signs)
-        return y
+            y = self._hadamard(y * signs[:, None])
+        return y.T
 
     def _hadamard(self, y: np.ndarray) -> np.ndarray:
-        n, h = len(y), 1
+        h = 1
         while h < self.width:
-            y = y.reshape(n, -1, 2, h)
-            y = np.stack([y[:, :, 0] + y[:, :, 1], y[:, :, 0] - y[:, :, 1]], axis=2).reshape(n, -1)
+            y = y.reshape(-1, 2, h, y.shape[-1])
+            y = np.stack([y[:, 0] + y[:, 1], y[:, 0] - y[:, 1]], axis=1).reshape(self.width, -1)
             h *= 2
         return y / math.sqrt(self.width)
 
@@ -75,14 +75,15 @@ class CrossPolytope:
         if self.width == 1:
             return np.zeros((len(y), 1), np.int64)
         near = self.signed(y)
-        # the best pairs are of the best axes: the pair at places (i, j) has (i + 1) * (j + 1) / 2 no worse ones before it
+        # the best pairs are of the best axes: (i + 1) * (j - i / 2) pairs are no worse than that at places (i, j), and of
+        # all pairs ``width`` are no pairs, as they have one axis with both signs
         axes = np.argsort(-near, axis=1, kind="stable")[:, : min(near.shape[1], most + 1)]
         i, j = np.triu_indices(axes.shape[1], 1)
-        few = (i + 1) * (j - i) <= 2 * most + 2
+        few = (i + 1) * (j - i / 2) <= most + self.width
         i, j = i[few], j[few]
         value = np.take_along_axis(near, axes, 1)
         both = np.where(axes[:, i] // 2 == axes[:, j] // 2, -np.inf, value[:, i] + value[:, j])
-        best = np.argsort(-both, axis=1, kind="stable")[:, :most]
+        best = np.argpartition(-both, most - 1, axis=1)[:, :most] if both.shape[1] > most else np.arange(both.shape[1])[None, :].repeat(len(both), 0)
         a, b = np.take_along_axis(axes[:, i], best, 1), np.take_along_axis(axes[:, j], best, 1)
         return np.minimum(a, b) * 2 * self.width + np.maximum(a, b)
 
