@@ -97,4 +97,24 @@ FROM p JOIN m ON p.sha = m.sha
 """
 )
 
-ORACLE: dict[str, str] = {"op1_url_trust": OP1, "op4_warc_dictionary": OP4, "op5_source_mixing": OP5}
+def _lloyd(rounds: int = 6) -> str:
+    """One round after the other, each part compared with all entries."""
+    near = "{a} AS MATERIALIZED (SELECT r, p, min(d * 16 + e) % 16 AS e, min(d) AS d FROM (SELECT v.r, v.p, c.e, CAST(sum((v.x - c.x) * (v.x - c.x)) AS BIGINT) AS d FROM v JOIN {c} c ON v.i = c.i GROUP BY v.r, v.p, c.e) GROUP BY r, p)"
+    mean = "{b} AS MATERIALIZED (SELECT c.e, c.i, coalesce(m.x, c.x) AS x FROM {c} c LEFT JOIN (SELECT a.e, v.i, CAST((sum(v.x) - (sum(v.x) % count(*) + count(*)) % count(*)) / count(*) AS BIGINT) AS x FROM v JOIN {a} a ON v.r = a.r AND v.p = a.p GROUP BY a.e, v.i) m ON c.e = m.e AND c.i = m.i)"
+    steps = ",\n".join(f"{near.format(a=f'a{n}', c=f'c{n}')},\n{mean.format(a=f'a{n}', b=f'c{n + 1}', c=f'c{n}')}" for n in range(rounds))
+    return f"""
+WITH k AS MATERIALIZED (
+    SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS r, vec_id, label, list_transform(embedding, c -> CAST(floor(4096 * CAST(c AS DOUBLE)) AS BIGINT)) AS x
+    FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, c -> c IS NULL OR NOT isfinite(c))) = 0
+), v AS MATERIALIZED (SELECT r, i, i // (len(x) // 8) AS p, x[i + 1] AS x FROM k, range((SELECT max(len(x)) FROM k)) q(i)),
+c0 AS MATERIALIZED (SELECT r - 1 AS e, i, x FROM v WHERE r <= 16),
+{steps},
+{near.format(a="a", c=f"c{rounds}")},
+o AS (SELECT r, string_agg(printf('%02x', e), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM a GROUP BY r)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+    (SELECT sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY i // (SELECT count(DISTINCT i) // 8 FROM c0), e, i)) FROM c{rounds}) AS codebooks_sha256
+FROM k JOIN o ON k.r = o.r
+"""
+
+
+ORACLE: dict[str, str] = {"op1_url_trust": OP1, "op4_warc_dictionary": OP4, "op5_source_mixing": OP5, "op11_hamerly_codes": _lloyd()}

@@ -75,7 +75,21 @@ def op3_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op11_hamerly_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quantize import codes
+
+    return codes(read(spark, sf_dir, "embeddings"))
+
+
+def op12_lobpcg_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .whiten import whitened
+
+    return whitened(read(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
+    "op11_hamerly_codes": op11_hamerly_codes,
+    "op12_lobpcg_whitening": op12_lobpcg_whitening,
     "op3_cross_polytope": op3_cross_polytope,
     "op7_toxicity_chain": op7_toxicity_chain,
     "op6_sentence_spans": op6_sentence_spans,
