@@ -104,8 +104,8 @@ def _lloyd(rounds: int = 6) -> str:
     steps = ",\n".join(f"{near.format(a=f'a{n}', c=f'c{n}')},\n{mean.format(a=f'a{n}', b=f'c{n + 1}', c=f'c{n}')}" for n in range(rounds))
     return f"""
 WITH k AS MATERIALIZED (
-    SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS r, vec_id, label, list_transform(embedding, c -> CAST(floor(4096 * CAST(c AS DOUBLE)) AS BIGINT)) AS x
-    FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, c -> c IS NULL OR NOT isfinite(c))) = 0
+    SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS r, vec_id, label, [CAST(floor(4096 * CAST(c AS DOUBLE)) AS BIGINT) FOR c IN embedding] AS x
+    FROM embeddings WHERE embedding IS NOT NULL AND len([c FOR c IN embedding IF c IS NULL OR NOT isfinite(c)]) = 0
 ), v AS MATERIALIZED (SELECT r, i, i // (len(x) // 8) AS p, x[i + 1] AS x FROM k, range((SELECT max(len(x)) FROM k)) q(i)),
 c0 AS MATERIALIZED (SELECT r - 1 AS e, i, x FROM v WHERE r <= 16),
 {steps},
