@@ -87,7 +87,14 @@ def op12_lobpcg_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitened(read(spark, sf_dir, "embeddings"))
 
 
+def op13_boosted_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .extract import extracted, fit
+
+    return extracted(read(spark, sf_dir, "pages"), fit())
+
+
 QUERIES = {
+    "op13_boosted_extraction": op13_boosted_extraction,
     "op11_hamerly_codes": op11_hamerly_codes,
     "op12_lobpcg_whitening": op12_lobpcg_whitening,
     "op3_cross_polytope": op3_cross_polytope,
