@@ -401,8 +401,8 @@ def st_freshness(spark, d):
     return m.select("event_type", (F.unix_seconds(F.max("last").over(Window.partitionBy())) - F.unix_seconds("last")).alias("lag_seconds"))
 
 
-@query("st_monitor", f"WITH {BRONZE}, w AS (SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM bronze GROUP BY 1, 2) SELECT strftime(start, '%Y-%m-%d') AS day, event_type, n, total FROM w WHERE start < (SELECT max(start) - INTERVAL 1 DAY FROM w)")
-def st_monitor(spark, d):
+@query("st_windows", f"WITH {BRONZE}, w AS (SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM bronze GROUP BY 1, 2) SELECT strftime(start, '%Y-%m-%d') AS day, event_type, n, total FROM w WHERE start < (SELECT max(start) - INTERVAL 1 DAY FROM w)")
+def st_windows(spark, d):
     """Daily figures from a stream; only windows that the watermark has closed are compared."""
     path = bronze_files(spark, d)
     s = ST.drain(ST.tumbling(ST.file_stream(spark, path, 4), "ts", "1 day", "1 hour", "event_type"), what="monitor")

@@ -12,6 +12,9 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..session import scratch
 
 
+Transform = Callable[[DataFrame], DataFrame]
+
+
 def file_stream(spark: SparkSession, path: str, files: int = 2) -> DataFrame:
     """The Parquet files under ``path`` as a stream, ``files`` a trigger."""
     return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files).parquet(path)
@@ -22,10 +25,25 @@ def drain(df: DataFrame, mode: str = "append", what: str = "stream") -> DataFram
     spark, out, state = df.sparkSession, scratch(df.sparkSession, what), scratch(df.sparkSession, f"{what}-state")
     if mode == "append":
         q = df.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start()
+        q.awaitTermination()
     else:
         # every trigger's rows, with its number: the last per key is the result
-        q = df.writeStream.foreachBatch(lambda b, i: b.withColumn("batch", F.lit(i)).write.mode("append").parquet(out)).option("checkpointLocation", state).outputMode(mode).trigger(availableNow=True).start()
-    q.awaitTermination()
+        by_number(df, mode, out, state)
+    return spark.read.parquet(out)
+
+
+def by_number(df: DataFrame, mode: str, out: str, state: str) -> None:
+    """Run the stream over what is new since ``state``, each trigger's rows in a folder with its number, so a repeated trigger replaces its own."""
+    df.writeStream.foreachBatch(lambda b, i: b.write.mode("overwrite").parquet(f"{out}/batch={i}")).option("checkpointLocation", state).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+
+
+def fed(pieces: list[DataFrame], transform: Transform, mode: str = "append", what: str = "fed") -> DataFrame:
+    """Let ``pieces`` arrive one after the other, and start the stream anew from its checkpoint after each; all it wrote, with ``batch``."""
+    spark = pieces[0].sparkSession
+    path, out, state = (scratch(spark, f"{what}-{part}") for part in ("in", "out", "state"))
+    for piece in pieces:
+        piece.write.mode("append").parquet(path)
+        by_number(transform(spark.readStream.schema(piece.schema).parquet(path)), mode, out, state)
     return spark.read.parquet(out)
 
 
@@ -74,9 +92,6 @@ def checked_transitions(df: DataFrame, key: str, order: str, state: str, legal:
     return df.groupBy(key).applyInPandasWithState(step, f"{key} long, steps long, illegal long", "last string, steps long, bad long", "update", GroupStateTimeout.NoTimeout)
 
 
-Transform = Callable[[DataFrame], DataFrame]
-
-
 def parity(spark: SparkSession, path: str, transform: Transform) -> tuple[DataFrame, DataFrame]:
     """The same row-wise transform over a folder as a batch and as a stream."""
     return transform(spark.read.parquet(path)), drain(transform(file_stream(spark, path)), what="parity")
