@@ -1,18 +1,23 @@
 """Bootstrap, paired tests and intervals with draws that any engine can repeat.
 
-Draw ``pos`` of replicate ``rep`` is the first 32 bits of md5(seed|rep|pos) modulo n, an index into rows numbered from 0.
+Metrics that count draw how often each cell comes up (``bootstrap_counts``), at a cost that doesn't grow with the rows. Where
+the rows themselves are wanted, draw ``pos`` of replicate ``rep`` is the first 32 bits of md5(seed|rep|pos) modulo n, an index
+into rows numbered from 0 (``bootstrap``, replicates x rows).
 """
 
 from __future__ import annotations
 
 import math
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
+from ..functions.distributions import binomial_quantile, clopper_pearson, let, ln_gamma
 from .ranks import places
 
+__all__ = ["binomial_two_sided", "bootstrap", "bootstrap_counts", "clopper_pearson", "draws", "interval", "mcnemar", "numbered", "uniform", "verdict"]
+
 
 def draws(spark, reps: int, n: int, seed: str) -> DataFrame:
     """(rep, pos, idx) of all replicates."""
@@ -33,29 +38,37 @@ def bootstrap(df: DataFrame, id: str, reps: int, seed: str) -> DataFrame:
     return draws(df.sparkSession, reps, n, seed).join(rows, "idx").drop("idx", "pos")
 
 
-def cells(df: DataFrame, id: str, *by: str) -> DataFrame:
-    """(by, first, last): runs of the numbered rows by the columns ``by``; rows are numbered by these, then by ``id``.
+def uniform(seed: str, *key: Column) -> Column:
+    """A number between 0 and 1, both excluded, that follows from the key: 32 bits of its md5."""
+    h = F.md5(F.concat_ws("|", F.lit(seed), *[k.cast("string") for k in key]).cast("binary"))
+    return (F.conv(F.substring(h, 1, 8), 16, 10).cast("double") + 0.5) / 2**32
+
+
+def bootstrap_counts(df: DataFrame, reps: int, seed: str, *by: str) -> DataFrame:
+    """(rep, by, n): how often a replicate draws from each combination of the columns ``by``; no row is drawn.
 
-    For metrics that only count, a replicate needs how often it draws from each cell, not the rows.
+    A metric that only counts needs no rows: the counts of a replicate are multinomial. They are drawn cell by cell, in the
+    order of ``by``, as binomial quantiles of what is left, each from its own number, so a replicate costs a step per cell
+    however many rows there are. What the driver sees is a row per combination; ``by`` has to be few columns of few values.
     """
-    c = df.groupBy(*by).agg(F.count("*").alias("n"))
-    last = F.sum("n").over(Window.orderBy(*by))
-    return c.select(*by, (last - F.col("n")).alias("first"), (last - 1).alias("last"))
-
-
-def bootstrap_cells(df: DataFrame, id: str, reps: int, seed: str, *by: str) -> DataFrame:
-    """(rep, by, n): how often a replicate draws from each cell; the draws are generated, and summed where they are."""
-    c = cells(df, id, *by)
-    table = [r.asDict() for r in c.collect()]  # one row per combination of the columns' values
-    total = max((r["last"] for r in table), default=-1) + 1
-    d = draws(df.sparkSession, reps, total, seed)
-    order = sorted(table, key=lambda r: r["first"])
-    at = F.lit(0)
-    for i, r in enumerate(order):
-        at = F.when(F.col("idx") >= r["first"], i).otherwise(at)
-    d = d.select("rep", at.alias("cell")).groupBy("rep", "cell").agg(F.count("*").alias("n"))
-    names = c.withColumn("cell", F.row_number().over(Window.orderBy("first")) - 1).drop("first", "last")
-    return d.join(F.broadcast(names), "cell").drop("cell")
+    table = df.groupBy(*by).agg(F.count("*").alias("n")).orderBy(*by).collect()
+    reps_ = df.sparkSession.range(reps).select(F.col("id").alias("rep"))
+    if not table:
+        return reps_.limit(0).crossJoin(df.select(*by).limit(0)).withColumn("n", F.lit(0).cast("long"))
+    sizes = F.array(*[F.lit(int(r.n)) for r in table]).cast("array<bigint>")
+    every = F.lit(sum(int(r.n) for r in table)).cast("long")
+    start = F.struct(every.alias("left"), every.alias("pool"), F.array().cast("array<bigint>").alias("out"))
+
+    def step(acc: Column, i: Column) -> Column:
+        own = sizes[i]
+        drawn = binomial_quantile(uniform(seed, F.col("rep"), i), acc["left"], own / acc["pool"])
+        return let(drawn, lambda k: F.struct((acc["left"] - k).alias("left"), (acc["pool"] - own).alias("pool"), F.concat(acc["out"], F.array(k)).alias("out")))
+
+    counts = F.aggregate(F.sequence(F.lit(0), F.lit(len(table) - 1)), start, step, lambda acc: acc["out"])
+    schema = df.select(*by).schema
+    cells = df.sparkSession.createDataFrame([(i, *[r[c] for c in by]) for i, r in enumerate(table)], StructType([StructField("cell", IntegerType()), *schema.fields]))
+    drawn = reps_.select("rep", F.posexplode(counts).alias("cell", "n"))
+    return drawn.join(F.broadcast(cells), "cell").select("rep", *by, "n")
 
 
 def interval(df: DataFrame, *values: str) -> DataFrame:
@@ -71,16 +84,6 @@ def verdict(low: str, high: str) -> Column:
     return F.when((F.col(low) > 0) | (F.col(high) < 0), "Supported").otherwise("Interval includes zero")
 
 
-def ln_gamma(x: Column) -> Column:
-    """Logarithm of the gamma function for x > 0: Stirling's series eight places up, and back by the recurrence."""
-    z = x + 8
-    series = (z - 0.5) * F.ln(z) - z + 0.5 * math.log(2 * math.pi) + 1 / (12 * z) - 1 / (360 * z**3) + 1 / (1260 * z**5) - 1 / (1680 * z**7)
-    product = x
-    for i in range(1, 8):
-        product = product * (x + i)
-    return series - F.ln(product)
-
-
 def binomial_two_sided(b: Column, c: Column) -> Column:
     """Exact two-sided p of b against c at one half: twice the smaller tail, 1 at most; 1 if both are 0.
 
@@ -104,34 +107,3 @@ def mcnemar(df: DataFrame, first: str, second: str) -> DataFrame:
     """(b, c, p): rows only the first gets right, rows only the second does, and the exact test."""
     d = df.agg(F.count_if(F.col(first) & ~F.col(second)).alias("b"), F.count_if(~F.col(first) & F.col(second)).alias("c"))
     return d.select("b", "c", binomial_two_sided(F.col("b"), F.col("c")).alias("p"))
-
-
-def clopper_pearson(hits: str, n: str, level: float = 0.95) -> Column:
-    """struct(low, high): the exact interval of a share, by bisection on the binomial distribution."""
-
-    @F.pandas_udf("low double, high double")
-    def run(k: pd.Series, m: pd.Series) -> pd.DataFrame:
-        import math
-
-        def upper(k: int, n: int, p: float) -> float:  # P(X >= k)
-            if k <= 0:
-                return 1.0
-            if p <= 0:
-                return 0.0
-            if p >= 1:
-                return 1.0
-            logs = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p) for i in range(k, n + 1)]
-            return math.fsum(map(math.exp, logs))
-
-        def solve(k: int, n: int, goal: float) -> float:  # upper() grows with p
-            lo, hi = 0.0, 1.0
-            for _ in range(80):
-                mid = (lo + hi) / 2
-                lo, hi = (mid, hi) if upper(k, n, mid) < goal else (lo, mid)
-            return (lo + hi) / 2
-
-        a = (1 - level) / 2
-        rows = [(None, None) if pd.isna(x) or pd.isna(y) or y <= 0 else (0.0 if x == 0 else solve(int(x), int(y), a), 1.0 if x == y else solve(int(x) + 1, int(y), 1 - a)) for x, y in zip(k, m, strict=True)]
-        return pd.DataFrame(rows, columns=["low", "high"])
-
-    return run(F.col(hits), F.col(n))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import probs as P
@@ -277,7 +277,7 @@ DRAWN = f"n AS (SELECT count(*) AS n FROM gated), rows_ AS (SELECT *, row_number
 
 
 def boot(spark, d) -> DataFrame:
-    return B.bootstrap(gated(spark, d).select("id", "y", "pred", "pred_b", "ok", "single", "full_gate"), "id", REPS, SEED)
+    return B.bootstrap(gated(spark, d).select("id"), "id", REPS, SEED)
 
 
 @query("boot_index", f"WITH {PREDS}, {DRAWN} SELECT rep, count(*) AS n, CAST(sum(id) AS BIGINT) AS s FROM boot GROUP BY rep")
@@ -285,44 +285,81 @@ def boot_index(spark, d):
     return boot(spark, d).groupBy("rep").agg(F.count("*").alias("n"), F.sum("id").alias("s"))
 
 
-@query("boot_metric", f"WITH {PREDS}, {DRAWN} SELECT rep, round(avg(CAST(ok AS DOUBLE)), 9) AS accuracy FROM boot GROUP BY rep HAVING count(DISTINCT y) = 4")
+def counted_sql(cells: str, by: list[str]) -> str:
+    """CTEs up to ``boot``(rep, by, n): the multinomial counts of each replicate for ``cells``, a query of the columns ``by`` (booleans, but for y).
+
+    Cell after cell, the count is the number of outcomes whose binomial sum stays below the draw.
+    """
+    keys, steps = ", ".join(by), K * 2 ** (len(by) - 1) if by[0] == "y" else 2 ** len(by)
+    pmf = "exp(lgamma(free + 1) - lgamma(j + 1) - lgamma(free - j + 1) + j * ln(p) + (free - j) * ln(1 - p))"
+    out = f"cells AS (SELECT *, row_number() OVER (ORDER BY {keys}) - 1 AS i FROM (SELECT {keys}, count(*) AS c FROM ({cells}) GROUP BY {keys})), k0 AS (SELECT r.range AS rep, sum(c)::BIGINT AS free, sum(c)::BIGINT AS pool, NULL::BIGINT AS n FROM cells, range({REPS}) r GROUP BY r.range)"
+    for i in range(steps):
+        out += f""",
+        u{i} AS (SELECT rep, free, pool, coalesce(c, 0) AS c, coalesce(c, 0)::DOUBLE / greatest(pool, 1) AS p, ({draw_sql(f"'{SEED}'", "rep", f"'{i}'")} + 0.5) / 4294967296::DOUBLE AS u FROM k{i} LEFT JOIN cells ON i = {i}),
+        q{i} AS (SELECT rep, u, sum({pmf}) OVER (PARTITION BY rep ORDER BY j) AS f FROM (SELECT *, unnest(range(free + 1)) AS j FROM u{i} WHERE c > 0 AND c < pool AND free > 0)),
+        n{i} AS (SELECT rep, count(CASE WHEN f < u THEN 1 END) AS n FROM q{i} GROUP BY rep),
+        k{i + 1} AS (SELECT rep, free - n AS free, pool - c AS pool, n FROM (SELECT u.rep, free, pool, c, CASE WHEN c = pool THEN free ELSE coalesce(x.n, 0) END AS n FROM u{i} u LEFT JOIN n{i} x ON x.rep = u.rep))"""
+    return out + ", boot AS (" + " UNION ALL ".join(f"SELECT k.rep, {keys}, CAST(k.n AS BIGINT) AS n FROM k{i + 1} k JOIN cells ON i = {i}" for i in range(steps)) + ")"
+
+
+def counts(df: DataFrame, *by: str) -> DataFrame:
+    return B.bootstrap_counts(df, REPS, SEED, *by)
+
+
+def share(condition: str) -> Column:
+    """Of a replicate's draws, those with the condition."""
+    return F.sum(F.when(F.col(condition), F.col("n")).otherwise(0)) / F.sum("n")
+
+
+def share_sql(condition: str) -> str:
+    return f"sum(CASE WHEN {condition} THEN n ELSE 0 END)::DOUBLE / sum(n)::DOUBLE"
+
+
+@query("boot_metric", f"WITH {PREDS}, {counted_sql('SELECT y, ok FROM gated', ['y', 'ok'])} SELECT rep, round({share_sql('ok')}, 9) AS accuracy FROM boot WHERE n > 0 GROUP BY rep HAVING count(DISTINCT y) = 4")
 def boot_metric(spark, d):
-    b = boot(spark, d).groupBy("rep").agg(F.round(F.avg(F.col("ok").cast("double")), 9).alias("accuracy"), F.count_distinct("y").alias("k"))
+    """Accuracy of the replicates that hold all classes."""
+    b = counts(gated(spark, d), "y", "ok").where("n > 0").groupBy("rep").agg(F.round(share("ok"), 9).alias("accuracy"), F.count_distinct("y").alias("k"))
     return b.where(F.col("k") == K).select("rep", "accuracy")
 
 
-CELLED = f"rc AS (SELECT ok, full_gate, row_number() OVER (ORDER BY ok, full_gate, id) - 1 AS idx FROM gated), n AS (SELECT count(*) AS n FROM gated), d AS (SELECT rep.range AS rep, {draw_sql(f"'{SEED}'", 'rep.range', 'pos.range')} % n AS idx FROM n, range({REPS}) rep, LATERAL (SELECT unnest(range(n.n)) AS range) pos)"
+@query("boot_cells", f"WITH {PREDS}, {counted_sql('SELECT ok, full_gate FROM gated', ['ok', 'full_gate'])} SELECT rep, ok, full_gate, n FROM boot")
+def boot_cells(spark, d):
+    return counts(gated(spark, d), "ok", "full_gate").select("rep", "ok", "full_gate", "n")
+
 
+PAIRED = counted_sql("SELECT pred_a = y AS ok, pred_b = y AS ok_b FROM preds", ["ok", "ok_b"])
+DELTA = f"SELECT rep, {share_sql('ok')} - {share_sql('ok_b')} AS delta FROM boot GROUP BY rep"
 
-@query("boot_cells", f"WITH {PREDS}, {CELLED} SELECT rep, ok, full_gate, count(*) AS n FROM d JOIN rc ON rc.idx = d.idx GROUP BY rep, ok, full_gate")
-def boot_cells(spark, d):
-    return B.bootstrap_cells(gated(spark, d), "id", REPS, SEED, "ok", "full_gate").select("rep", "ok", "full_gate", "n")
+
+def paired(spark, d) -> DataFrame:
+    g = gated(spark, d).select("ok", (F.col("pred_b") == F.col("y")).alias("ok_b"))
+    return counts(g, "ok", "ok_b").groupBy("rep").agg((share("ok") - share("ok_b")).alias("delta"))
 
 
-@query("boot_paired", f"WITH {PREDS}, {DRAWN} SELECT rep, round(avg(CAST(pred_a = y AS DOUBLE)) - avg(CAST(pred_b = y AS DOUBLE)), 9) AS delta FROM boot GROUP BY rep")
+@query("boot_paired", f"WITH {PREDS}, {PAIRED} SELECT rep, round(delta, 9) AS delta FROM ({DELTA})")
 def boot_paired(spark, d):
-    hit = lambda c: F.avg((F.col(c) == F.col("y")).cast("double"))
-    return boot(spark, d).groupBy("rep").agg(F.round(hit("pred") - hit("pred_b"), 9).alias("delta"))
+    return paired(spark, d).select("rep", r("delta"))
 
 
-REFERRED = "x AS (SELECT rep, avg(CAST(single AS DOUBLE)) AS c1, avg(CAST(full_gate AS DOUBLE)) AS c2 FROM boot GROUP BY rep)"
+REFERRED = counted_sql("SELECT single, full_gate FROM gated", ["single", "full_gate"]) + f", x AS (SELECT rep, {share_sql('single')} AS c1, {share_sql('full_gate')} AS c2 FROM boot GROUP BY rep)"
 
 
-@query("join_pivot", f"WITH {PREDS}, {DRAWN}, {REFERRED} SELECT rep, round(c1, 9) AS single, round(c2, 9) AS \"full\" FROM x")
+@query("join_pivot", f"WITH {PREDS}, {REFERRED} SELECT rep, round(c1, 9) AS single, round(c2, 9) AS \"full\" FROM x")
 def join_pivot(spark, d):
-    m = boot(spark, d).select("rep", F.explode(F.create_map(F.lit("single"), "single", F.lit("full"), "full_gate")).alias("rule", "kept"))
-    return m.groupBy("rep").pivot("rule", ["single", "full"]).agg(F.round(F.avg(F.col("kept").cast("double")), 9))
+    b = counts(gated(spark, d), "single", "full_gate")
+    m = b.select("rep", "n", F.explode(F.create_map(F.lit("single"), "single", F.lit("full"), "full_gate")).alias("rule", "kept"))
+    return m.groupBy("rep").pivot("rule", ["single", "full"]).agg(F.round(share("kept"), 9))
 
 
-@query("agg_ci", f"WITH {PREDS}, {DRAWN}, {REFERRED} SELECT 'full' AS metric, round(quantile_cont(c2, 0.025), 9) AS low, round(quantile_cont(c2, 0.5), 9) AS median, round(quantile_cont(c2, 0.975), 9) AS high FROM x UNION ALL SELECT 'single', round(quantile_cont(c1, 0.025), 9), round(quantile_cont(c1, 0.5), 9), round(quantile_cont(c1, 0.975), 9) FROM x")
+@query("agg_ci", f"WITH {PREDS}, {REFERRED} SELECT 'full' AS metric, round(quantile_cont(c2, 0.025), 9) AS low, round(quantile_cont(c2, 0.5), 9) AS median, round(quantile_cont(c2, 0.975), 9) AS high FROM x UNION ALL SELECT 'single', round(quantile_cont(c1, 0.025), 9), round(quantile_cont(c1, 0.5), 9), round(quantile_cont(c1, 0.975), 9) FROM x")
 def agg_ci(spark, d):
-    x = boot(spark, d).groupBy("rep").agg(F.avg(F.col("single").cast("double")).alias("single"), F.avg(F.col("full_gate").cast("double")).alias("full"))
+    x = counts(gated(spark, d), "single", "full_gate").groupBy("rep").agg(share("single").alias("single"), share("full_gate").alias("full"))
     return B.interval(x, "single", "full").select("metric", r("low"), r("median"), r("high"))
 
 
-@query("test_verdict", f"WITH {PREDS}, {DRAWN}, x AS (SELECT rep, avg(CAST(pred_a = y AS DOUBLE)) - avg(CAST(pred_b = y AS DOUBLE)) AS d FROM boot GROUP BY rep), q AS (SELECT round(quantile_cont(d, 0.025), 9) AS low, round(quantile_cont(d, 0.975), 9) AS high FROM x) SELECT low, high, CASE WHEN low > 0 OR high < 0 THEN 'Supported' ELSE 'Interval includes zero' END AS verdict FROM q")
+@query("test_verdict", f"WITH {PREDS}, {PAIRED}, x AS ({DELTA}), q AS (SELECT round(quantile_cont(delta, 0.025), 9) AS low, round(quantile_cont(delta, 0.975), 9) AS high FROM x) SELECT low, high, CASE WHEN low > 0 OR high < 0 THEN 'Supported' ELSE 'Interval includes zero' END AS verdict FROM q")
 def test_verdict(spark, d):
-    return B.interval(boot_paired(spark, d), "delta").select(r("low"), r("high"), B.verdict("low", "high").alias("verdict"))
+    return B.interval(paired(spark, d), "delta").select(r("low"), r("high"), B.verdict("low", "high").alias("verdict"))
 
 
 @query("test_mcnemar", f"WITH {PREDS}, m AS (SELECT count_if(pred_a = y AND pred_b <> y) AS b, count_if(pred_a <> y AND pred_b = y) AS c FROM preds), t AS (SELECT b, c, sum(exp(lgamma(b + c + 1) - lgamma(i + 1) - lgamma(b + c - i + 1) - (b + c) * ln(2::DOUBLE))) AS tail FROM (SELECT b, c, unnest(range(least(b, c) + 1)) AS i FROM m) GROUP BY b, c) SELECT b, c, round(least(1, 2 * tail), 9) AS p FROM t")
@@ -331,9 +368,23 @@ def test_mcnemar(spark, d):
     return B.mcnemar(g, "ok", "ok_b").select("b", "c", r("p"))
 
 
-@query("test_cp")
+EXACT = """
+WITH RECURSIVE {preds}, k AS (SELECT y, CAST(count_if(pred_a = y) AS BIGINT) AS hits, CAST(count(*) AS BIGINT) AS n FROM preds GROUP BY y),
+-- P(X >= least) grows with p: the low end is where that of the hits is 0.025, the high end where that of one more is 0.975
+side AS (SELECT y, n, hits AS least, 0.025::DOUBLE AS goal, 'low' AS side FROM k UNION ALL SELECT y, n, hits + 1, 0.975::DOUBLE, 'high' FROM k),
+cut AS (
+    SELECT 0 AS step, y, side, n, least, goal, 0::DOUBLE AS lo, 1::DOUBLE AS hi FROM side
+    UNION ALL
+    SELECT step + 1, y, side, n, least, goal, CASE WHEN f < goal THEN (lo + hi) / 2 ELSE lo END, CASE WHEN f < goal THEN hi ELSE (lo + hi) / 2 END
+    FROM (SELECT *, list_sum([exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln((lo + hi) / 2) + (n - i) * ln(1 - (lo + hi) / 2)) FOR i IN range(least, n + 1)]) AS f FROM cut WHERE step < 45)
+), ends AS (SELECT y, max(CASE WHEN side = 'low' THEN CASE WHEN least = 0 THEN 0 ELSE (lo + hi) / 2 END END) AS low, max(CASE WHEN side = 'high' THEN CASE WHEN least > n THEN 1 ELSE (lo + hi) / 2 END END) AS high FROM cut WHERE step = 45 GROUP BY y)
+SELECT k.y, hits, n, round(low, 9) AS low, round(high, 9) AS high FROM k JOIN ends ON k.y = ends.y
+"""
+
+
+@query("test_cp", EXACT.format(preds=PREDS))
 def test_cp(spark, d):
-    """Exact intervals of accuracy per class; rows only, as SQL has no beta quantile."""
+    """Exact intervals of accuracy per class; the twin halves binomial sums."""
     n = gated(spark, d).groupBy("y").agg(F.count_if("ok").alias("hits"), F.count("*").alias("n"))
     return n.withColumn("ci", B.clopper_pearson("hits", "n")).select("y", "hits", "n", F.round("ci.low", 9).alias("low"), F.round("ci.high", 9).alias("high"))
 

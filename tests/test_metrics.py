@@ -1,11 +1,16 @@
 """Metrics against known tables and brute force."""
 
 import itertools
+import math
 import random
+from collections import Counter
+from statistics import NormalDist
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from probata.functions import distributions as D
 from probata.operators import metrics as M
 from probata.operators import resample as B
 
@@ -91,13 +96,90 @@ def test_clopper_pearson_known_value(spark):
     assert r[3].ci.low is None
 
 
-def test_cells_draw_what_rows_draw(spark):
-    rows = [(i, i % 3 == 0, i % 5 == 0) for i in range(60)]
+def binomial_by_sums(u, n, p):
+    if n == 0 or p <= 0:
+        return 0
+    if p >= 1:
+        return n
+    logs = [math.lgamma(n + 1) - math.lgamma(j + 1) - math.lgamma(n - j + 1) + j * math.log(p) + (n - j) * math.log1p(-p) for j in range(n + 1)]
+    up = np.cumsum(np.exp(logs))
+    down = np.cumsum(np.exp(logs)[::-1])[::-1]
+    below = np.where(up < 0.5, up, 1 - np.append(down[1:], 0))
+    return int((below < u).sum())
+
+
+def test_binomial_quantiles(spark):
+    g = np.random.default_rng(1)
+    rows = [(float(u), n, p) for n in (0, 1, 2, 5, 30, 99, 101, 400, 3000) for p in (0.0, 1e-6, 0.01, 0.2, 0.5, 0.63, 0.9, 0.9999, 1.0) for u in [*g.random(3), 2**-33, 1 - 2**-33]]
+    df = spark.createDataFrame(rows, "u double, n long, p double")
+    for r in df.select("u", "n", "p", D.binomial_quantile(F.col("u"), F.col("n"), F.col("p")).alias("k")).collect():
+        assert r.k == binomial_by_sums(r.u, r.n, r.p), r
+
+
+def test_binomial_quantiles_of_large_numbers(spark):
+    """Against the normal quantile with its correction for skewness, which is within a place at a thousand million rows."""
+    rows = [(u, n, p) for n in (10**6, 10**9) for p in (0.1, 0.31, 0.5, 0.97) for u in (1e-9, 0.01, 0.3, 0.5, 0.9, 1 - 1e-9)]
+    df = spark.createDataFrame(rows, "u double, n long, p double")
+    for r in df.select("u", "n", "p", D.binomial_quantile(F.col("u"), F.col("n"), F.col("p")).alias("k")).collect():
+        z, sd = NormalDist().inv_cdf(r.u), math.sqrt(r.n * r.p * (1 - r.p))
+        q = 1 - 2 * r.p
+        want = r.n * r.p + z * sd + (z * z - 1) * q / 6 - 0.5
+        assert abs(r.k - want) <= 1.5, (r, want)
+
+
+def test_clopper_pearson_of_large_numbers(spark):
+    """The ends solve the binomial tails; at 10**9 they agree with the normal interval to its own order."""
+    rows = [(k, n) for n in (1, 2, 7, 60, 500) for k in {0, 1, n // 3, n - 1, n} if 0 <= k <= n] + [(310_000_000, 10**9), (1, 10**9), (10**9, 10**9)]
+    got = spark.createDataFrame(rows, "k long, n long").select("k", "n", B.clopper_pearson("k", "n").alias("ci")).collect()
+
+    def at_least(k, n, p):
+        return math.fsum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k, n + 1))
+
+    for r in got:
+        if r.n <= 500:
+            assert r.ci.low == 0 if r.k == 0 else at_least(r.k, r.n, r.ci.low) == pytest.approx(0.025, rel=1e-9)
+            assert r.ci.high == 1 if r.k == r.n else at_least(r.k + 1, r.n, r.ci.high) == pytest.approx(0.975, rel=1e-9)
+    ends = {r.k: r.ci for r in got if r.n == 10**9}
+    wide = NormalDist().inv_cdf(0.975) * math.sqrt(0.31 * 0.69 / 1e9)
+    assert ends[310_000_000].low == pytest.approx(0.31 - wide, abs=3e-9)
+    assert ends[310_000_000].high == pytest.approx(0.31 + wide, abs=3e-9)
+    assert ends[1].low == pytest.approx(-math.log1p(-0.025) / 1e9, rel=1e-8)
+    assert ends[10**9].low == pytest.approx(0.025 ** (1 / 1e9), rel=1e-12)
+    odd = spark.createDataFrame([(3, 2), (-1, 2), (None, 2), (1, None)], "k long, n long").select(B.clopper_pearson("k", "n").alias("ci")).collect()
+    assert {(r.ci.low, r.ci.high) for r in odd} == {(None, None)}
+
+
+def test_counts_are_multinomial(spark):
+    """Moments of the counts, and intervals of a share next to those of drawn rows."""
+    rows = [(i, i % 3 == 0, i % 5 == 0) for i in range(600)]
     df = spark.createDataFrame(rows, "id long, a boolean, b boolean")
-    fast = {(r.rep, r.a, r.b): r.n for r in B.bootstrap_cells(df, "id", 8, "s", "a", "b").collect()}
-    order = df.orderBy("a", "b", "id").select("a", "b").collect()
-    want = {}
-    for d in B.draws(spark, 8, 60, "s").collect():
-        k = (d.rep, order[d.idx].a, order[d.idx].b)
-        want[k] = want.get(k, 0) + 1
-    assert fast == want
+    reps, own = 800, Counter((a, b) for _, a, b in rows)
+    got = {}
+    for r in B.bootstrap_counts(df, reps, "s", "a", "b").collect():
+        got.setdefault(r.rep, {})[(r.a, r.b)] = r.n
+    assert set(got) == set(range(reps))
+    assert all(sum(x.values()) == 600 for x in got.values())
+    for i, c in enumerate(sorted(own)):
+        x = np.array([v[c] for v in got.values()])
+        p = own[c] / 600
+        assert abs(x.mean() - 600 * p) < 4 * math.sqrt(600 * p * (1 - p) / reps)
+        assert x.var() == pytest.approx(600 * p * (1 - p), rel=0.25)
+        for d in sorted(own)[i + 1 :]:
+            y = np.array([v[d] for v in got.values()])
+            assert np.cov(x, y)[0, 1] == pytest.approx(-600 * p * own[d] / 600, abs=12)
+    drawn = B.bootstrap(df, "id", reps, "s").groupBy("rep").agg(F.avg(F.col("a").cast("double")).alias("v"))
+    counted = B.bootstrap_counts(df, reps, "s", "a").groupBy("rep").agg((F.sum(F.when(F.col("a"), F.col("n"))) / F.sum("n")).alias("v"))
+    one, two = (B.interval(x, "v").first() for x in (drawn, counted))
+    for end in ("low", "median", "high"):
+        assert one[end] == pytest.approx(two[end], abs=0.008)
+    again = {(r.rep, r.a, r.b): r.n for r in B.bootstrap_counts(df.repartition(3), reps, "s", "a", "b").collect()}
+    assert again == {(rep, *c): n for rep, x in got.items() for c, n in x.items()}
+
+
+def test_counts_of_few_rows(spark):
+    df = spark.createDataFrame([], "a boolean, s string")
+    assert B.bootstrap_counts(df, 5, "s", "a").count() == 0
+    df = spark.createDataFrame([(None, "x"), (None, "x"), (True, "y")], "a boolean, s string")
+    got = B.bootstrap_counts(df, 50, "s", "a", "s").groupBy("rep").agg(F.sum("n").alias("n")).collect()
+    assert {r.n for r in got} == {3}
+    assert len(got) == 50
