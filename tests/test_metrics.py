@@ -166,7 +166,9 @@ def test_counts_are_multinomial(spark):
         assert x.var() == pytest.approx(600 * p * (1 - p), rel=0.25)
         for d in sorted(own)[i + 1 :]:
             y = np.array([v[d] for v in got.values()])
-            assert np.cov(x, y)[0, 1] == pytest.approx(-600 * p * own[d] / 600, abs=12)
+            want = -p * own[d]
+            spread = math.sqrt((600 * p * (1 - p) * own[d] * (1 - own[d] / 600) + want**2) / reps)
+            assert np.cov(x, y)[0, 1] == pytest.approx(want, abs=4 * spread)
     drawn = B.bootstrap(df, "id", reps, "s").groupBy("rep").agg(F.avg(F.col("a").cast("double")).alias("v"))
     counted = B.bootstrap_counts(df, reps, "s", "a").groupBy("rep").agg((F.sum(F.when(F.col("a"), F.col("n"))) / F.sum("n")).alias("v"))
     one, two = (B.interval(x, "v").first() for x in (drawn, counted))
