@@ -3,17 +3,17 @@
 from __future__ import annotations
 
 import hashlib
-import random
 from collections.abc import Sequence
 from itertools import combinations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import checkpoint
 from .graph import components
-from .ranks import places
+from .ranks import BROADCAST_ROWS, places
 
 
 def exact_groups(df: DataFrame, content: str, id: str) -> DataFrame:
@@ -46,19 +46,40 @@ def sign_hash(vector: str, bits: int = 60) -> Column:
     return F.aggregate(v, F.struct(F.lit(0).cast("long").alias("h"), F.lit(1).cast("long").alias("b")), lambda a, x: F.struct((a["h"] + F.when(x > 0, a["b"]).otherwise(F.lit(0).cast("long"))).alias("h"), (a["b"] * 2).alias("b")), lambda a: a["h"])
 
 
-def near_kinds(hashes: DataFrame, radius: int, bits: int = 60) -> DataFrame:
+def finer(mask: int, radius: int, bits: int) -> list[int]:
+    """``mask`` with one more of radius + 1 parts of the bits that it leaves open, each."""
+    free = [1 << i for i in range(bits) if not mask >> i & 1]
+    return [mask | sum(free[i :: radius + 1]) for i in range(radius + 1)]
+
+
+def near_kinds(hashes: DataFrame, radius: int, bits: int = 60, most: int = 1000) -> DataFrame:
     """(h, h2, distance) of distinct hashes (h) that differ in at most ``radius`` bits, h < h2.
 
-    Of radius + 2 bands of bits such hashes agree in two at least, so candidates come from an equi-join on pairs of bands.
+    Of radius + 2 bands of bits such hashes agree in two at least, so candidates come from an equi-join on pairs of bands. Where
+    more than ``most`` hashes agree in a pair, what differs lies in the other bits, so of radius + 1 parts of these two near
+    hashes agree in one at least: such a bucket is dealt to finer ones by its parts, and these likewise, until none is large.
     """
-    bands = radius + 2
-    edges = [round(i * bits / bands) for i in range(bands + 1)]
-    piece = lambda i: F.shiftrightunsigned("h", edges[i]).bitwiseAND(F.lit((1 << edges[i + 1] - edges[i]) - 1))
-    both = [F.struct(F.lit(n).alias("band"), F.shiftleft(piece(i), edges[j + 1] - edges[j]).bitwiseOR(piece(j)).alias("piece")) for n, (i, j) in enumerate(combinations(range(bands), 2))]
-    keyed = hashes.select("h", F.explode(F.array(*both)).alias("k")).select("h", "k.band", "k.piece")
+    most = max(most, 1 << radius)  # hashes that agree in all but ``radius`` bits are no more than that
+    edges = [round(i * bits / (radius + 2)) for i in range(radius + 3)]
+    bands = [(1 << high) - (1 << low) for low, high in zip(edges, edges[1:], strict=False)]
+    masks = [a | b for a, b in combinations(bands, 2)]
+    keyed = hashes.select("h", F.explode(F.array(*[F.lit(m) for m in masks])).alias("mask")).withColumn("v", F.col("h").bitwiseAND(F.col("mask")))
     distance = F.bit_count(F.col("h").bitwiseXOR(F.col("h2")))
-    near = keyed.join(keyed.withColumnRenamed("h", "h2"), ["band", "piece"]).where((F.col("h") < F.col("h2")) & (distance <= radius))
-    return near.select("h", "h2", distance.cast("int").alias("distance")).distinct()
+    out = None
+    while True:
+        hot = checkpoint(keyed.groupBy("mask", "v").agg(F.count("*").alias("n")).where(F.col("n") > most).select("mask", "v"))
+        last = hot.isEmpty()
+        cold = keyed if last else keyed.join(hot, ["mask", "v"], "left_anti")
+        near = cold.join(cold.withColumnRenamed("h", "h2"), ["mask", "v"]).where((F.col("h") < F.col("h2")) & (distance <= radius))
+        near = near.select("h", "h2", distance.cast("int").alias("distance"))
+        out = near if out is None else out.unionByName(near)
+        if last:
+            return out.distinct()
+        children = {m: finer(m, radius, bits) for m in masks}
+        masks = sorted({c for own in children.values() for c in own})
+        table = hashes.sparkSession.createDataFrame(sorted(children.items()), "mask long, finer array<long>")
+        split = keyed.join(hot, ["mask", "v"], "left_semi").join(F.broadcast(table), "mask")
+        keyed = checkpoint(split.select("h", F.explode("finer").alias("mask")).withColumn("v", F.col("h").bitwiseAND(F.col("mask"))))
 
 
 def kinds(df: DataFrame, id: str, hash: str) -> DataFrame:
@@ -112,21 +133,33 @@ def conflict_components(df: DataFrame, label: str, name: str, most: int = 20, gr
     return c.join(names, group).select(group, "size", "classes", "names")
 
 
-def choose_groups(sizes: Sequence[tuple[int, int]], target: int, seed: str) -> set[int]:
-    """Whole groups (id, size) that sum to ``target`` or, if no choice does, to the most that stays below it."""
-    order = sorted(sizes)
-    random.Random(int(hashlib.md5(seed.encode()).hexdigest(), 16)).shuffle(order)
-    reach: dict[int, tuple[int, int]] = {0: (0, -1)}  # sum -> previous sum, place of the group added
-    for place, (_, size) in enumerate(order):
-        for s in sorted(reach, reverse=True):
-            if s + size <= target and s + size not in reach:
-                reach[s + size] = (s, place)
-        if target in reach:
+def choose_sizes(sizes: Sequence[tuple[int, int]], target: int, seed: str) -> dict[int, int]:
+    """How many groups of each size to take of (size, how many there are), so that they sum to ``target`` or, if no choice does, to the most that stays below it.
+
+    Groups of one size are alike here, so the work follows from the sizes and the target, not from the groups. A size goes in
+    as one, two, four, ... groups at a time; sizes are tried in an order that follows from ``seed``.
+    """
+    items = []
+    for size, count in sizes:
+        count, step = min(count, target // size if size else 0), 1
+        while count > 0:
+            items.append((size, min(step, count)))
+            count, step = count - step, 2 * step
+    items.sort(key=lambda x: hashlib.md5(f"{seed}|{x[0]}|{x[1]}".encode()).hexdigest())
+    reach, last = np.zeros(target + 1, bool), np.full(target + 1, -1)
+    reach[0] = True
+    for n, (size, times) in enumerate(items):
+        w = size * times
+        fresh = np.flatnonzero(reach[:-w] & ~reach[w:]) + w if w <= target else []
+        reach[fresh], last[fresh] = True, n
+        if reach[target]:
             break
-    out, at = set(), max(reach)
+    out: dict[int, int] = {}
+    at = int(np.flatnonzero(reach)[-1])
     while at:
-        at, place = reach[at]
-        out.add(order[place][0])
+        size, times = items[last[at]]
+        out[size] = out.get(size, 0) + times
+        at -= size * times
     return out
 
 
@@ -136,18 +169,31 @@ def target_size(total: int, wanted: int) -> int:
 
 
 def split_groups(df: DataFrame, by: str, group: str, test: int, val: int, seed: str = "42") -> DataFrame:
-    """(by, group, size, split): groups of each class dealt whole to test, then validation, then train."""
-    g = df.groupBy(by, group).agg(F.count("*").alias("size"))
+    """(by, group, size, split): groups of each class dealt whole to test, then validation, then train.
+
+    A class is seen as its counts of group sizes, up to the target; which groups of a size go where is settled by their places
+    in the order of md5(seed|class|group), so no task holds the groups of a class. A null class is one of its own.
+    """
+    g = checkpoint(df.groupBy(by, group).agg(F.count("*").alias("size")))
+    total = g.groupBy(F.col(by).alias("__by")).agg(F.sum("size").alias("rows"))
+    counts = g.where(F.col("size") <= max(test, val, 1)).groupBy(F.col(by).alias("__by"), F.col("size").alias("__size")).agg(F.count("*").alias("groups"))
+    counts = counts.join(F.broadcast(total.withColumnRenamed("__by", "__b")), F.col("__by").eqNullSafe(F.col("__b"))).drop("__b")  # a row per class
 
     def deal(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = int(pdf["size"].sum())
-        sizes = [(int(i), int(s)) for i, s in zip(pdf[group], pdf["size"], strict=True)]
-        first = choose_groups(sizes, target_size(total, test), f"{seed}|{pdf[by].iloc[0]}|test")
-        second = choose_groups([x for x in sizes if x[0] not in first], target_size(total, val), f"{seed}|{pdf[by].iloc[0]}|val")
-        return pdf.assign(split=["test" if i in first else "val" if i in second else "train" for i in pdf[group]])
+        rows, have = int(pdf["rows"].iloc[0]), dict(zip(pdf["__size"].tolist(), pdf["groups"].tolist(), strict=True))
+        first = choose_sizes(sorted(have.items()), target_size(rows, test), f"{seed}|{pdf['__by'].iloc[0]}|test")
+        left = sorted((s, n - first.get(s, 0)) for s, n in have.items())
+        second = choose_sizes(left, target_size(rows, val), f"{seed}|{pdf['__by'].iloc[0]}|val")
+        return pdf.assign(test=[first.get(s, 0) for s in pdf["__size"]], val=[second.get(s, 0) for s in pdf["__size"]])[["__by", "__size", "test", "val"]]
 
     kind = {f.name: f.dataType.simpleString() for f in g.schema.fields}
-    return g.groupBy(by).applyInPandas(deal, f"{by} {kind[by]}, {group} {kind[group]}, size long, split string")
+    takes = checkpoint(counts.groupBy("__by").applyInPandas(deal, f"__by {kind[by]}, __size long, test long, val long"))
+    takes = F.broadcast(takes) if takes.count() <= BROADCAST_ROWS else takes
+    key = F.md5(F.concat_ws("|", F.lit(seed), F.col(by).cast("string"), F.col(group).cast("string")).cast("binary"))
+    placed = places(g.withColumn("__key", key), ["__key", group], by, "size", out="__place")
+    d = placed.join(takes, F.col(by).eqNullSafe(F.col("__by")) & (F.col("size") == F.col("__size")), "left")
+    split = F.when(F.col("__place") <= F.col("test"), "test").when(F.col("__place") <= F.col("test") + F.col("val"), "val").otherwise("train")
+    return d.select(by, group, "size", split.alias("split"))
 
 
 def leaks(df: DataFrame, group: str = "component", split: str = "split") -> DataFrame:

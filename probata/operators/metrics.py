@@ -1,8 +1,8 @@
 """Metrics of classifiers as aggregates: confusion, report, ranks, calibration, decision curves.
 
 Inputs have a true class ``y`` (0 to k - 1), and a vector ``p`` or a prediction ``pred``. Undefined ratios are null, but
-for precision, recall and F1, which are 0. Running sums over scores are taken over score ranges first and then within
-them, so a metric over all rows needs no single partition.
+for precision, recall and F1, which are 0. Running sums over scores are those of ranges of the sorted rows, so a metric
+over all rows needs no single partition, wherever the scores crowd.
 """
 
 from __future__ import annotations
@@ -13,11 +13,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.probs import argmax, clipped, onehot, top, total
-from .ranks import quantiles
+from .ranks import prefix_sums, quantiles
 
 #: Bounds of the log loss: the machine epsilon.
 EPS = 2.220446049250313e-16
-RANGES = 256
 
 
 def confusion(df: DataFrame, k: int, y: str = "y", pred: str = "pred") -> DataFrame:
@@ -86,15 +85,10 @@ def scored(df: DataFrame, k: int, y: str = "y", p: str = "p") -> DataFrame:
 
 
 def running(points: DataFrame, group: str = "c", score: str = "score") -> DataFrame:
-    """(group, score, pos, neg) of distinct scores from 0 to 1, with pos_above and neg_above: what scores higher."""
+    """(group, score, pos, neg) of distinct scores, with pos_above and neg_above: what scores higher."""
     d = points.groupBy(group, score).agg(F.sum("hit").alias("pos"), F.sum(1 - F.col("hit")).alias("neg"))
-    d = d.withColumn("part", F.least(F.floor(F.col(score) * RANGES), F.lit(RANGES)).cast("int"))
-    sums = d.groupBy(group, "part").agg(F.sum("pos").alias("ps"), F.sum("neg").alias("ns"))
-    above = Window.partitionBy(group).orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(group, "part", F.coalesce(F.sum("ps").over(above), F.lit(0)).alias("pa"), F.coalesce(F.sum("ns").over(above), F.lit(0)).alias("na"))
-    inside = Window.partitionBy(group, "part").orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, -1)
-    d = d.withColumn("pi", F.coalesce(F.sum("pos").over(inside), F.lit(0))).withColumn("ni", F.coalesce(F.sum("neg").over(inside), F.lit(0)))
-    return d.join(sums, [group, "part"]).select(group, score, "pos", "neg", (F.col("pa") + F.col("pi")).alias("pos_above"), (F.col("na") + F.col("ni")).alias("neg_above"))
+    d = prefix_sums(d, [F.desc(score)], ["pos", "neg"], group)
+    return d.select(group, score, "pos", "neg", F.col("pos_before").alias("pos_above"), F.col("neg_before").alias("neg_above"))
 
 
 def auc(points: DataFrame, group: str = "c", score: str = "score") -> DataFrame:
@@ -114,8 +108,9 @@ def average_precision(points: DataFrame, group: str = "c", score: str = "score")
 def roc(points: DataFrame, group: str = "c", score: str = "score") -> DataFrame:
     """(group, score, fpr, tpr) at every distinct score."""
     r = running(points, group, score)
-    every = Window.partitionBy(group)
-    return r.select(group, score, F.try_divide(F.col("neg_above") + F.col("neg"), F.sum("neg").over(every)).alias("fpr"), F.try_divide(F.col("pos_above") + F.col("pos"), F.sum("pos").over(every)).alias("tpr"))
+    total = points.groupBy(F.col(group).alias("__g")).agg(F.sum("hit").alias("__pos"), F.sum(1 - F.col("hit")).alias("__neg"))
+    r = r.join(F.broadcast(total), F.col(group).eqNullSafe(F.col("__g")))  # a row per class
+    return r.select(group, score, F.try_divide(F.col("neg_above") + F.col("neg"), F.col("__neg")).alias("fpr"), F.try_divide(F.col("pos_above") + F.col("pos"), F.col("__pos")).alias("tpr"))
 
 
 def brier(df: DataFrame, k: int, y: str = "y", p: str = "p") -> DataFrame:

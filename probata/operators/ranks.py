@@ -13,24 +13,48 @@ from ..session import checkpoint
 BROADCAST_ROWS = 200_000
 
 
+def _ranged(df: DataFrame, order: Sequence[str | Column], by: Sequence[str]) -> DataFrame:
+    """``df`` sorted by ranges over all executors, with its place in a partition and the partition as __m and __p."""
+    return checkpoint(df.orderBy(*by, *order)).withColumn("__m", F.monotonically_increasing_id()).withColumn("__p", F.shiftright("__m", 33))
+
+
+def _joined(d: DataFrame, sums: DataFrame, by: Sequence[str]) -> DataFrame:
+    """``d`` with the columns of ``sums``, which has a row per group and partition."""
+    keys = [*by, "__p"]
+    sums = sums.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(keys)], *[c for c in sums.columns if c not in keys])
+    same = F.lit(True)
+    for i, c in enumerate(keys):
+        same = same & F.col(c).eqNullSafe(F.col(f"__k{i}"))
+    return d.join(F.broadcast(sums) if sums.count() <= BROADCAST_ROWS else sums, same)
+
+
 def places(df: DataFrame, order: Sequence[str | Column], *by: str, out: str = "place") -> DataFrame:
     """``df`` with ``out``: the place from 1 of a row within ``by`` in the given order, which has to settle ties.
 
     Rows are sorted by ranges over all executors. A row's place is its place in its partition's part of the group, plus
     what the partitions before hold of the group, so there is a count per group and partition and nothing larger.
     """
-    d = checkpoint(df.orderBy(*by, *order)).withColumn("__m", F.monotonically_increasing_id()).withColumn("__p", F.shiftright("__m", 33))
+    d = _ranged(df, order, by)
     sums = d.groupBy(*by, "__p").agg(F.count("*").alias("__n"), F.min("__m").alias("__f"))
     # by partition there are few rows of one group, but for one that many partitions share
     up = Window.partitionBy(*by).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
     sums = checkpoint(sums.withColumn("__b", F.coalesce(F.sum("__n").over(up), F.lit(0)) - F.col("__f") + 1).drop("__n", "__f"))
-    keys = [c for c in (*by, "__p")]
-    sums = sums.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(keys)], "__b")
-    same = F.lit(True)
-    for i, c in enumerate(keys):
-        same = same & F.col(c).eqNullSafe(F.col(f"__k{i}"))
-    joined = d.join(F.broadcast(sums) if sums.count() <= BROADCAST_ROWS else sums, same)
-    return joined.withColumn(out, F.col("__m") + F.col("__b")).select(*df.columns, out)
+    return _joined(d, sums, by).withColumn(out, F.col("__m") + F.col("__b")).select(*df.columns, out)
+
+
+def prefix_sums(df: DataFrame, order: Sequence[str | Column], values: Sequence[str], *by: str) -> DataFrame:
+    """``df`` with ``<value>_before`` of each of ``values``: its sum over the rows of ``by`` before in the given order, which has to settle ties.
+
+    As ``places``: within a partition's part of a group sums run over its rows, and the parts before count with their totals.
+    Ranges follow the rows, so values that crowd in one corner of the order are spread like any others.
+    """
+    d = _ranged(df, order, by)
+    up = Window.partitionBy(*by).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    sums = d.groupBy(*by, "__p").agg(*[F.sum(v).alias(f"__s{i}") for i, v in enumerate(values)])
+    sums = checkpoint(sums.select(*by, "__p", *[F.coalesce(F.sum(f"__s{i}").over(up), F.lit(0)).alias(f"__b{i}") for i in range(len(values))]))
+    inside = Window.partitionBy(*by, "__p").orderBy("__m").rowsBetween(Window.unboundedPreceding, -1)
+    d = d.withColumns({f"__i{i}": F.coalesce(F.sum(v).over(inside), F.lit(0)) for i, v in enumerate(values)})
+    return _joined(d, sums, by).select(*df.columns, *[(F.col(f"__b{i}") + F.col(f"__i{i}")).alias(f"{v}_before") for i, v in enumerate(values)])
 
 
 def quantiles(df: DataFrame, value: str, probs: Sequence[float], *by: str) -> DataFrame:

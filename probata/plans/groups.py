@@ -128,6 +128,17 @@ def split_group_dp(spark, d):
     return D.split_groups(grouped(spark, d), "class", "component", 20, 20)
 
 
+@query("split_group_sizes", f"""WITH RECURSIVE {HASHED}, {PAIRS}, {GROUPED}, g AS (SELECT class, component, CAST(count(*) AS BIGINT) AS size FROM grouped JOIN hashed USING (vec_id) GROUP BY 1, 2),
+t AS (SELECT class, CAST(sum(size) AS BIGINT) AS total, CASE WHEN sum(size) >= 60 THEN 20 ELSE greatest(1, CAST(round_even(0.15::DOUBLE * sum(size), 0) AS BIGINT)) END AS target FROM g GROUP BY class),
+-- bit i of the fold is whether groups can sum to i
+m AS (SELECT class, total, target, list_reduce(list_prepend(1::BIGINT, coalesce(list(size) FILTER (size <= target), []::BIGINT[])), lambda a, s: (a | (a << s)) & ((1::BIGINT << (target + 1)) - 1)) AS reach FROM g JOIN t USING (class) GROUP BY class, total, target)
+SELECT class, total, CAST(floor(log2(reach)) AS BIGINT) AS test FROM m""")
+def split_group_sizes(spark, d):
+    """Rows of each class and of its test split, which are the most that whole groups can sum to."""
+    s = D.split_groups(grouped(spark, d), "class", "component", 20, 20)
+    return s.groupBy("class").agg(F.sum("size").alias("total"), F.sum(F.when(F.col("split") == "test", F.col("size")).otherwise(0)).alias("test"))
+
+
 @query("split_target_rule", "SELECT label, count(*) AS total, CAST(CASE WHEN count(*) >= 3 * 20 THEN 20 ELSE greatest(1, CAST(round_even(0.15::DOUBLE * count(*), 0) AS BIGINT)) END AS BIGINT) AS target FROM embeddings GROUP BY label")
 def split_target_rule(spark, d):
     n = table(spark, d, "embeddings").groupBy("label").agg(F.count("*").alias("total"))

@@ -66,9 +66,57 @@ def test_places_and_quantiles(spark):
     assert places(df.limit(0), ["id"], "g").count() == 0
 
 
-def test_choose_groups_hits_the_target():
-    assert sum(s for i, s in [(1, 5), (2, 7), (3, 4), (4, 3)] if i in D.choose_groups([(1, 5), (2, 7), (3, 4), (4, 3)], 11, "x")) == 11
-    assert D.choose_groups([(1, 9)], 5, "x") == set()
+def most_below(sizes, target):
+    reach = {0}
+    for s in sizes:
+        reach |= {r + s for r in reach if r + s <= target}
+    return max(reach)
+
+
+def test_sizes_hit_the_target():
+    rng = random.Random(4)
+    assert D.choose_sizes([(9, 1)], 5, "x") == {}
+    assert D.choose_sizes([], 5, "x") == {}
+    for n in range(60):
+        counts = {rng.randrange(1, 30): rng.randrange(1, 9) for _ in range(rng.randrange(1, 8))}
+        target = rng.randrange(1, 90)
+        got = D.choose_sizes(sorted(counts.items()), target, str(n))
+        assert all(0 < k <= counts[s] for s, k in got.items())
+        assert sum(s * k for s, k in got.items()) == most_below([s for s, k in counts.items() for _ in range(k)], target)
+
+
+def test_sizes_of_ten_million_groups():
+    assert sum(s * k for s, k in D.choose_sizes([(1, 6_000_000), (2, 3_000_000), (7, 1_000_000)], 50_000, "x").items()) == 50_000
+
+
+def test_split_sizes_are_the_best(spark):
+    """Groups of all kinds of sizes, a null class, classes too small for the target and one that is a single group."""
+    rng = random.Random(6)
+    rows = [(c, 1000 * c + g) for c in range(4) for g in range(30) for _ in range(rng.choice([1, 1, 2, 3, 5, 8, 30]))]
+    rows += [(None, 9000 + g // 2) for g in range(10)] + [(7, 7000)] * 50 + [(8, 8000), (8, 8001)]
+    got = D.split_groups(spark.createDataFrame(rows, "class int, component long").repartition(5), "class", "component", 20, 15).collect()
+    assert len(got) == len({r.component for r in got}) == len({g for _, g in rows})
+    for c in {c for c, _ in rows}:
+        own = [r for r in got if r["class"] == c]
+        total = sum(r["size"] for r in own)
+        test = sum(r["size"] for r in own if r.split == "test")
+        assert test == most_below([r["size"] for r in own], D.target_size(total, 20))
+        left = [r["size"] for r in own if r.split != "test"]
+        assert sum(r["size"] for r in own if r.split == "val") == most_below(left, D.target_size(total, 15))
+    again = D.split_groups(spark.createDataFrame(rows, "class int, component long").repartition(2), "class", "component", 20, 15).collect()
+    assert sorted(map(str, again)) == sorted(map(str, got))
+
+
+def test_near_hashes_in_a_hot_band(spark):
+    """All hashes agree in two bands, many in more: the same pairs as all against all, from buckets of 20 at most."""
+    rng = random.Random(9)
+    base = rng.getrandbits(60)
+    low = [base ^ (rng.getrandbits(10) << 26) for _ in range(250)] + [base ^ (1 << rng.randrange(24, 60)) ^ (1 << rng.randrange(24, 60)) for _ in range(250)]
+    hashes = sorted(set(low))
+    got = {(r.h, r.h2, r.distance) for r in D.near_kinds(spark.createDataFrame([(h,) for h in hashes], "h long"), 3, 60, most=20).collect()}
+    want = {(a, b, (a ^ b).bit_count()) for i, a in enumerate(hashes) for b in hashes[i + 1 :] if (a ^ b).bit_count() <= 3}
+    assert got == want
+    assert len(want) > 1000
 
 
 def test_split_keeps_groups_whole(spark):

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from probata.functions import distributions as D
 from probata.operators import metrics as M
 from probata.operators import resample as B
+from probata.operators.ranks import prefix_sums
 
 
 def cells(spark, table):
@@ -185,3 +186,36 @@ def test_counts_of_few_rows(spark):
     got = B.bootstrap_counts(df, 50, "s", "a", "s").groupBy("rep").agg(F.sum("n").alias("n")).collect()
     assert {r.n for r in got} == {3}
     assert len(got) == 50
+
+
+def test_rank_metrics_of_crowded_scores(spark):
+    """All scores between 0.999 and 1: same values as pair by pair, and no partition has most of the rows."""
+    g = np.random.default_rng(3)
+    rows = [(int(c), float(1 - round(g.random(), 3) / 1000), int(g.random() < 0.3 + 0.2 * c)) for c in (0, 1) for _ in range(400)]
+    points = spark.createDataFrame(rows, "c int, score double, hit int").repartition(4)
+    auc = {r.c: r.auc for r in M.auc(points).collect()}
+    ap = {r.c: r.ap for r in M.average_precision(points).collect()}
+    for c in (0, 1):
+        own = [(s, h) for k, s, h in rows if k == c]
+        pairs = [(a > b) + (a == b) / 2 for a, h in own if h for b, m in own if not m]
+        assert auc[c] == pytest.approx(sum(pairs) / len(pairs))
+        total = 0.0
+        for s in {s for s, _ in own}:
+            above = [h for t, h in own if t >= s]
+            total += sum(h for t, h in own if t == s) * sum(above) / len(above)
+        assert ap[c] == pytest.approx(total / sum(h for _, h in own))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        sizes = [r["count"] for r in M.running(points).groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert len(sizes) >= 3
+    assert max(sizes) < 0.6 * sum(sizes)
+
+
+def test_prefix_sums(spark):
+    rows = [(i % 3 if i % 7 else None, i * 37 % 101, i) for i in range(101)]
+    df = spark.createDataFrame(rows, "g int, o int, v long")
+    got = {(r.g, r.o): r.v_before for r in prefix_sums(df, ["o"], ["v"], "g").collect()}
+    assert got == {(g, o): sum(w for h, p, w in rows if h == g and p < o) for g, o, _ in rows}
+    assert prefix_sums(df.limit(0), ["o"], ["v"], "g").count() == 0
