@@ -6,6 +6,7 @@ Every function here is one DataFrame expression, so batch and stream use the sam
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -73,22 +74,84 @@ def quality(df: DataFrame, key: str, ts: str, order: Sequence[str], delay: str,
     return d.select("ingested", "quarantined", "duplicate_rate", "late_rate", "drift_count", (F.col("ingested") - F.col("stored")).alias("reconciliation"), "freshness_seconds")
 
 
+#: Changes of a type that keep every value.
+WIDER = {("byte", "short"), ("short", "integer"), ("byte", "integer"), ("integer", "long"), ("short", "long"), ("byte", "long"), ("float", "double"), ("integer", "double"), ("date", "timestamp")}
+
+
+def changes(old: T.DataType, new: T.DataType, path: str = "") -> list[tuple[str, str]]:
+    """(path, change) between two types, into structs (a.b), elements of arrays (a[]), and keys and values of maps (a{key}, a{value})."""
+    if isinstance(old, T.StructType) and isinstance(new, T.StructType):
+        a, b = {f.name: f for f in old.fields}, {f.name: f for f in new.fields}
+        out = []
+        for name in sorted(a | b):
+            at = f"{path}.{name}" if path else name
+            x, y = a.get(name), b.get(name)
+            if x is None:
+                out.append((at, "added_optional" if y.nullable else "added_required"))
+            elif y is None:
+                out.append((at, "removed"))
+            else:
+                out += changes(x.dataType, y.dataType, at) + [(at, "tightened")] * (x.nullable and not y.nullable)
+        return out
+    if isinstance(old, T.ArrayType) and isinstance(new, T.ArrayType):
+        return changes(old.elementType, new.elementType, f"{path}[]") + [(f"{path}[]", "tightened")] * (old.containsNull and not new.containsNull)
+    if isinstance(old, T.MapType) and isinstance(new, T.MapType):
+        inner = changes(old.keyType, new.keyType, f"{path}{{key}}") + changes(old.valueType, new.valueType, f"{path}{{value}}")
+        return inner + [(f"{path}{{value}}", "tightened")] * (old.valueContainsNull and not new.valueContainsNull)
+    if old == new:
+        return []
+    return [(path, "widened" if (old.typeName(), new.typeName()) in WIDER else "incompatible")]
+
+
 def drift(spark: SparkSession, old: T.StructType, new: T.StructType) -> DataFrame:
-    """(field, change) between two schemas: added_optional, added_required, removed, widened, incompatible or tightened."""
-    wider = {("byte", "short"), ("short", "integer"), ("byte", "integer"), ("integer", "long"), ("short", "long"), ("byte", "long"), ("float", "double"), ("integer", "double"), ("date", "timestamp")}
-    a, b = {f.name: f for f in old.fields}, {f.name: f for f in new.fields}
-    rows = []
-    for name in sorted(a | b):
-        x, y = a.get(name), b.get(name)
-        if x is None:
-            rows.append((name, "added_optional" if y.nullable else "added_required"))
-        elif y is None:
-            rows.append((name, "removed"))
-        elif x.dataType != y.dataType:
-            rows.append((name, "widened" if (x.dataType.typeName(), y.dataType.typeName()) in wider else "incompatible"))
-        elif x.nullable and not y.nullable:
-            rows.append((name, "tightened"))
-    return spark.createDataFrame(rows, "field string, change string")
+    """(field, change) between two schemas at any depth: added_optional, added_required, removed, widened, incompatible or tightened."""
+    return spark.createDataFrame(changes(old, new), "field string, change string")
+
+
+def _fits(v: Column, kind: T.DataType) -> Column:
+    """Whether a value of a document, neither an object nor a list, holds what the type can."""
+    own = F.schema_of_variant(v)
+    read = F.try_variant_get(v, "$", kind.simpleString()).isNotNull()
+    if isinstance(kind, T.ByteType | T.ShortType | T.IntegerType | T.LongType):
+        return (own == "BIGINT") & read
+    if isinstance(kind, T.FloatType | T.DoubleType | T.DecimalType):
+        return own.rlike("^(BIGINT|DOUBLE|DECIMAL.*)$") & read
+    if isinstance(kind, T.BooleanType):
+        return own == "BOOLEAN"
+    return (own == "STRING") & read
+
+
+def misfits(v: Column, kind: T.DataType, path: str = "", required: bool = False) -> Column:
+    """array(struct(path, change)) of what in a parsed document (VARIANT) is not as in the contract: missing, incompatible, or added."""
+    one = lambda at, change: F.array(F.struct(F.lit(at).alias("path"), F.lit(change).alias("change")))
+    none = F.filter(one("", ""), lambda x: F.lit(False))
+    absent = v.isNull() | F.is_variant_null(v)
+    inside = lambda inner: F.when(absent, one(path, "missing") if required else none).otherwise(inner)
+    if isinstance(kind, T.StructType):
+        known = F.array(*[F.lit(f.name) for f in kind.fields])
+        added = F.array_sort(F.array_except(F.json_object_keys(F.to_json(v)), known))
+        parts = [misfits(F.try_variant_get(v, f"$['{f.name}']", "variant"), f.dataType, f"{path}.{f.name}" if path else f.name, not f.nullable) for f in kind.fields]
+        more = F.transform(added, lambda k: F.struct(F.concat(F.lit(f"{path}." if path else ""), k).alias("path"), F.lit("added").alias("change")))
+        return inside(F.when(F.schema_of_variant(v).startswith("OBJECT"), F.concat(*parts, more)).otherwise(one(path, "incompatible")))
+    if isinstance(kind, T.ArrayType | T.MapType):
+        listed = isinstance(kind, T.ArrayType)
+        element, at, strict = (kind.elementType, f"{path}[]", not kind.containsNull) if listed else (kind.valueType, f"{path}{{value}}", not kind.valueContainsNull)
+        values = F.try_variant_get(v, "$", "array<variant>") if listed else F.map_values(F.try_variant_get(v, "$", "map<string,variant>"))
+        each = F.array_distinct(F.flatten(F.transform(values, lambda e: misfits(e, element, at, strict))))
+        return inside(F.when(F.schema_of_variant(v).startswith("ARRAY" if listed else "OBJECT"), each).otherwise(one(path, "incompatible")))
+    return inside(F.when(_fits(v, kind), none).otherwise(one(path, "incompatible")))
+
+
+def conformed(df: DataFrame, payload: str, contract: T.StructType) -> DataFrame:
+    """``df`` with ``rescued``, the paths in the document that the contract doesn't know, and ``reason``, the first thing in which
+    the row breaks it (``path change``; "unreadable" if it is no object in JSON), null if it fits. Fields may come and go unseen by the reader,
+    so rows are judged one by one, by what is in them: added fields are kept aside, all else routes the row.
+    """
+    d = df.withColumn("__m", misfits(F.try_parse_json(F.col(payload)), contract, "", True))
+    added = F.transform(F.filter("__m", lambda x: x["change"] == "added"), lambda x: x["path"])
+    bad = F.filter("__m", lambda x: x["change"] != "added")
+    reason = F.when(F.size(bad) > 0, F.when(F.get(bad, 0)["path"] == "", "unreadable").otherwise(F.concat_ws(" ", F.get(bad, 0)["path"], F.get(bad, 0)["change"])))
+    return d.withColumns({"rescued": added, "reason": reason}).drop("__m")
 
 
 def transitions(df: DataFrame, key: str, order: str, state: str, legal: DataFrame) -> DataFrame:
@@ -107,17 +170,32 @@ def psi(counts: DataFrame, period: str, bin: str, first: str, second: str, guard
     return wide.crossJoin(F.broadcast(total)).agg(F.sum((a - b) * F.ln(a / b)).alias("psi"))
 
 
-def ancestors(edges: DataFrame, start: Column) -> DataFrame:
-    """(node, source, depth): all ancestors of the nodes of the edges (child, parent) where ``start`` holds, each with its least depth.
+def ancestors(edges: DataFrame, start: Column, kind: str | None = None) -> DataFrame:
+    """(node, source, depth[, kinds]): all ancestors of the nodes of the edges (child, parent) where ``start`` holds, each with its
+    least depth and, if the edges have a column ``kind``, the kinds of edges on its shortest paths, in order.
 
-    A join a level; what is known already is left out of the next, so cycles end, and a level is cut off by writing it.
+    Paths double: with all walks of exactly 2, 4, 8, ... edges, what lies up to twice as far is what was reached before and one
+    such walk. So a chain takes as many rounds as its length has binary digits, and a round that reaches nothing new is the
+    last, so cycles end. Edges without a child or parent are left out. A node on a cycle is its own ancestor.
     """
-    e = stored(edges.distinct(), "lineage")
-    level = stored(e.where(start).select(F.col("child").alias("node"), F.col("parent").alias("source"), F.lit(1).alias("depth")), "lineage")
-    out, depth = level, 1
-    while not level.isEmpty():
-        depth += 1
-        up = level.join(e, F.col("source") == F.col("child")).select("node", F.col("parent").alias("source")).distinct()
-        level = stored(up.join(out.select("node", "source"), ["node", "source"], "left_anti").withColumn("depth", F.lit(depth)), "lineage")
-        out = out.unionByName(level)
-    return out
+    merged = F.array_sort(F.array_distinct(F.flatten(F.collect_set("kinds")))).alias("kinds")
+    own = F.array(F.col(kind)) if kind else F.array().cast("array<string>")
+    rows = edges.where(F.col("child").isNotNull() & F.col("parent").isNotNull())
+    walks = stored(rows.select(F.col("child").alias("node"), F.col("parent").alias("source"), own.alias("kinds")).groupBy("node", "source").agg(merged), "lineage")
+    starts = stored(rows.where(start).select(F.col("child").alias("node")).distinct(), "lineage")
+    reached = [stored(walks.join(starts, "node", "left_semi").withColumn("depth", F.lit(1)), "lineage")]
+    length = 1
+    while not reached[-1].isEmpty():
+        length *= 2
+        a, b = walks.select("node", F.col("source").alias("mid"), F.col("kinds").alias("k1")), walks.select(F.col("node").alias("mid"), "source", F.col("kinds").alias("k2"))
+        walks = stored(a.join(b, "mid").select("node", "source", F.array_union("k1", "k2").alias("kinds")).groupBy("node", "source").agg(merged), "lineage")
+        known = reduce(DataFrame.unionByName, reached)
+        a = known.select("node", F.col("source").alias("mid"), F.col("kinds").alias("k1"), "depth")
+        b = walks.select(F.col("node").alias("mid"), "source", F.col("kinds").alias("k2"))
+        far = a.join(b, "mid").select("node", "source", F.array_union("k1", "k2").alias("kinds"), (F.col("depth") + length).alias("depth"))
+        far = far.unionByName(walks.join(starts, "node", "left_semi").withColumn("depth", F.lit(length)))
+        far = far.join(known.select("node", "source"), ["node", "source"], "left_anti")
+        far = far.groupBy("node", "source", "depth").agg(merged).groupBy("node", "source").agg(F.min_by("kinds", "depth").alias("kinds"), F.min("depth").alias("depth"))
+        reached.append(stored(far, "lineage"))
+    out = reduce(DataFrame.unionByName, reached).select("node", "source", "depth", "kinds")
+    return out if kind else out.drop("kinds")

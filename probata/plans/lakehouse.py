@@ -271,11 +271,20 @@ EDGES = "e AS (SELECT 'order' || o_orderkey AS child, 'customer' || o_custkey AS
 @query("prov_lineage", f"WITH RECURSIVE {EDGES}, up AS (SELECT child AS node, parent AS source, 1 AS depth FROM e WHERE child LIKE 'order%' UNION ALL SELECT node, parent, depth + 1 FROM up JOIN e ON e.child = up.source) SELECT node, source, depth FROM up")
 def prov_lineage(spark, d):
     """All ancestors of all orders."""
+    return L.ancestors(lineage(spark, d), F.col("child").startswith("order"))
+
+
+def lineage(spark, d) -> DataFrame:
     name = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
-    e = table(spark, d, "orders").select(name("order", "o_orderkey").alias("child"), name("customer", "o_custkey").alias("parent"))
-    e = e.unionByName(table(spark, d, "customer").select(name("customer", "c_custkey").alias("child"), name("nation", "c_nationkey").alias("parent")))
-    e = e.unionByName(table(spark, d, "nation").select(name("nation", "n_nationkey").alias("child"), name("region", "n_regionkey").alias("parent")))
-    return L.ancestors(e, F.col("child").startswith("order"))
+    edge = lambda t, child, own, parent, key, kind: table(spark, d, t).select(name(child, own).alias("child"), name(parent, key).alias("parent"), F.lit(kind).alias("kind"))
+    e = edge("orders", "order", "o_orderkey", "customer", "o_custkey", "placed").unionByName(edge("customer", "customer", "c_custkey", "nation", "c_nationkey", "resides"))
+    return e.unionByName(edge("nation", "nation", "n_nationkey", "region", "n_regionkey", "lies"))
+
+
+@query("prov_lineage_kinds", f"WITH RECURSIVE {EDGES}, k AS (SELECT child, parent, CASE WHEN child LIKE 'order%' THEN 'placed' WHEN child LIKE 'customer%' THEN 'resides' ELSE 'lies' END AS kind FROM e), up AS (SELECT child AS node, parent AS source, 1 AS depth, [kind] AS kinds FROM k UNION ALL SELECT node, parent, depth + 1, list_append(kinds, kind) FROM up JOIN k ON k.child = up.source) SELECT node, source, depth, array_to_string(list_sort(list_distinct(kinds)), ' ') AS kinds FROM up")
+def prov_lineage_kinds(spark, d):
+    """All ancestors of everything, with the kinds of steps on the way."""
+    return L.ancestors(lineage(spark, d), F.lit(True), "kind").withColumn("kinds", F.array_join("kinds", " "))
 
 
 # ---- the lake
@@ -344,6 +353,28 @@ def st_drift(spark, d):
     return L.drift(spark, old, new)
 
 
+DOCUMENT = "event_id bigint not null, user struct<id: bigint not null, kind: string> not null, value double not null, tags array<string>"
+
+
+def documents_of_two_versions(spark, d) -> DataFrame:
+    """Events as JSON: of the odd ones, which are of a later version, all have a new field and some a new one inside, a number as text, a value left out or a list of other things."""
+    e = table(spark, d, "events").where(F.col("event_id").isNotNull())
+    later = lambda n: (F.col("event_id") % 2 == 1) & (F.col("event_id") % n == 0)
+    text = F.concat(F.lit('"'), F.col("event_type"), F.lit('"'))
+    user = F.concat(F.lit('{"id":'), F.when(later(7), F.concat(F.lit('"'), F.col("user_id"), F.lit('"'))).otherwise(F.col("user_id").cast("string")), F.lit(',"kind":'), text, F.when(later(3), F.lit(',"zone":1')).otherwise(""), F.lit("}"))
+    value = F.when(later(11), "").otherwise(F.concat(F.lit(',"value":'), F.col("value").cast("decimal(20,2)").cast("string")))
+    tags = F.when(later(13), ',"tags":["a",{"b":2}]').otherwise(',"tags":["a","b"]')
+    whole = F.concat(F.lit('{"event_id":'), F.col("event_id"), F.lit(',"user":'), user, value, tags, F.when(F.col("event_id") % 2 == 1, ',"channel":"web"').otherwise(""), F.lit("}"))
+    return e.select("event_id", F.when(F.col("event_id") % 17 == 0, F.substring(whole, 2, 20)).otherwise(whole).alias("payload"))
+
+
+@query("st_drift_rows", "WITH e AS (SELECT event_id AS i, event_id % 2 = 1 AS later FROM events), r AS (SELECT CASE WHEN i % 17 = 0 THEN '' WHEN later AND i % 3 = 0 THEN 'channel user.zone' WHEN later THEN 'channel' ELSE '' END AS rescued, CASE WHEN i % 17 = 0 THEN 'unreadable' WHEN later AND i % 7 = 0 THEN 'user.id incompatible' WHEN later AND i % 11 = 0 THEN 'value missing' WHEN later AND i % 13 = 0 THEN 'tags[] incompatible' END AS reason, i FROM e) SELECT rescued, reason, count(*) AS n, CAST(sum(i) AS BIGINT) AS ids FROM r GROUP BY rescued, reason")
+def st_drift_rows(spark, d):
+    """Documents of two versions judged by one contract, row by row: what is new is kept aside, what breaks it is routed."""
+    rows = L.conformed(documents_of_two_versions(spark, d), "payload", T.StructType.fromDDL(DOCUMENT))
+    return rows.groupBy(F.array_join(F.array_sort("rescued"), " ").alias("rescued"), "reason").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
+
+
 # ---- streams; each has the SQL of what a batch over the same rows gives
 
 

@@ -1,10 +1,12 @@
 """Known tables with known figures, and models against plain solvers."""
 
 import math
+import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from probata.functions.images import dct_hash
 from probata.operators import audit as A
@@ -103,6 +105,79 @@ def test_lineage_ends_on_cycles(spark):
     assert got == {("m1", "d"): 1, ("m1", "t"): 2, ("m1", "s"): 3, ("m2", "d"): 1, ("m2", "s"): 1, ("m2", "t"): 2}
 
 
+def test_lineage_of_a_long_chain(spark):
+    """1,000 steps in as many rounds as 1,000 has binary digits, and each pair once."""
+    e = spark.createDataFrame([(str(i), str(i + 1), "ab"[i % 2]) for i in range(1000)], "child string, parent string, kind string")
+    got = L.ancestors(e, F.col("child").isin("0", "600"), "kind").collect()
+    assert len(got) == 1000 + 400
+    assert all(r.depth == int(r.source) - int(r.node) for r in got)
+    assert {tuple(r.kinds) for r in got if r.depth == 1} == {("a",)}
+    assert {tuple(r.kinds) for r in got if r.depth > 1} == {("a", "b")}
+
+
+def test_lineage_of_a_random_graph(spark):
+    """Depths and kinds of all shortest paths against a search, cycles and loops and rows without an end included."""
+    rng = random.Random(3)
+    edges = [(f"n{rng.randrange(30)}", f"n{rng.randrange(30)}", rng.choice("xyz")) for _ in range(60)] + [("n1", "n1", "x"), (None, "n1", "x"), ("n2", None, "y")]
+    up = {}
+    for c, p, k in edges:
+        if c and p:
+            up.setdefault(c, {}).setdefault(p, set()).add(k)
+    want = {}
+    for n in up:
+        found, level, depth = {}, {n: set()}, 0
+        while level:
+            depth, higher = depth + 1, {}
+            for x, kinds in level.items():
+                for p, own in up.get(x, {}).items():
+                    if p not in found:
+                        higher.setdefault(p, set()).update(kinds | own)
+            found |= {p: (depth, sorted(k)) for p, k in higher.items()}
+            level = higher
+        want |= {(n, p): x for p, x in found.items()}
+    got = L.ancestors(spark.createDataFrame(edges, "child string, parent string, kind string"), F.lit(True), "kind").collect()
+    assert {(r.node, r.source): (r.depth, list(r.kinds)) for r in got} == want
+    assert len(got) == len(want)
+
+
+def test_drift_inside_of_fields(spark):
+    """Every kind of change at depth two, in structs, lists and maps."""
+    old = StructType.fromDDL("a struct<b: struct<c: int, d: string, e: int, f: int>, g: array<struct<h: int, i: float>>>, m map<string, struct<x: int>>, k array<int>, t int")
+    new = StructType.fromDDL("a struct<b: struct<c: bigint, e: string, f: int not null, n: int, o: int not null>, g: array<struct<h: int, i: double, j: int>>>, m map<string, struct<x: string>>, k array<bigint>, t array<int>")
+    got = {r.field: r.change for r in L.drift(spark, old, new).collect()}
+    assert got == {"a.b.c": "widened", "a.b.d": "removed", "a.b.e": "incompatible", "a.b.f": "tightened", "a.b.n": "added_optional", "a.b.o": "added_required", "a.g[].i": "widened", "a.g[].j": "added_optional", "m{value}.x": "incompatible", "k[]": "widened", "t": "incompatible"}
+    assert L.drift(spark, old, old).count() == 0
+
+
+def test_rows_by_contract(spark):
+    contract = StructType.fromDDL("id bigint not null, who struct<name: string not null, age: int>, at timestamp, ok boolean, score double, marks array<struct<v: int not null>>, more map<string, int>")
+    rows = [
+        ('{"id": 1}', [], None),
+        ('{"id": 1, "who": {"name": "x", "age": 3}, "at": "2024-01-01T00:00:00", "ok": true, "score": 1, "marks": [{"v": 1}], "more": {"a": 1}}', [], None),
+        ('{"who": {"name": "x"}}', [], "id missing"),
+        ('{"id": null}', [], "id missing"),
+        ('{"id": "1"}', [], "id incompatible"),
+        ('{"id": 1.5}', [], "id incompatible"),
+        ('{"id": 1, "who": {}}', [], "who.name missing"),
+        ('{"id": 1, "who": "x"}', [], "who incompatible"),
+        ('{"id": 1, "who": {"name": "x", "age": 99999999999}}', [], "who.age incompatible"),
+        ('{"id": 1, "who": {"name": "x", "zip": 1, "a.b": 2}, "new": [1]}', ["who.a.b", "who.zip", "new"], None),
+        ('{"id": 1, "at": "noon"}', [], "at incompatible"),
+        ('{"id": 1, "ok": "yes"}', [], "ok incompatible"),
+        ('{"id": 1, "marks": [{"v": 1}, {"w": 2}]}', ["marks[].w"], "marks[].v missing"),
+        ('{"id": 1, "marks": {"v": 1}}', [], "marks incompatible"),
+        ('{"id": 1, "marks": [], "more": {}}', [], None),
+        ('{"id": 1, "more": {"a": 1, "b": "x"}}', [], "more{value} incompatible"),
+        ("{", [], "unreadable"),
+        ("[1]", [], "unreadable"),
+        ("", [], "unreadable"),
+        (None, [], "unreadable"),
+    ]
+    df = spark.createDataFrame([(i, p) for i, (p, _, _) in enumerate(rows)], "i int, payload string")
+    got = {r.i: (r.rescued, r.reason) for r in L.conformed(df, "payload", contract).collect()}
+    assert got == {i: (rescued, reason) for i, (_, rescued, reason) in enumerate(rows)}
+
+
 def test_late_rows_against_a_loop(spark):
     rows = [(i, (i * 7919) % 5000 + i * 40) for i in range(3000)]
     got = L.late(spark.createDataFrame(rows, "id long, s long").select("id", F.timestamp_seconds("s").alias("ts")), "ts", ["id"], "10 MINUTES", width=16).first()
