@@ -11,10 +11,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import probs as P
 from ..operators import audit as A
 from ..operators import lake as L
 from ..operators import metrics as M
 from ..operators import referral as R
+from ..operators import text as TX
 from ..operators import train as TR
 from ..session import scratch, stored
 from ..sources import files as IO
@@ -162,8 +164,6 @@ def pseudo_filter(spark, d):
 
 @query("pseudo_rule", f"WITH {PREDS}, t AS (SELECT * FROM (VALUES (0, 0.6::DOUBLE, 0.3::DOUBLE), (1, 0.7::DOUBLE, 0.4::DOUBLE), (2, 0.65::DOUBLE, 0.3::DOUBLE), (3, 0.75::DOUBLE, 0.5::DOUBLE)) v(c, least_conf, least_margin)) SELECT id, pred_a AS label FROM preds JOIN t ON c = pred_a WHERE pred_a = pred_b AND conf_a > least_conf AND list_sort(pa, 'DESC')[1] - list_sort(pa, 'DESC')[2] > least_margin")
 def pseudo_rule(spark, d):
-    from ..functions import probs as P
-
     t = spark.createDataFrame([(0, 0.6, 0.3), (1, 0.7, 0.4), (2, 0.65, 0.3), (3, 0.75, 0.5)], "label int, least_conf double, least_margin double")
     p = predictions(spark, d).withColumn("label", P.argmax("pa")).where(F.size(F.array_distinct(F.array(P.argmax("pa"), P.argmax("pb")))) == 1)
     return p.join(F.broadcast(t), "label").where((P.top("pa") > F.col("least_conf")) & (P.margin("pa") > F.col("least_margin"))).select("id", "label")
@@ -242,8 +242,6 @@ F1 = "SELECT avg(coalesce(2 * h::DOUBLE / nullif(s + q, 0), 0)) AS v FROM"
 @query("gate_regress", f"WITH {PREDS}, ca AS ({_cells('a')}), cb AS ({_cells('b')}), m AS (SELECT 'accuracy' AS metric, avg(CAST(pred_a = y AS DOUBLE)) AS base, avg(CAST(pred_b = y AS DOUBLE)) AS cand, 0.01::DOUBLE AS tol, 1 AS good FROM preds UNION ALL SELECT 'macro_f1', ({F1} ca), ({F1} cb), 0.02::DOUBLE, 1 UNION ALL SELECT 'ece', ({_ece('a')}), ({_ece('b')}), 0.005::DOUBLE, -1 UNION ALL SELECT 'recall_' || y, avg(CAST(pred_a = y AS DOUBLE)), avg(CAST(pred_b = y AS DOUBLE)), 0.05::DOUBLE, 1 FROM preds GROUP BY y UNION ALL SELECT 'provenance', 1::DOUBLE, NULL, 0::DOUBLE, 1) SELECT metric, round(base, 9) AS base, round(cand, 9) AS candidate, round(cand - base, 9) AS delta, tol AS tolerance FROM m WHERE cand IS NULL OR good * (cand - base) < -tol")
 def gate_regress(spark, d):
     """The release gate: accuracy, macro F1, recall per class, calibration error, and the share of rows with provenance, which the candidate doesn't report."""
-    from ..functions import probs as P
-
     def long(c: str) -> DataFrame:
         p = predictions(spark, d)
         rows = p.select("y", (P.argmax(c) == F.col("y")).cast("double").alias("ok"))
@@ -259,8 +257,6 @@ def gate_regress(spark, d):
 
 @query("parity", f"WITH {PREDS} SELECT round(max(list_max(list_transform(list_zip(pa, pb), lambda x: abs(x[1] - x[2])))), 9) AS max_abs_diff, count_if(pred_a <> pred_b) AS decisions_changed FROM preds")
 def parity(spark, d):
-    from ..functions import probs as P
-
     diff = F.array_max(F.zip_with("pa", "pb", lambda a, b: F.abs(a - b)))
     return predictions(spark, d).agg(F.round(F.max(diff), 9).alias("max_abs_diff"), F.count_if(P.argmax("pa") != P.argmax("pb")).alias("decisions_changed"))
 
@@ -527,6 +523,47 @@ def fit_trees_svm_mlp(spark, d):
     return TR.alternatives(features(spark, d), K)
 
 
+@query("fit_kernel_boosted")
+def fit_kernel_boosted(spark, d):
+    """Support vectors with a Gaussian kernel and boosted trees on the same rows; tested on rings, which no line parts."""
+    return TR.curved(features(spark, d), K)
+
+
+LANGS = ["de", "en", "es", "fr"]
+TEXTS = f"""t AS (SELECT doc_id, lang, doc_id % 5 > 1 AND lang IN ({", ".join(f"'{c}'" for c in LANGS)}) AS learned, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}_]{{2,}}')) AS term FROM documents WHERE doc_id IS NOT NULL),
+k AS (SELECT doc_id, term, any_value(lang) AS lang, any_value(learned) AS learned, count(*) AS n FROM t GROUP BY doc_id, term),
+own AS (SELECT lang, count(*) AS docs FROM documents WHERE doc_id % 5 > 1 AND lang IN ({", ".join(f"'{c}'" for c in LANGS)}) GROUP BY lang), every AS (SELECT sum(docs)::DOUBLE AS docs FROM own),
+v AS (SELECT term, ln((1 + any_value(every.docs)) / (1 + count(*))) + 1 AS idf, {", ".join(f"sum(CASE WHEN lang = '{c}' THEN n ELSE 0 END)::DOUBLE AS n{i}" for i, c in enumerate(LANGS))} FROM k, every WHERE learned GROUP BY term HAVING count(*) >= 2),
+s AS (SELECT count(*) AS terms, {", ".join(f"sum(n{i}) AS n{i}" for i in range(len(LANGS)))} FROM v),
+x AS (SELECT doc_id, sqrt(sum((n * idf) * (n * idf))) AS norm, {", ".join(f"sum(n * idf * ln((v.n{i} + 1) / (s.n{i} + terms))) AS z{i}" for i in range(len(LANGS)))} FROM k JOIN v ON k.term = v.term, s GROUP BY doc_id),
+z AS (SELECT d.doc_id, [{", ".join(f"coalesce(z{i} / norm, 0) + ln((coalesce((SELECT docs FROM own WHERE lang = '{c}'), 0) + 1) / (every.docs + {len(LANGS)}))" for i, c in enumerate(LANGS))}] AS z FROM documents d LEFT JOIN x ON x.doc_id = d.doc_id, every WHERE d.doc_id IS NOT NULL),
+p AS (SELECT doc_id, [exp(a - list_max(z)) FOR a IN z] AS e FROM z)"""
+
+
+@query("text_export_score", f"WITH {TEXTS} SELECT doc_id, {", ".join(f"round(e[{i + 1}] / list_sum(e), 6) AS p_{c}" for i, c in enumerate(LANGS))} FROM p")
+def text_export_score(spark, d):
+    """Every document scored from an export (terms, idf, weights per language, intercepts) whose weights are in closed form."""
+    docs = table(spark, d, "documents").where("doc_id IS NOT NULL").select("doc_id", "text", "lang")
+    export, intercepts = TX.bayes(docs.where("doc_id % 5 > 1"), "doc_id", "text", "lang", LANGS)
+    p = TX.score(docs, stored(export, "text-export"), intercepts, "doc_id", "text")
+    return p.select("doc_id", *[F.round(F.col("p")[i], 6).alias(f"p_{c}") for i, c in enumerate(LANGS)])
+
+
+@query("text_logistic")
+def text_logistic(spark, d):
+    """The logistic model on TF-IDF and its export: documents, hits of the unseen ones by either, and the largest difference of any probability; tested to agree on every document."""
+    docs = table(spark, d, "documents").where("doc_id IS NOT NULL").select("doc_id", "text", "lang")
+    model = TX.fit(docs.where("doc_id % 5 > 1"), "doc_id", "text", "lang", LANGS)
+    export, intercepts = model.export(docs)
+    export.write.parquet(path := scratch(spark, "text-export"))
+    other = TX.score(docs, spark.read.parquet(path), intercepts, "doc_id", "text").withColumnRenamed("p", "q")
+    both = model.transform(docs).join(other, "doc_id")
+    unseen = (F.col("doc_id") % 5 <= 1) & F.col("lang").isin(*LANGS)
+    hit = lambda p: F.count_if(unseen & (F.element_at(F.array(*[F.lit(c) for c in LANGS]), P.argmax(p) + 1) == F.col("lang")))
+    gap = F.max(F.array_max(F.zip_with("p", "q", lambda a, b: F.abs(a - b))))
+    return both.agg(F.count("*").alias("documents"), F.count_if(unseen).alias("unseen"), hit("p").alias("hits"), hit("q").alias("export_hits"), F.round(gap, 9).alias("largest_difference"))
+
+
 def term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, term, df, squares) of documents (lang, w): how many hold the term, and their squared counts; partial sums."""
 
