@@ -11,7 +11,8 @@ to occur in the passage.
 
 The index is built on the driver from one shard of the items at a time, and shipped with the tasks; the number of shards
 follows from the characters of all items, so its size is bounded whatever the benchmark's. Frequencies, the number of
-items and their mean length are those of all items, so a score doesn't depend on the shards; if there are several, the
+items, their mean length and the longest of them, from which the passages' length follows, are those of all items, so
+neither passages nor scores depend on the shards; if there are several, the
 result of each is written before the next index is built, so the driver holds one at a time.
 
 Defined results: null and empty texts have no passage; items without a word are never found; an item without an id is
@@ -110,17 +111,17 @@ class _Numbers(dict):
 
 
 class Index:
-    """Inverted BM25 index of items (id, text); ``every`` has the figures of all items if these are a shard of them: how many hold a term, their number and mean length."""
+    """Inverted BM25 index of items (id, text); ``every`` has the figures of all items if these are a shard of them: how many hold a term, their number, mean length and longest."""
 
-    def __init__(self, items: list[tuple[int | None, str]], k1: float = 1.2, b: float = 0.75, every: tuple[dict[str, int], int, float] | None = None) -> None:
+    def __init__(self, items: list[tuple[int | None, str]], k1: float = 1.2, b: float = 0.75, every: tuple[dict[str, int], int, float, int] | None = None) -> None:
         bags = [(i, Counter(words_of(t)), t) for i, t in items]
         bags = sorted(((i, c, t) for i, c, t in bags if c), key=lambda x: (sum(x[1].values()), x[0] is None, x[0] or 0, x[2]))
         self.ids = [i for i, _, _ in bags]
         self.checks = [tuple(map(check_of, parts(t))) for _, _, t in bags]
-        self.longest = max((sum(c.values()) for _, c, _ in bags), default=0)
         own = Counter(w for _, c, _ in bags for w in c)
         self.terms = {w: n for n, w in enumerate(sorted(own))}
-        found, count, mean = every or (own, len(bags), sum(sum(c.values()) for _, c, _ in bags) / max(1, len(bags)))
+        sizes = [sum(c.values()) for _, c, _ in bags]
+        found, count, mean, self.longest = every or (own, len(bags), sum(sizes) / max(1, len(sizes)), max(sizes, default=0))
         lists: list[list[tuple[int, float]]] = [[] for _ in self.terms]
         for n, (_, c, _) in enumerate(bags):
             length = sum(c.values())
@@ -235,14 +236,14 @@ def indexes(benchmark: DataFrame, key: str, text: str, shard_chars: int) -> tupl
         return 1, iter([Index(collected(rows))])
     rows = stored(rows.withColumn("shard", F.pmod(F.xxhash64("k", "t"), F.lit(shards)).cast("int")), "items")
     bags = stored(rows.select("shard", "t").mapInArrow(item_words, "shard int, words array<string>, length long").where("length > 0"), "item-words")
-    total = bags.agg(F.count("*").alias("n"), F.avg("length").alias("mean")).first()
+    total = bags.agg(F.count("*").alias("n"), F.avg("length").alias("mean"), F.max("length").alias("longest")).first()
     words = bags.select("shard", F.explode("words").alias("w"))
     often = stored(words.groupBy("w").agg(F.count("*").cast("long").alias("n")), "item-terms")
 
     def each() -> Iterator[Index]:
         for s in range(shards):
             own = often.join(words.where(F.col("shard") == s).select("w").distinct(), "w", "left_semi").collect()  # the words of one shard
-            yield Index(collected(rows.where(F.col("shard") == s)), every=({r.w: r.n for r in own}, total.n, total.mean or 1.0))
+            yield Index(collected(rows.where(F.col("shard") == s)), every=({r.w: r.n for r in own}, total.n, total.mean or 1.0, total.longest or 0))
 
     return shards, each()
 

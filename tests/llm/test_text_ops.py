@@ -133,6 +133,29 @@ def test_contamination(spark):
     assert decontam.contaminated(d.limit(0), bench).count() == 0
 
 
+def test_shards_of_unlike_items(spark):
+    """A short and a long item in shards of their own: passages are as long as with one index, and found items those of a plain search."""
+    short = f"{words('abcdefgh', 12)}. {words('abcdefgh', 8)}."
+    long = f"{words('abcdefgh', 160)}. {words('abcdefgh', 40)}."
+    bench = spark.createDataFrame([(1, short), (2, long)], "item_id long, text string")
+    question, answer = short.split(". ")
+    rows = [(i, f"{words('ijkl', 30)} {question} {words('ijkl', gap)} {answer} {words('ijkl', 30)}", "en", "s") for i, gap in enumerate((0, 60, 150, 300, 900))] + [(9, f"{words('ijkl', 300)} {long}", "en", "s")]
+    d = docs(spark, rows)
+    one, many = (sorted(map(tuple, decontam.contaminated(d, bench, shard_chars=n).collect())) for n in (16_000_000, 100))
+    assert one == many
+    found = set()
+    for i, text, _, _ in rows:
+        tokens = decontam.words_of(text)
+        for at in range(0, len(tokens), 200):  # passages of twice the longest item, half overlapping
+            inside = set(tokens[at : at + 400])
+            found |= {(i, n) for n, t in ((1, short), (2, long)) if set(decontam.words_of(t)) <= inside}
+    assert found == {(r[0], r[1]) for r in one if r[2] == 1.0}
+    assert {(0, 1), (1, 1), (2, 1), (9, 2)} <= found
+    assert (4, 1) not in found
+    kept = [sorted(r.doc_id for r in decontam.decontaminate(d, bench, shard_chars=n).collect()) for n in (16_000_000, 100)]
+    assert kept[0] == kept[1]
+
+
 def test_items_without_an_id_and_long_runs(spark):
     own = items()[:3]
     bench = spark.createDataFrame([(None, own[0][1]), (None, own[1][1]), (5, own[2][1]), (5, own[2][1])], "item_id long, text string")
@@ -263,6 +286,19 @@ def test_reliabilities():
 # ---- spans
 
 
+def test_short_sentences_and_clashing_names(spark):
+    """Three sentences are a span however short; own columns make way for ones of the same name."""
+    three, pair = "Wait for it. Not yet. Now go.", "Wait for it. Not yet."
+    texts = [f"Alpha beta {i}. {three if i < 3 else pair} Gamma delta {i}." for i in range(6)]
+    d = docs(spark, [(i, t, "en", "s") for i, t in enumerate(texts)]).selectExpr("*", "7L AS n_removed", "'x' AS n_sentences", "1 AS id", "2 AS `copy`", "3 AS ranges", "4 AS __id", "5 AS ID_", "6 AS at", "7 AS h1")
+    out = spans.remove_repeated(d)
+    assert out.columns == [c for c in d.columns if c not in ("n_removed", "n_sentences")] + ["n_sentences", "n_removed"]
+    got = {r.doc_id: r for r in out.collect()}
+    assert [got[i].n_removed for i in range(6)] == [0, 3, 3, 0, 0, 0]
+    assert got[1].text == "Alpha beta 1. Gamma delta 1."
+    assert {(r.id, r["copy"], r.ranges, r["__id"], r.at) for r in got.values()} == {(1, 2, 3, 4, 6)}
+
+
 def test_spans_against_a_table(spark):
     rng = random.Random(4)
     sentence = lambda: " ".join(rng.choice("the of and to in a is that for it".split()) + str(rng.randrange(60)) for _ in range(rng.randrange(1, 14))).capitalize() + rng.choice([".", "!", "?"])
@@ -281,7 +317,7 @@ def test_spans_against_a_table(spark):
                 size = lambda x, y: sum(len(parts[n]) for n in some if x <= n <= y)
                 inner = [x for x in some if a <= x <= b]
                 # a run that is long enough, and is no longer so without its last or its first sentence
-                if len(inner) >= 2 and size(a, b) >= 20 and (len(inner) == 2 or min(size(a, inner[-2]), size(inner[1], b)) < 20):
+                if len(inner) == 2 and size(a, b) >= 20 or len(inner) == 3 and min(size(a, inner[1]), size(inner[1], b)) < 20:
                     run = " ".join(" ".join(parts[n]) for n in inner)
                     if run in seen:
                         gone.setdefault(i, set()).update(range(a, b + 1))
