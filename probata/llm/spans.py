@@ -1,8 +1,8 @@
 """Substring dedup by sliding sentence spans.
 
-From every sentence a span runs on, and back, over consecutive sentences until it has ``least`` (two) of them and
-``words`` (20) words; so every sentence of a passage that holds a span is in a span inside the passage, and no sentence
-is a span by itself. Spans are hashed with 128 bits and joined over all documents; of a span that occurs more than once,
+From every sentence a span runs on, and back, over consecutive sentences until it has ``several`` (three) of them, or two
+with ``words`` (20) words; so every sentence of a passage that holds a span is in a span inside the passage, no sentence is
+a span by itself, and three sentences are one however short they are. Spans are hashed with 128 bits and joined over all documents; of a span that occurs more than once,
 the first occurrence (least document id, then position) stays, and the sentences that any other occurrence covers are
 removed.
 
@@ -10,9 +10,10 @@ Sentences end after . ! or ? and a blank, or at a line end; what separates them
 compare words in lower case. Counts and first occurrences are partial sums on both sides of the shuffle; the join back
 is one of plain rows, whose hot keys Spark splits.
 
-Defined results: a text of one sentence, or of fewer words than a span has, has no span; a null text stays null and an empty one empty; a text that is removed whole is left empty; rows with one
+Defined results: a text of one sentence, or of two with fewer words, has no span; a null text stays null and an empty one empty; a text that is removed whole is left empty; rows with one
 id are told apart by their text, and equal rows each count as one document, cut alike; a row without an id comes after
-those that have one; columns that are not named are left alone.
+those that have one; columns that are not named are
+left alone, but those that are called n_sentences or n_removed, which the result's take the place of.
 """
 
 from __future__ import annotations
@@ -45,7 +46,7 @@ def sentences(text: str) -> list[tuple[int, int]]:
     return out
 
 
-def spans(text: str, least: int = 2, words: int = 20) -> list[tuple[int, int, bytes]]:
+def spans(text: str, several: int = 3, words: int = 20) -> list[tuple[int, int, bytes]]:
     """(first sentence, sentence after the last, hash) of the distinct spans of a text."""
     parts = [text[s:e].lower().split() for s, e in sentences(text)]
     sizes = list(map(len, parts))
@@ -56,7 +57,7 @@ def spans(text: str, least: int = 2, words: int = 20) -> list[tuple[int, int, by
             while 0 <= j < len(parts):
                 n += sizes[j]
                 count += sizes[j] > 0
-                if count >= least and n >= words:
+                if count >= several or count > 1 and n >= words:
                     found.add((i, j + 1) if step > 0 else (j, i + 1))
                     break
                 j += step
@@ -96,8 +97,12 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
 
 def remove_repeated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents with their columns, ``text`` without the sentences of repeated spans, n_sentences and n_removed."""
-    cuts = repeated(docs, key, text).select(F.col("id").alias("__id"), F.col("copy").alias("__copy"), F.col("ranges").alias("__ranges"))
-    rows = docs.join(cuts, F.col(key).cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__copy")), "left").select(*[docs[c] for c in docs.columns], "__ranges")
+    docs = docs.drop("n_sentences", "n_removed")
+    taken = {c.lower() for c in docs.columns}
+    own = {c: next(n for k in range(len(taken) + 1) if (n := c + "_" * k) not in taken) for c in ("id", "copy", "ranges")}
+    cuts = repeated(docs, key, text).toDF(*own.values())
+    same = docs[key].cast("long").eqNullSafe(cuts[own["id"]]) & (F.xxhash64(docs[text]) == cuts[own["copy"]])
+    rows = docs.join(cuts, same, "left").select(*[docs[c] for c in docs.columns], own["ranges"])
     names, at = docs.columns, docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
