@@ -11,7 +11,8 @@ shard's results only the best k + 1 go on. So the stated query set meets all row
 than a shard and a block, however many rows are equal or near.
 
 Nearness is the largest inner product of the vectors as given, in double precision; ties go to the smaller id. Hashing
-uses directions only; where a query finds fewer than k ids in a shard that has more, it searches the whole shard.
+uses directions only. Where a query's probes collect fewer than ``least`` (1,000) vectors of a shard, too few to hold the
+nearest of near-random ones, or fewer than k ids, it searches the whole shard; so small tables are searched exactly.
 Defined results: vectors that are null, zero, hold a null or non-finite component or have another length than most, and
 rows with a null id, take no part; rows that repeat count once; an id with several vectors is a candidate with each, and
 a query with each; a query never finds its own id.
@@ -92,7 +93,7 @@ def unpack(column: pa.ChunkedArray, dims: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(-1, dims)
 
 
-def search_shard(queries: np.ndarray, vectors: np.ndarray, ids: list[list[int]], k: int, tables: int, probes: int) -> list[list[tuple[float, int]]]:
+def search_shard(queries: np.ndarray, vectors: np.ndarray, ids: list[list[int]], k: int, tables: int, probes: int, least: int) -> list[list[tuple[float, int]]]:
     """For each query the best (score, id), most first, of what its probes find among ``vectors``."""
     index = CrossPolytope(queries.shape[1], tables)
     keep = k + 1
@@ -112,7 +113,8 @@ def search_shard(queries: np.ndarray, vectors: np.ndarray, ids: list[list[int]],
             size = sizes[t][q]
             place = np.arange(size.sum()) + np.repeat(lows[t][q] - np.cumsum(size) + size, size)
             found[orders[t][place]] = True
-        best = _ranked(queries[q], vectors, np.flatnonzero(found), ids, keep)
+        members = np.flatnonzero(found)
+        best = _ranked(queries[q], vectors, members, ids, keep) if len(members) >= least else []
         if len(best) < min(keep, total):
             best = _ranked(queries[q], vectors, np.arange(len(vectors)), ids, keep)
         out.append(best)
@@ -133,7 +135,7 @@ def _ranked(query: np.ndarray, vectors: np.ndarray, members: np.ndarray, ids: li
     return [(s, i) for i, s in best.items()]
 
 
-def nearest(vectors: DataFrame, is_query: Column, key: str = "vec_id", vector: str = "embedding", k: int = 20, tables: int = 32, probes: int = 96, shard_rows: int = 32_768, block_rows: int = 4096) -> DataFrame:
+def nearest(vectors: DataFrame, is_query: Column, key: str = "vec_id", vector: str = "embedding", k: int = 20, tables: int = 32, probes: int = 96, least: int = 1000, shard_rows: int = 32_768, block_rows: int = 4096) -> DataFrame:
     """query_id, rank (from 1), vec_id and score of the ``k`` nearest found of every row where ``is_query`` holds."""
     v = F.col(vector).cast("array<double>")
     fine = F.col(key).isNotNull() & F.col(vector).isNotNull() & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0)
@@ -186,7 +188,7 @@ def nearest(vectors: DataFrame, is_query: Column, key: str = "vec_id", vector: s
         out: tuple[list, list, list] = ([], [], [])
         if len(left) and len(right):
             asked = left.column("v").to_pylist()
-            hits = search_shard(unpack(left.column("v"), dims), unpack(right.column("v"), dims), right.column("ids").to_pylist(), k, tables, probes)
+            hits = search_shard(unpack(left.column("v"), dims), unpack(right.column("v"), dims), right.column("ids").to_pylist(), k, tables, probes, least)
             for x, own in zip(asked, hits, strict=True):
                 out[0].extend([x] * len(own))
                 out[1].extend(i for _, i in own)

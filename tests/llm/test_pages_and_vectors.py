@@ -10,6 +10,7 @@ import zstandard
 from pyspark.sql import functions as F
 
 from probata.llm import ann, urlrank, warc
+from probata.llm.queries import QUERIES
 
 
 def test_warc_round_trip(spark, tmp_path):
@@ -182,7 +183,7 @@ def test_neighbours(spark):
     rows += [(1000, None), (1001, [0.0] * 16), (1020, [float("nan")] * 16), (1021, [None] * 16), (1022, [float("inf")] + [0.0] * 15), (None, rows[0][1]), (20, rows[20][1]), (1040, [1.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     got = {}
-    for r in ann.nearest(df, F.col("vec_id") % 20 == 0, shard_rows=200, block_rows=16).collect():
+    for r in ann.nearest(df, F.col("vec_id") % 20 == 0, least=1, shard_rows=200, block_rows=16).collect():
         got.setdefault(r.query_id, {})[r.rank] = (r.vec_id, r.score)
     want = brute([r for r in rows if r[1] is None or len(r[1]) == 16], 20)
     assert set(got) == set(want)
@@ -196,6 +197,37 @@ def test_neighbours(spark):
     assert {300, 301, 302} <= {i for i, _ in want[20]}  # its copies, by id
 
 
+@pytest.mark.parametrize("size", ["0.001", "0.01"])
+def test_recall_on_the_tables(spark, sf, size):
+    """The registered query's own rows against brute force, on the tables as they are."""
+    folder = sf.replace("0.001", size)
+    table = spark.read.parquet(f"{folder}/embeddings.parquet").collect()
+    ids, x = [r.vec_id for r in table], np.array([r.embedding for r in table], float)
+    got = {}
+    for r in QUERIES["op3_cross_polytope"](spark, folder).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id))
+    assert set(got) == {i for i in ids if i % 20 == 0}
+    shares = []
+    for q, own in got.items():
+        scores = (x * x[ids.index(q)]).sum(axis=1)
+        best = sorted((-s, i) for s, i in zip(scores, ids, strict=True) if i != q)[:20]
+        assert [k for k, _ in sorted(own)] == list(range(1, 21))
+        shares.append(len({i for _, i in own} & {i for _, i in best}) / 20)
+    assert np.mean(shares) >= 0.9
+    assert min(shares) >= 0.75
+
+
+@pytest.mark.parametrize("rows", [1500, 4000, 12_000])
+def test_recall_of_hashing(rows):
+    """Near-random unit vectors, which are the hardest: what the probes collect, or the whole shard where that is too little."""
+    rng = np.random.default_rng(rows)
+    x = rng.normal(size=(rows, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    hits = ann.search_shard(x[:40], x, [[i] for i in range(rows)], 20, 32, 96, 1000)
+    want = np.argsort(-(x[:40] @ x.T), axis=1)[:, :21]
+    assert np.mean([len({i for _, i in h} & set(w.tolist())) / 21 for h, w in zip(hits, want, strict=True)]) >= 0.9
+
+
 def test_few_vectors_are_all_found(spark):
     rng = np.random.default_rng(5)
     rows = [(i, [float(v) for v in rng.normal(size=8)]) for i in range(9)]
