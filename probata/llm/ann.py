@@ -176,10 +176,10 @@ def nearest(vectors: DataFrame, is_query: Column, key: str = "vec_id", vector: s
 
     parts = stored(rows.mapInArrow(distinct, "v binary, ids array<long>, q boolean"), "ann-parts")
     # the least ids by place and not in a list of all: each side of the shuffle keeps no more than go on
-    least = parts.select("v", F.explode("ids").alias("id")).distinct()
-    least = least.withColumn("r", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("r") <= keep)
-    least = least.groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids"))
-    kinds = least.join(parts.groupBy("v").agg(F.max("q").alias("q")), "v")
+    first = parts.select("v", F.explode("ids").alias("id")).distinct()
+    first = first.withColumn("r", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("r") <= keep)
+    first = first.groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    kinds = first.join(parts.groupBy("v").agg(F.max("q").alias("q")), "v")
     kinds = stored(kinds.select("v", "ids", "q"), "ann")
     sizes = kinds.agg(F.count("*").alias("n"), F.count_if("q").alias("q")).first()
     shards, blocks = -(-sizes.n // shard_rows) or 1, -(-sizes.q // block_rows) or 1
