@@ -2,10 +2,15 @@
 
 Every run of five words is labelled with its number among its equals in the text. A sketch takes the two labelled runs
 with the least hashes, keeps them in the order of the text and hashes that pair: two texts agree in a sketch only if
-they share the sampled runs in the same order, so agreement follows edit similarity. Texts that agree in any of 96
-sketches are candidates; they are linked if their words align with similarity 1 - edits / longer length >= 0.8. Two texts
-that differ in one word of five share about a fifth of their runs, hence agree in a sketch with probability 0.038 and in
-any of the 96 with 0.97; at a similarity of 0.9 it is more than 0.999.
+they share the sampled runs in the same order, so agreement follows edit similarity. Texts that agree in any sketch are
+candidates; they are linked if their words align with similarity 1 - edits / longer length >= 0.8. Two texts that differ
+in one word of five share about a fifth of their runs, hence agree in a sketch with probability 0.038 and in any of 96
+with 0.97; at a similarity of 0.9 it is more than 0.999.
+
+Two thirds of these sketches take five words in a row, one third five words with gaps (of eleven or thirteen), which
+outlive words that are replaced at even distances, where no five in a row are left. Of texts under 64 words too few runs of
+five outlive an edit in five words: they are sketched by runs of three words, and under 12 words of two. The lengths of
+these kinds of sketches overlap by a quarter, so two near texts always have one in common.
 
 How groups stay bounded: equal texts become one node first (partial sums on each side of the shuffle). In a bucket of
 candidates every text is compared with the bucket's first node, its centre. Where a text is linked to its centre neither
@@ -15,8 +20,8 @@ aren't linked yet and that counts of hashed words can't rule out. It returns lin
 text, so rows grow with the texts and not with their pairs. No group is cut: every two texts of a bucket are linked
 through others, aligned, or ruled out by an exact bound. Classes are the connected components of the links.
 
-Defined results: a null text belongs to no group (its class is its own id); empty texts are equal texts; texts without
-five words count as one run; words are compared in lower case. Rows are judged by their texts: an id that comes with
+Defined results: a null text belongs to no group (its class is its own id); empty texts are equal texts; texts with
+fewer words than a run count as one run; words are compared in lower case. Rows are judged by their texts: an id that comes with
 several texts is in the class of each. A row with a null id is in the class of its text, and null is its class only if no
 document of the class has an id. Columns that are not named are left alone.
 """
@@ -24,7 +29,8 @@ document of the class has an id. Columns that are not named are left alone.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -39,10 +45,31 @@ from .align import bag_bound, banded_distance
 BLOCK = 32_768
 #: Characters of texts that meet in one task, from each of two blocks.
 BLOCK_CHARS = 8_000_000
+#: Texts that meet in one task, from each of two blocks: in a block a text counts with the block's characters over this at least.
+BLOCK_TEXTS = 4096
 #: Counts of words by the lowest bits of their hashes, of which a task bounds edits.
 SLOTS = 64
 
 
+@dataclass(frozen=True)
+class Family:
+    """Sketches of texts of ``low`` to ``high`` words, by runs of the words at these offsets."""
+
+    low: int
+    high: int
+    offsets: tuple[int, ...]
+    sketches: int
+
+
+FAMILIES = (
+    Family(64, 1 << 62, (0, 1, 2, 3, 4), 64),
+    Family(64, 1 << 62, (0, 1, 5, 6, 10), 16),
+    Family(64, 1 << 62, (0, 1, 6, 7, 12), 16),
+    Family(10, 79, (0, 1, 2), 64),
+    Family(0, 14, (0, 1), 48),
+)
+
+
 class WordHashes(dict):
     """64-bit hashes of words; forgets all when it holds a million."""
 
@@ -63,15 +90,16 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def labelled_runs(words: np.ndarray, k: int) -> np.ndarray:
-    """Hashes of the runs of ``k`` words, each with its number among its equals; one run if there are fewer words."""
+def labelled_runs(words: np.ndarray, k: int | Sequence[int]) -> np.ndarray:
+    """Hashes of the runs of ``k`` words, or of the words at the offsets ``k``, each with its number among its equals; of a shorter text the offsets that it has make one run or more."""
     n = len(words)
-    k = min(k, n)
+    offsets = [i for i in (range(k) if isinstance(k, int) else k) if i < n]
     if not n:
         return words
-    run = np.zeros(n - k + 1, np.uint64)
-    for i in range(k):
-        run = run * np.uint64(0x100000001B3) + words[i : n - k + 1 + i]
+    count = n - max(offsets)
+    run = np.zeros(count, np.uint64)
+    for i in offsets:
+        run = run * np.uint64(0x100000001B3) + words[i : i + count]
     run = mixed(run)
     order = np.argsort(run, kind="stable")
     s = run[order]
@@ -124,9 +152,18 @@ def digests(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.where(F.col(text).isNotNull()).select(F.col(key).cast("long").alias("id"), digest(text).alias("sha"), F.col(text).alias("text"))
 
 
-def sketch(rows: DataFrame, k: int, take: int, sketches: int) -> DataFrame:
+def sketches_of(words: np.ndarray, take: int = 2, families: Sequence[Family] = FAMILIES) -> np.ndarray:
+    """The keys of a text's hashed words in all families for its length; each family has seeds of its own."""
+    seeds, at, out = seeds_of(sum(f.sketches for f in families)), 0, [np.zeros(0, np.int64)]
+    for f in families:
+        if f.low <= len(words) <= f.high:
+            out.append(order_minhash(labelled_runs(words, f.offsets), seeds[at : at + f.sketches], take))
+        at += f.sketches
+    return np.concatenate(out)
+
+
+def sketch(rows: DataFrame, take: int, families: Sequence[Family]) -> DataFrame:
     """(id, sha, n, chars, keys) of rows (id, sha, text): words, characters and sketches of the text."""
-    seeds = seeds_of(sketches)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -137,7 +174,7 @@ def sketch(rows: DataFrame, k: int, take: int, sketches: int) -> DataFrame:
                 w = hashes.of(t)
                 sizes.append(len(w))
                 chars.append(len(t))
-                keys.append(order_minhash(labelled_runs(w, k), seeds, take))
+                keys.append(sketches_of(w, take, families))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(chars, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["id", "sha", "n", "chars", "keys"])
 
     return rows.mapInArrow(run, "id long, sha binary, n long, chars long, keys array<long>")
@@ -221,9 +258,11 @@ def links_within(words: list[np.ndarray], part: list[int], block: list[int], sim
 def blocks_of(open_rows: DataFrame, similarity: float, block_chars: int) -> DataFrame:
     """(center, a, b, own, node, component): every text of a centre once for each pair of blocks (a, b) it belongs to.
 
-    If the texts of a centre have no more than ``block_chars`` characters, they are one block. Otherwise blocks are made
+    If the texts of a centre have no more than ``block_chars`` characters, they are one block; a text counts with a
+    BLOCK_TEXTS-th of that at least, which bounds the texts of a block too. Otherwise blocks are made
     by length, in steps within which a near text is at most one step away, and by salt within a step.
     """
+    open_rows = open_rows.withColumn("chars", F.greatest("chars", F.lit(block_chars // BLOCK_TEXTS)))
     whole = checkpoint(open_rows.groupBy("center").agg(F.sum("chars").alias("total")))  # with an exchange of its own the join can split a hot centre
     rows = open_rows.join(whole, "center")
     small = rows.where(F.col("total") <= block_chars)
@@ -264,10 +303,10 @@ def unlinked(met: DataFrame, near: DataFrame, nodes: DataFrame, texts: DataFrame
     return rows.groupBy("center", "a", "b").applyInArrow(run, "node long, center long")
 
 
-def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, take: int = 2, sketches: int = 96, similarity: float = 0.8, block_chars: int = BLOCK_CHARS) -> tuple[DataFrame, DataFrame]:
+def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", take: int = 2, families: Sequence[Family] = FAMILIES, similarity: float = 0.8, block_chars: int = BLOCK_CHARS) -> tuple[DataFrame, DataFrame]:
     """(id, sha) of every row with a text, and (sha, copy_of, class_id, class_sha) of every different text: the least ids of the text and of its class, and the least digest of the class's texts that have its least id."""
     spark, seen = docs.sparkSession, digests(docs, key, text)
-    texts_of = sketch(seen, k, take, sketches).groupBy("sha").agg(F.min("id").alias("copy_of"), F.first("n").alias("n"), F.first("chars").alias("chars"), F.first("keys").alias("keys"))
+    texts_of = sketch(seen, take, families).groupBy("sha").agg(F.min("id").alias("copy_of"), F.first("n").alias("n"), F.first("chars").alias("chars"), F.first("keys").alias("keys"))
     texts_of.withColumn("node", F.monotonically_increasing_id()).write.parquet(keyed := scratch(spark, "omh-keys"))  # numbers are fixed by writing them
 
     members = spark.read.parquet(keyed).select(F.explode("keys").alias("bucket"), "node")

@@ -102,18 +102,67 @@ def test_one_id_with_two_texts(spark):
 
 
 @pytest.mark.parametrize("similarity", [0.98, 0.95, 0.9, 0.85, 0.82, 0.8])
-@pytest.mark.parametrize("length", [60, 200, 1000])
+@pytest.mark.parametrize("length", [5, 8, 10, 12, 15, 20, 25, 40, 63, 70, 100, 200, 1000])
 def test_recall_of_candidates(similarity, length):
     """Of pairs as similar as that, nine in ten or more share a sketch, down to the least similarity that links."""
-    rng, seeds = np.random.default_rng(length), N.seeds_of(96)
-    hits = 0
+    rng = np.random.default_rng(length)
+    edits = int(length * (1 - similarity) + 1e-9)
+    hits = {"replaced": 0, "mixed": 0}
     for _ in range(100):
+        a = rng.integers(0, 2**63, length).astype(np.uint64)
+        x = N.sketches_of(a)
+        for kind in hits:
+            b = a.tolist()
+            for at in sorted(rng.choice(length, edits, replace=False).tolist(), reverse=True):
+                new = int(rng.integers(0, 2**63))
+                way = rng.integers(0, 3) if kind == "mixed" else 0
+                b[at : at + (way < 2)] = [] if way == 1 else [new]  # replaced, dropped or put before
+            y = N.sketches_of(np.array(b, np.uint64))
+            hits[kind] += bool(np.isin(x, y).any())
+    assert min(hits.values()) >= 90, hits
+
+
+@pytest.mark.parametrize("length", [10, 15, 25, 60, 75, 100, 200, 1000])
+@pytest.mark.parametrize("step", [5, 6, 7, 8])
+def test_recall_of_even_edits(length, step):
+    """Every fifth to eighth word replaced: nine in ten or more share a sketch though no five words in a row may be left."""
+    rng = np.random.default_rng(length + step)
+    hits = 0
+    for _ in range(60):
         a = rng.integers(0, 2**63, length).astype(np.uint64)
         b = a.copy()
-        b[rng.choice(length, round(length * (1 - similarity)), replace=False)] = rng.integers(0, 2**63, round(length * (1 - similarity)))
-        x, y = (N.order_minhash(N.labelled_runs(t, 5), seeds, 2) for t in (a, b))
-        hits += bool((x == y).any())
-    assert hits >= 90
+        b[step - 1 :: step] = rng.integers(0, 2**63, len(b[step - 1 :: step]))
+        hits += bool(np.isin(N.sketches_of(a), N.sketches_of(b)).any())
+    assert hits >= 54
+
+
+def test_short_texts_against_all_pairs(spark):
+    """Texts of 4 to 70 words with edits of all kinds; groups next to those of all pairs, at lengths on both sides of the families' bounds."""
+    rng = random.Random(21)
+    vocab = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(3000)]
+    texts = []
+    for length in (4, 5, 8, 10, 11, 12, 13, 14, 16, 20, 30, 50, 62, 64, 66, 70):
+        for _ in range(6):
+            base = [rng.choice(vocab) for _ in range(length)]
+            texts.append(" ".join(base))
+            for _ in range(rng.randrange(0, int(length * 0.2) + 1)):
+                at = rng.randrange(len(base))
+                base[at : at + rng.randrange(2)] = [rng.choice(vocab)] * rng.randrange(2)
+            texts.append(" ".join(base))
+    got = {r.doc_id: r.class_id for r in N.near_duplicates(frame(spark, texts)).collect()}
+    want = brute(texts)
+    pairs = [i for i in range(len(texts)) if want[i] != i]
+    assert len(pairs) > 60
+    assert all(want[i] == want[got[i]] for i in range(len(texts)))
+    assert sum(got[i] == want[i] for i in pairs) >= 0.97 * len(pairs)
+
+
+def test_blocks_hold_few_texts(spark):
+    """Unlinked texts of one template: blocks are bounded by texts as well as by characters."""
+    rows = spark.createDataFrame([(0, i, i, 12, 60) for i in range(1, 3000)], "center long, node long, component long, n long, chars long")
+    for chars, most in ((4096 * 60, 4096), (40_960 * 60, 4096), (4096 * 6000, 4096)):
+        sizes = [r["count"] for r in N.blocks_of(rows, 0.8, chars).groupBy("a", "b", "own").count().collect()]
+        assert max(sizes) <= most
 
 
 def test_blocks_are_no_cut(spark):
