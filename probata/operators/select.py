@@ -71,3 +71,17 @@ def early_stop(history: DataFrame, run: str, epoch: str, score: str, patience: i
     s = h.groupBy(run).agg(F.coalesce(stop, F.max(epoch)).alias("stop_epoch"))
     done = h.join(s, run).where((F.col(epoch) <= F.col("stop_epoch")) & F.col("up"))
     return done.groupBy(run, "stop_epoch").agg(F.max(epoch).alias("best_epoch"), F.max_by(score, epoch).alias("best")).select(run, "best_epoch", "best", "stop_epoch")
+
+
+def accepted(pool: DataFrame, train: DataFrame, id: str, content: str, holds: Column) -> DataFrame:
+    """The rows of ``pool`` that may get a pseudo label: ``holds`` is true, the content is readable (not null, nor with a null or
+    non-finite part), no row of ``train`` has the same content, and of equal contents that are accepted the least id is taken.
+
+    Contents are compared as they are. Each side is reduced to one row a content before it is joined.
+    """
+    v = F.col(content).cast("array<double>")
+    readable = F.col(content).isNotNull() & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    rows = pool.where(F.coalesce(holds, F.lit(False)) & F.coalesce(readable, F.lit(False)))
+    known = train.where(F.col(content).isNotNull()).select(F.col(content).alias("__known")).distinct()
+    rows = rows.groupBy(content).agg(F.min_by(F.struct(*[F.col(c) for c in pool.columns if c != content]), id).alias("__row"))
+    return rows.join(known, F.col(content) == F.col("__known"), "left_anti").select("__row.*", content).select(*pool.columns)

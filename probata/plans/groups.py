@@ -257,10 +257,12 @@ def set_except(spark, d):
     return table(spark, d, "customer").select("c_custkey").exceptAll(table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")).distinct())
 
 
-@query("set_product", "SELECT a, b, c FROM (SELECT unnest(['fast', 'full']) AS a), (SELECT unnest([0.1::DOUBLE, 0.5::DOUBLE]) AS b), (SELECT unnest([1, 2, 3]) AS c)")
+@query("set_product", "SELECT a, b, c FROM (SELECT DISTINCT o_orderpriority AS a FROM orders), (SELECT DISTINCT r_name AS b FROM region), (SELECT unnest([1, 2, 3]) AS c)")
 def set_product(spark, d):
-    a = spark.range(1).select(F.explode(F.array(F.lit("fast"), F.lit("full"))).alias("a"))
-    return a.select("a", F.explode(F.array(F.lit(0.1), F.lit(0.5))).alias("b")).select("a", "b", F.explode(F.array(*map(F.lit, (1, 2, 3)))).alias("c"))
+    """The grid of settings: every kind of order with every region and step; a row per kind, region and step."""
+    a = table(spark, d, "orders").select(F.col("o_orderpriority").alias("a")).distinct()
+    b = table(spark, d, "region").select(F.col("r_name").alias("b")).distinct()
+    return a.crossJoin(F.broadcast(b)).select("a", "b", F.explode(F.array(*map(F.lit, (1, 2, 3)))).alias("c"))
 
 
 @query("reshape_pivot", "SELECT o_orderpriority, count_if(o_orderstatus = 'F') AS f, count_if(o_orderstatus = 'O') AS o, count_if(o_orderstatus = 'P') AS p FROM orders GROUP BY o_orderpriority")

@@ -16,6 +16,7 @@ from ..operators import audit as A
 from ..operators import lake as L
 from ..operators import metrics as M
 from ..operators import referral as R
+from ..operators import select as SE
 from ..operators import text as TX
 from ..operators import train as TR
 from ..session import scratch, stored
@@ -169,6 +170,25 @@ def pseudo_rule(spark, d):
     return p.join(F.broadcast(t), "label").where((P.top("pa") > F.col("least_conf")) & (P.margin("pa") > F.col("least_margin"))).select("id", "label")
 
 
+LIMITS = [(0, 0.6, 0.3), (1, 0.7, 0.4), (2, 0.65, 0.3), (3, 0.75, 0.5)]
+#: Test rows, copies of some of them and of training rows under other ids, and some whose content can't be read; names end in png, each seventh in jpg.
+POOL = "e AS (SELECT p.*, v.embedding FROM preds p JOIN embeddings v ON v.vec_id = p.id), pool AS (SELECT * FROM e WHERE part = 'test' UNION ALL SELECT * REPLACE (id + 1000000 AS id) FROM e WHERE id % 10 = 1 UNION ALL SELECT * REPLACE (id + 2000000 AS id) FROM e WHERE id % 25 = 2 UNION ALL SELECT * REPLACE (id + 3000000 AS id, NULL AS embedding) FROM e WHERE id % 20 = 1)"
+
+
+@query("pseudo_rule_full", f"WITH {PREDS}, {POOL}, t AS (SELECT * FROM (VALUES {', '.join(f'({c}, {a}::DOUBLE, {b}::DOUBLE)' for c, a, b in LIMITS)}) v(c, least_conf, least_margin)), ok AS (SELECT pool.id, pred_a AS label, embedding FROM pool JOIN t ON c = pred_a WHERE id % 7 <> 0 AND pred_a = pred_b AND conf_a > least_conf AND list_sort(pa, 'DESC')[1] - list_sort(pa, 'DESC')[2] > least_margin AND embedding IS NOT NULL AND embedding NOT IN (SELECT embedding FROM e WHERE part = 'train')) SELECT min(id) AS id, arg_min(label, id) AS label FROM ok GROUP BY embedding")
+def pseudo_rule_full(spark, d):
+    """The whole rule of acceptance: right kind of file, branches agree, confidence and margin above those of the class, readable, no copy of a training row or of an accepted one."""
+    e = predictions(spark, d).join(table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding"), "id")
+    copies = lambda rule, more: e.where(rule).withColumn("id", F.col("id") + more)
+    pool = e.where("part = 'test'").unionByName(copies("id % 10 = 1", 1_000_000)).unionByName(copies("id % 25 = 2", 2_000_000))
+    pool = pool.unionByName(copies("id % 20 = 1", 3_000_000).withColumn("embedding", F.lit(None).cast("array<float>")))
+    name = F.concat(F.col("id").cast("string"), F.when(F.col("id") % 7 == 0, ".jpg").otherwise(".png"))
+    t = F.broadcast(spark.createDataFrame(LIMITS, "label int, least_conf double, least_margin double"))
+    pool = pool.select("id", P.argmax("pa").alias("label"), P.argmax("pb").alias("other"), P.top("pa").alias("top"), P.margin("pa").alias("margin"), name.alias("name"), "embedding").join(t, "label")
+    holds = F.col("name").endswith(".png") & (F.col("label") == F.col("other")) & (F.col("top") > F.col("least_conf")) & (F.col("margin") > F.col("least_margin"))
+    return SE.accepted(pool, e.where("part = 'train'"), "id", "embedding", holds).select("id", "label")
+
+
 @query("suffix_filter", "SELECT page_id, regexp_extract(lower(url), '\\.([a-z]+)$', 1) AS suffix FROM pages WHERE regexp_matches(lower(url), '\\.html$')")
 def suffix_filter(spark, d):
     p = table(spark, d, "pages").select("page_id", F.regexp_extract(F.lower("url"), r"\.([a-z]+)$", 1).alias("suffix"))

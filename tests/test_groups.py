@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from probata.operators import dedup as D
+from probata.operators import select as SE
 from probata.operators.graph import components
 from probata.operators.ranks import places, quantiles
 from probata.sources.files import reconcile, safe_path
@@ -139,3 +140,15 @@ def test_safe_paths(spark):
     rows = [("a/b.txt",), ("/etc/x",), ("a/../b",), ("..",), ("a..b",), ("",), (None,)]
     got = [r.ok for r in spark.createDataFrame(rows, "p string").select(safe_path("p").alias("ok")).collect()]
     assert got == [True, False, False, False, True, False, False]
+
+
+def test_accepted_pseudo_labels(spark):
+    """Unreadable contents, copies of training rows and of each other, rows that the rule leaves out or says nothing of."""
+    pool = [(1, [1.0, 2.0], True), (2, [1.0, 2.0], True), (3, [3.0, 4.0], True), (4, None, True), (5, [5.0, None], True), (6, [float("nan"), 1.0], True), (7, [6.0, 7.0], False), (8, [6.0, 8.0], None), (0, [1.0, 2.0], False), (9, [9.0, 9.0], True), (10, [], True)]
+    df = spark.createDataFrame(pool, "id long, content array<double>, fine boolean").withColumn("label", F.lit("x"))
+    train = spark.createDataFrame([(100, [3.0, 4.0]), (101, None), (102, [3.0, 4.0])], "id long, content array<double>")
+    got = SE.accepted(df, train, "id", "content", F.col("fine"))
+    assert got.columns == df.columns
+    assert sorted(r.id for r in got.collect()) == [1, 9, 10]
+    assert SE.accepted(df, train.limit(0), "id", "content", F.col("fine")).count() == 4
+    assert SE.accepted(df.limit(0), train, "id", "content", F.col("fine")).count() == 0
