@@ -19,7 +19,9 @@ repeat are documents of their own (equal ids and sizes are interchangeable); sou
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +29,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import checkpoint
-from .common import word_count
+from .common import WORD, word_count
 
+WORDS = re.compile(WORD)
 #: The points are multiples of the golden ratio's fraction, in 31 bits: STEP is the odd number next to 2**31 times it.
 PERIOD = 1 << 31
 STEP = 1_327_217_885
@@ -105,7 +108,7 @@ def small(sources: DataFrame) -> DataFrame:
 
 
 def streams(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, size) with ``begin``, the words of its source before it in the shuffled order."""
+    """``docs`` (doc_id, source, size and more) with ``begin``, the words of its source before it in the shuffled order."""
     ranges = max(64, docs.count() // RANGE_ROWS)
     mixed = F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("size").cast("string")).cast("binary"))
     rows = docs.withColumn("h", mixed).withColumn("range", F.expr(f"cast(conv(substring(h, 1, 7), 16, 10) as long) * {ranges}L div 268435456L"))
@@ -115,7 +118,7 @@ def streams(docs: DataFrame) -> DataFrame:
     inside = Window.partitionBy("source", "range").orderBy("h", "size").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("within", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     rows = rows.join(sums, F.col("source").eqNullSafe(F.col("s2")) & (F.col("range") == F.col("r2")))
-    return rows.withColumn("begin", F.col("before") + F.col("within")).select("doc_id", "source", "size", "begin")
+    return rows.withColumn("begin", F.col("before") + F.col("within")).select(*docs.columns, "begin")
 
 
 def placed(sized: DataFrame, goal: DataFrame, sources: DataFrame) -> DataFrame:
@@ -129,8 +132,10 @@ def placed(sized: DataFrame, goal: DataFrame, sources: DataFrame) -> DataFrame:
     return rows.withColumn("lo", lo).withColumn("hi", hi).drop("block")
 
 
-def prepare(docs: DataFrame, text: str, block: int, weights: tuple[float, ...], most: float, step: int) -> tuple[DataFrame, DataFrame]:
-    sized = checkpoint(docs.select("doc_id", "source", word_count(text).alias("size")))
+def prepare(docs: DataFrame, text: str, block: int, weights: tuple[float, ...], most: float, step: int, keep: bool = False) -> tuple[DataFrame, DataFrame]:
+    """What ``placed`` and ``schedule`` give for the documents, with their texts as ``words`` if they are to be kept."""
+    own = [F.col(text).alias("words")] if keep else []
+    sized = checkpoint(docs.select("doc_id", "source", word_count(text).alias("size"), *own))
     goal = checkpoint(targets(sized, weights, most))
     sources = checkpoint(plan(goal, block))
     return placed(sized, goal, sources), schedule(sources, most, step)
@@ -142,6 +147,30 @@ def pieces(docs: DataFrame, text: str = "text", block: int = 8192, weights: tupl
     return parts.join(slots, ["no", "part"]).select("slot", "doc_id", "source", "begin", "lo", "hi")
 
 
+def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(slot, doc_id, source, begin, lo, text) of rows with ``hi`` and whole ``words``: the text from word ``lo`` to word ``hi``, as it is between them."""
+    for batch in batches:
+        texts = []
+        for whole, lo, hi in zip(*(batch.column(c).to_pylist() for c in ("words", "lo", "hi")), strict=True):
+            ends = [(m.start(), m.end()) for m in islice(WORDS.finditer(whole), lo, hi)]
+            texts.append(whole[ends[0][0] : ends[-1][1]] if ends else "")
+        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("slot", "doc_id", "source", "begin", "lo")], pa.array(texts, pa.string())], ["slot", "doc_id", "source", "begin", "lo", "text"])
+
+
+def write(docs: DataFrame, path: str, text: str = "text", block: int = 8192, weights: tuple[float, ...] = (5, 2, 1), most: float = 3.0, step: int = STEP) -> DataFrame:
+    """Write the mix itself as Parquet, in reading order within and between files: (slot, doc_id, source, begin, lo, text); return what was written.
+
+    Each piece is the text from the words that a slot takes of a document. Files are ranges of slots, so no task sorts more than
+    its own; a document that several slots take travels with each, which is ``most`` times the corpus at worst.
+    """
+    parts, slots = prepare(docs, text, block, weights, most, step, keep=True)
+    kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
+    rows = parts.where("hi > lo").join(slots, ["no", "part"]).select("slot", "doc_id", "source", "begin", "lo", "hi", F.col("words").cast("string").alias("words"))
+    rows = rows.mapInArrow(cut, f"slot long, doc_id {kinds['doc_id']}, source {kinds['source']}, begin long, lo long, text string")
+    rows.repartitionByRange("slot", "begin").sortWithinPartitions("slot", "begin", "lo").write.parquet(path)
+    return docs.sparkSession.read.parquet(path)
+
+
 def mix(docs: DataFrame, text: str = "text", block: int = 8192, weights: tuple[float, ...] = (5, 2, 1), most: float = 3.0, step: int = STEP) -> DataFrame:
     """doc_id, source, size, source_size, target and taken of every document: the words that the slots take of it, repeats counted."""
     parts, slots = prepare(docs, text, block, weights, most, step)

@@ -90,6 +90,13 @@ def test_stages_against_plain_versions(spark, tmp_path):
     assert Counter((r.doc_id, r.source, r.size, r.taken) for r in got) == expected
     assert all(r.target == pytest.approx(target[r.source]) for r in got)
     assert mixing.FINEST == 4096
+    texts = {(i, s): t.split() for i, t, _, s, _ in want}
+    words = Counter()
+    for r in corpus_pipeline.write(spark, str(tmp_path), f"{tmp_path}/mix").collect():
+        own = r.text.split()
+        assert own == texts[r.doc_id, r.source][r.lo : r.lo + len(own)]
+        words[r.doc_id] += len(own)
+    assert words == +Counter({r.doc_id: r.taken for r in got})
 
 
 def test_pipeline_on_odd_tables(spark, tmp_path):

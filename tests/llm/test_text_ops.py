@@ -526,6 +526,30 @@ def test_mixing_against_the_schedule_read_slot_by_slot(spark):
     assert mixing.mix(d.limit(0)).count() == 0
 
 
+def test_the_written_mix(spark, tmp_path):
+    """Pieces in reading order, each the words that its slot takes; with repeats they are what ``mix`` counts, and the texts put together again."""
+    d, rows = mixed_docs(spark)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    out = mixing.write(d, f"{tmp_path}/mix", block=64)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    files = sorted((tmp_path / "mix").glob("part-*.parquet"))
+    order = []
+    for f in files:
+        order += [(r.slot, r.begin, r.lo) for r in spark.read.parquet(str(f)).collect()]
+    assert order == sorted(order)
+    assert len(files) > 1
+    want = {(r.slot, r.doc_id, r.source, r.begin, r.lo): r.hi for r in mixing.pieces(d, block=64).collect()}
+    got = out.collect()
+    assert len(got) == len(want)
+    texts = {}
+    for i, t, _, s in rows:
+        texts.setdefault((i, s), []).append(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    for r in got:
+        hi = want[r.slot, r.doc_id, r.source, r.begin, r.lo]
+        assert any(r.text.split() == w[r.lo : hi] for w in texts[r.doc_id, r.source])
+    assert mixing.write(d.limit(0), f"{tmp_path}/none").count() == 0
+
+
 def test_pieces_are_the_mix(spark):
     d, _ = mixed_docs(spark)
     got = mixing.pieces(d, block=64).collect()
