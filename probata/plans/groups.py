@@ -145,13 +145,14 @@ def split_target_rule(spark, d):
     return n.select("label", "total", F.when(F.col("total") >= 60, 20).otherwise(F.greatest(F.lit(1), F.bround(F.col("total") * 0.15))).cast("long").alias("target"))
 
 
-@query("split_leak_check", "SELECT 0::BIGINT AS leaking_groups")
+@query("split_leak_check", f"WITH RECURSIVE {HASHED}, {PAIRS}, {GROUPED}, g AS (SELECT DISTINCT class, component FROM grouped JOIN hashed USING (vec_id)), n AS (SELECT count(*) AS vectors FROM hashed) SELECT count(*) AS groups, any_value(vectors) AS vectors, 0::BIGINT AS leaking_groups FROM g, n")
 def split_leak_check(spark, d):
     g = grouped(spark, d)
     s = D.split_groups(g, "class", "component", 20, 20).select("class", "component", "split")
     # groups are dealt class by class, so a group of several classes is checked within each
     rows = g.join(s, ["class", "component"]).withColumn("component", F.concat_ws("|", "class", "component"))
-    return D.leaks(rows).agg(F.count("*").alias("leaking_groups"))
+    whole = rows.agg(F.count_distinct("component").alias("groups"), F.count("*").alias("vectors"))
+    return whole.crossJoin(D.leaks(rows).agg(F.count("*").alias("leaking_groups")))
 
 
 RANKED = f"ranked AS (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY md5('42|' || vec_id), vec_id) AS place, count(*) OVER (PARTITION BY label) AS n FROM embeddings)"

@@ -401,11 +401,13 @@ def src_batch_stream(spark, d):
     return count(batch, "batch").unionByName(count(stream, "stream"))
 
 
-@query("st_parity", "SELECT 0::BIGINT AS only_batch, 0::BIGINT AS only_stream")
+@query("st_parity", f"WITH {BRONZE} SELECT coalesce(reason, 'valid') AS reason, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids, 0::BIGINT AS only_batch, 0::BIGINT AS only_stream FROM judged GROUP BY reason")
 def st_parity(spark, d):
+    """What a stream gives of each kind, and rows that only it or only the batch over the same files has."""
     batch, stream = ST.parity(spark, bronze_files(spark, d), judged)
+    kinds = stream.groupBy(F.coalesce("reason", F.lit("valid")).alias("reason")).agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
     a = batch.exceptAll(stream).agg(F.count("*").alias("only_batch"))
-    return a.crossJoin(stream.exceptAll(batch).agg(F.count("*").alias("only_stream")))
+    return kinds.crossJoin(F.broadcast(a)).crossJoin(F.broadcast(stream.exceptAll(batch).agg(F.count("*").alias("only_stream"))))
 
 
 @query("st_dedup", f"WITH {BRONZE} SELECT count(*) AS n, count(*) AS keys FROM (SELECT DISTINCT event_id FROM bronze)")
@@ -433,12 +435,15 @@ def st_quarantine(spark, d):
     return good.unionByName(rows)
 
 
-@query("st_replay", "SELECT true AS same")
+@query("st_replay", f"WITH {BRONZE} SELECT true AS same, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids, round(sum(CASE WHEN reason IS NULL THEN value END), 4) AS valid_total FROM judged")
 def st_replay(spark, d):
-    """Two runs from the same bronze with fresh state give the same silver."""
+    """Two runs from the same bronze with fresh state give the same silver, and what that is."""
     path = bronze_files(spark, d)
-    run = lambda: ST.drain(judged(ST.file_stream(spark, path)), what="replay").agg(F.sum(F.xxhash64("event_id", "copy", "value", "reason").cast("decimal(38,0)")).alias("h"))
-    return run().crossJoin(run().withColumnRenamed("h", "h2")).select((F.col("h") == F.col("h2")).alias("same"))
+    run = lambda: ST.drain(judged(ST.file_stream(spark, path)), what="replay")
+    whole = lambda x, h: x.agg(F.sum(F.xxhash64("event_id", "copy", "value", "reason").cast("decimal(38,0)")).alias(h))
+    one, two = run(), run()
+    figures = one.agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"), F.round(F.sum(F.when(F.col("reason").isNull(), F.col("value"))), 4).alias("valid_total"))
+    return whole(one, "h").crossJoin(whole(two, "h2")).crossJoin(figures).select((F.col("h") == F.col("h2")).alias("same"), "n", "ids", "valid_total")
 
 
 @query("st_freshness", f"WITH {BRONZE} SELECT event_type, CAST(floor(epoch(max(max(ts)) OVER ())) - floor(epoch(max(ts))) AS BIGINT) AS lag_seconds FROM bronze GROUP BY event_type")
