@@ -46,7 +46,8 @@ BLOCK = 32_768
 #: Characters of texts that meet in one task, from each of two blocks.
 BLOCK_CHARS = 8_000_000
 #: Texts that meet in one task, from each of two blocks: in a block a text counts with the block's characters over this at least.
-BLOCK_TEXTS = 4096
+#: As many texts of which none is near another take a task about a minute and a half.
+BLOCK_TEXTS = 16_384
 #: Counts of words by the lowest bits of their hashes, of which a task bounds edits.
 SLOTS = 64
 

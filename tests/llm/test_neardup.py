@@ -157,12 +157,14 @@ def test_short_texts_against_all_pairs(spark):
     assert sum(got[i] == want[i] for i in pairs) >= 0.97 * len(pairs)
 
 
-def test_blocks_hold_few_texts(spark):
-    """Unlinked texts of one template: blocks are bounded by texts as well as by characters."""
+def test_blocks_hold_few_texts(spark, monkeypatch):
+    """Unlinked short texts of one template: blocks are bounded by texts as well as by characters, but for the chance of salts."""
+    monkeypatch.setattr(N, "BLOCK_TEXTS", 256)
     rows = spark.createDataFrame([(0, i, i, 12, 60) for i in range(1, 3000)], "center long, node long, component long, n long, chars long")
-    for chars, most in ((4096 * 60, 4096), (40_960 * 60, 4096), (4096 * 6000, 4096)):
+    for chars in (256 * 60, 2560 * 60, 256 * 6000):
         sizes = [r["count"] for r in N.blocks_of(rows, 0.8, chars).groupBy("a", "b", "own").count().collect()]
-        assert max(sizes) <= most
+        assert max(sizes) <= 1.3 * 256
+        assert len(sizes) > 10
 
 
 def test_blocks_are_no_cut(spark):
