@@ -1,8 +1,9 @@
 """Bootstrap, paired tests and intervals with draws that any engine can repeat.
 
 Metrics that count draw how often each cell comes up (``bootstrap_counts``), at a cost that doesn't grow with the rows. Where
-the rows themselves are wanted, draw ``pos`` of replicate ``rep`` is the first 32 bits of md5(seed|rep|pos) modulo n, an index
-into rows numbered from 0 (``bootstrap``, replicates x rows).
+sums over the rows drawn are wanted, rows are drawn inside of blocks (``bootstrap_sums``). Where the rows themselves are, draw
+``pos`` of replicate ``rep`` is the first 32 bits of md5(seed|rep|pos) modulo n, an index into rows numbered from 0
+(``bootstrap``, replicates x rows, for small tables).
 """
 
 from __future__ import annotations
@@ -14,9 +15,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..functions.distributions import binomial_quantile, clopper_pearson, let, ln_gamma
+from ..session import stored
 from .ranks import places
 
-__all__ = ["binomial_two_sided", "bootstrap", "bootstrap_counts", "clopper_pearson", "draws", "interval", "mcnemar", "numbered", "uniform", "verdict"]
+__all__ = ["binomial_two_sided", "block_counts", "bootstrap", "bootstrap_counts", "bootstrap_sums", "clopper_pearson", "draws", "interval", "mcnemar", "numbered", "uniform", "verdict"]
 
 
 def draws(spark, reps: int, n: int, seed: str) -> DataFrame:
@@ -71,6 +73,50 @@ def bootstrap_counts(df: DataFrame, reps: int, seed: str, *by: str) -> DataFrame
     return drawn.join(F.broadcast(cells), "cell").select("rep", *by, "n")
 
 
+def block_counts(spark, n: int, reps: int, seed: str, block: int) -> DataFrame:
+    """(rep, block, draws): how many of a replicate's ``n`` draws fall in each block of ``block`` numbered rows.
+
+    Draws are split in halves of the blocks, and these again, by binomial quantiles; each round is cut off by writing it.
+    """
+    d = spark.range(reps).select(F.col("id").alias("rep"), F.lit(0).cast("long").alias("lo"), F.lit(-(-n // block)).cast("long").alias("hi"), F.lit(n).cast("long").alias("draws"))
+    width = -(-n // block)
+    while width > 1:
+        mid = F.floor((F.col("lo") + F.col("hi") + 1) / 2)
+        share = (mid - F.col("lo")) * block / (F.least(F.col("hi") * block, F.lit(n)) - F.col("lo") * block)
+        left = F.when(F.col("hi") - F.col("lo") > 1, binomial_quantile(uniform(seed, F.lit("blocks"), F.col("rep"), F.col("lo"), F.col("hi")), F.col("draws"), share)).otherwise(F.col("draws"))
+        parts = let(left, lambda k: F.array(F.struct(F.col("lo").alias("lo"), F.when(F.col("hi") - F.col("lo") > 1, mid).otherwise(F.col("hi")).alias("hi"), k.alias("draws")), F.struct(mid.alias("lo"), F.col("hi").alias("hi"), (F.col("draws") - k).alias("draws"))))
+        d = stored(d.select("rep", F.explode(parts).alias("x")).select("rep", "x.*").where("draws > 0"), "block-draws")
+        width = -(-width // 2)
+    return d.select("rep", F.col("lo").alias("block"), "draws").where("draws > 0")
+
+
+def bootstrap_sums(df: DataFrame, id: str, reps: int, seed: str, *values: str, block: int = 65_536) -> DataFrame:
+    """(rep, n, values): of each replicate the number of draws and the sums of the columns over the rows drawn.
+
+    A block's rows lie in one array, and its draws, the first 32 bits of md5(seed|rep|block|pos) modulo its size, are looked up
+    and summed there: rows are shuffled once and draws never, and a task holds a block. Nulls add nothing.
+    """
+    rows = numbered(df.select(id, *[v for v in values if v != id]), id)
+    n = rows.count()
+    entry = F.struct(F.col("idx"), *[F.coalesce(F.col(v), F.lit(0)).alias(f"v{i}") for i, v in enumerate(values)])
+    packed = rows.groupBy(F.floor(F.col("idx") / block).alias("block")).agg(F.array_sort(F.collect_list(entry)).alias("rows"))
+    counts = block_counts(df.sparkSession, n, reps, seed, block).groupBy("block").agg(F.collect_list(F.struct("rep", "draws")).alias("counts"))  # as many as replicates
+    zero = [F.lit(0).cast("decimal(38,6)") if t.startswith("decimal") else F.lit(0).cast("double" if t in ("double", "float") else "long") for t in (dict(df.dtypes)[v] for v in values)]
+
+    def drawn(c: Column) -> Column:
+        def step(acc: Column, pos: Column) -> Column:
+            h = F.md5(F.concat_ws("|", F.lit(seed), c["rep"].cast("string"), F.col("block").cast("string"), pos.cast("string")).cast("binary"))
+            at = (F.conv(F.substring(h, 1, 8), 16, 10).cast("long") % F.size("rows")).cast("int")
+            return let(F.get("rows", at), lambda r: F.struct(*[(acc[f"s{i}"] + r[f"v{i}"]).alias(f"s{i}") for i in range(len(values))]))
+
+        start = F.struct(*[z.alias(f"s{i}") for i, z in enumerate(zero)])
+        sums = F.aggregate(F.sequence(F.lit(0).cast("long"), c["draws"] - 1), start, step)
+        return let(sums, lambda s: F.struct(c["rep"].alias("rep"), c["draws"].alias("n"), *[s[f"s{i}"].alias(f"s{i}") for i in range(len(values))]))
+
+    out = packed.join(counts, "block").select(F.explode(F.transform("counts", drawn)).alias("x")).select("x.*")
+    return out.groupBy("rep").agg(F.sum("n").alias("n"), *[F.sum(f"s{i}").alias(v) for i, v in enumerate(values)])
+
+
 def interval(df: DataFrame, *values: str) -> DataFrame:
     """(metric, low, median, high): 95 % percentile interval of the columns over replicates, nulls skipped."""
     q = [F.percentile(v, F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975))).alias(v) for v in values]

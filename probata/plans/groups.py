@@ -287,16 +287,13 @@ def reshape_transpose(spark, d):
 # ---- resampling
 
 
-DRAWN = f"n AS (SELECT count(*) AS n FROM gated), rows_ AS (SELECT *, row_number() OVER (ORDER BY id) - 1 AS idx FROM gated), d AS (SELECT rep.range AS rep, {draw_sql(f"'{SEED}'", 'rep.range', 'pos.range')} % n AS idx FROM n, range({REPS}) rep, LATERAL (SELECT unnest(range(n.n)) AS range) pos), boot AS (SELECT d.rep, rows_.* FROM d JOIN rows_ ON rows_.idx = d.idx)"
-
-
-def boot(spark, d) -> DataFrame:
-    return B.bootstrap(gated(spark, d).select("id"), "id", REPS, SEED)
+DRAWN = f"n AS (SELECT count(*) AS n FROM gated), rows_ AS (SELECT *, row_number() OVER (ORDER BY id) - 1 AS idx FROM gated), d AS (SELECT rep.range AS rep, {draw_sql(f"'{SEED}'", 'rep.range', "'0'", 'pos.range')} % n AS idx FROM n, range({REPS}) rep, LATERAL (SELECT unnest(range(n.n)) AS range) pos), boot AS (SELECT d.rep, rows_.* FROM d JOIN rows_ ON rows_.idx = d.idx)"
 
 
 @query("boot_index", f"WITH {PREDS}, {DRAWN} SELECT rep, count(*) AS n, CAST(sum(id) AS BIGINT) AS s FROM boot GROUP BY rep")
 def boot_index(spark, d):
-    return boot(spark, d).groupBy("rep").agg(F.count("*").alias("n"), F.sum("id").alias("s"))
+    """Draws of each replicate and the sum of the ids drawn; the twin draws from one block, as there is up to 65,536 rows."""
+    return B.bootstrap_sums(gated(spark, d).select("id"), "id", REPS, SEED, "id").select("rep", "n", F.col("id").alias("s"))
 
 
 def counted_sql(cells: str, by: list[str]) -> str:

@@ -1,5 +1,6 @@
 """Metrics against known tables and brute force."""
 
+import hashlib
 import itertools
 import math
 import random
@@ -219,3 +220,28 @@ def test_prefix_sums(spark):
     got = {(r.g, r.o): r.v_before for r in prefix_sums(df, ["o"], ["v"], "g").collect()}
     assert got == {(g, o): sum(w for h, p, w in rows if h == g and p < o) for g, o, _ in rows}
     assert prefix_sums(df.limit(0), ["o"], ["v"], "g").count() == 0
+
+
+def test_sums_of_drawn_rows(spark):
+    """Draws inside of blocks: each replicate draws as many as there are rows, blocks get multinomial shares, and sums are those of the rows that the draws name."""
+    n, reps, block = 130, 300, 16
+    rows = [(i * 3, float(i % 7), None if i % 11 == 0 else i) for i in range(n)]
+    df = spark.createDataFrame(rows, "id long, x double, y long").repartition(5)
+    counts = {(r.rep, r.block): r.draws for r in B.block_counts(spark, n, reps, "s", block).collect()}
+    totals = np.zeros((reps, -(-n // block)))
+    for (rep, b), k in counts.items():
+        totals[rep, b] = k
+    assert (totals.sum(axis=1) == n).all()
+    for b in range(totals.shape[1]):
+        p = min(block, n - b * block) / n
+        assert abs(totals[:, b].mean() - n * p) < 4 * math.sqrt(n * p * (1 - p) / reps)
+        assert totals[:, b].var() == pytest.approx(n * p * (1 - p), rel=0.4)
+    got = {r.rep: (r.n, r.x, r.y) for r in B.bootstrap_sums(df, "id", reps, "s", "x", "y", block=block).collect()}
+    assert set(got) == set(range(reps))
+    for rep in range(0, reps, 37):
+        drawn = []
+        for b in range(totals.shape[1]):
+            size = min(block, n - b * block)
+            drawn += [rows[b * block + int(hashlib.md5(f"s|{rep}|{b}|{pos}".encode()).hexdigest()[:8], 16) % size] for pos in range(int(totals[rep, b]))]
+        assert got[rep] == (n, pytest.approx(sum(r[1] for r in drawn)), sum(r[2] or 0 for r in drawn))
+    assert B.bootstrap_sums(df.limit(0), "id", 5, "s", "x").count() == 0
