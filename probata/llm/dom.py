@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 from functools import lru_cache
 
@@ -24,9 +25,13 @@ SCOPE = frozenset("ul ol dl table td th body html div section article main aside
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
-@lru_cache(4096)
 def tokens(attributes: str) -> tuple[str, ...]:
     """Lower-case words of what names an element: of class, id, role, itemprop and label."""
+    return _tokens(attributes) if len(attributes) <= 1000 else _tokens.__wrapped__(attributes)  # long ones are not kept
+
+
+@lru_cache(4096)
+def _tokens(attributes: str) -> tuple[str, ...]:
     return tuple(dict.fromkeys(p.lower() for m in NAMED.finditer(attributes) for p in PIECE.findall(m[1] or m[2] or m[3] or "")))
 
 
@@ -59,8 +64,9 @@ class Reader:
     def __init__(self) -> None:
         self.page = Page()
         self.open: list[tuple[str, int]] = [("", self.page.add(-1, "#root"))]  # tag and node; a part of a line has its block's node
+        self.count: Counter[str] = Counter()  # of what is open, by tag
         self.run: list[str] = []
-        self.links = self.silent = self.anchors = 0
+        self.links = self.silent = 0
 
     def flush(self) -> None:
         if self.run:
@@ -73,7 +79,7 @@ class Reader:
         if piece and not self.silent:
             piece = html.unescape(piece) if "&" in piece else piece
             self.run.append(piece)
-            if self.anchors:
+            if self.count["a"]:
                 self.links += len(piece.strip())
 
     def pop(self, to: int) -> None:
@@ -82,16 +88,20 @@ class Reader:
             self.flush()
         for t, _ in self.open[to:]:
             self.silent -= t in SILENT
-            self.anchors -= t == "a"
+            self.count[t] -= 1
         del self.open[to:]
 
     def ended(self, tags: set[str], scope: frozenset[str]) -> None:
         """Close the outermost of ``tags`` that is open within the scope."""
         at = None
+        if not any(self.count[t] for t in tags):
+            return
         for i in range(len(self.open) - 1, 0, -1):
             t = self.open[i][0]
             if t in tags:
                 at = i
+                if len(tags) == 1:
+                    break  # no two of them are open in a scope
             elif t in scope:
                 break
         if at is not None:
@@ -109,7 +119,7 @@ class Reader:
                 self.ended({"a"}, SCOPE)
             if tag not in VOID:
                 self.open.append((tag, self.open[-1][1]))
-                self.anchors += tag == "a"
+                self.count[tag] += 1
             return
         self.flush()
         if tag in ENDS:
@@ -119,11 +129,12 @@ class Reader:
         node = self.page.add(self.open[-1][1], tag, attributes)
         if tag not in VOID:
             self.open.append((tag, node))
+            self.count[tag] += 1
             self.silent += tag in SILENT
 
     def end(self, tag: str) -> None:
-        if tag in ("body", "html", "br"):
-            return
+        if tag in ("body", "html", "br") or not self.count[tag]:
+            return None
         for i in range(len(self.open) - 1, 0, -1):
             t = self.open[i][0]
             if t == tag:

@@ -3,6 +3,7 @@
 import html
 import itertools
 import re
+import time
 
 import numpy as np
 import pytest
@@ -48,6 +49,14 @@ def test_blocks(markup, want):
     assert runs(markup) == want
 
 
+@pytest.mark.parametrize("piece", ["<b>", "<p>", "<a ", "<a 'x", "<b></div>", "<i><div></div>", "<!", "<ul><li>", "</p>", "<table><tr><td>", "<div class='a b'>", "<h1>x"])
+def test_odd_markup_takes_one_pass(piece):
+    """Hundreds of thousands of pieces that are never closed or never opened."""
+    began = time.process_time()
+    parse("<b>" * 20_000 + piece * 60_000)
+    assert time.process_time() - began < 10
+
+
 def test_decoding_is_the_best_of_all_sets():
     """Against all sets of nodes: children only under chosen parents, elements only above chosen runs."""
     g = np.random.default_rng(4)
