@@ -281,9 +281,8 @@ def blocks_of(open_rows: DataFrame, similarity: float, block_chars: int) -> Data
     return columns(small.withColumn("own", none), none, none).unionByName(columns(large, F.least("own", "other"), F.greatest("own", "other")))
 
 
-def unlinked(met: DataFrame, near: DataFrame, nodes: DataFrame, texts: DataFrame, similarity: float, block_chars: int) -> DataFrame:
-    """(node, center): links between texts of one centre that ``near`` doesn't connect."""
-    linked = components(near, "node", "center")
+def unlinked(met: DataFrame, linked: DataFrame, nodes: DataFrame, texts: DataFrame, similarity: float, block_chars: int) -> DataFrame:
+    """(node, center): links between texts of one centre that aren't in one component of ``linked``."""
     rows = met.unionByName(met.select("center").distinct().select(F.col("center").alias("node"), "center"))
     rows = rows.join(nodes.select("node", "n", "chars"), "node").join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
     rows = checkpoint(rows)
@@ -320,10 +319,14 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", take: int
     size = lambda i: nodes.select(F.col("node").alias(i), F.col("n").alias(f"n_{i}"))
     close = F.abs(F.col("n_node") - F.col("n_center")) <= F.floor(F.greatest("n_node", "n_center") * F.lit(1 - similarity) + F.lit(1e-9))
     pairs = met.join(size("node"), "node").join(size("center"), "center").where(close).select("node", "center")
-    near = checkpoint(verify(pairs, texts, similarity))
-    near = near.unionByName(checkpoint(unlinked(met, near, nodes, texts, similarity, block_chars)))
-
-    groups = nodes.select("node", "sha", "copy_of").join(components(near, "node", "center"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    linked = checkpoint(components(checkpoint(verify(pairs, texts, similarity)), "node", "center"))
+    more = checkpoint(unlinked(met, linked, nodes, texts, similarity, block_chars))
+    groups = nodes.select("node", "sha", "copy_of").join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    if not more.isEmpty():  # what these links join are components, of which there are far fewer than texts
+        side = lambda i: linked.select(F.col("node").alias(i), F.col("component").alias(f"of_{i}"))
+        ends = more.join(side("node"), "node", "left").join(side("center"), "center", "left")
+        joined = components(ends.select(F.coalesce("of_node", "node").alias("a"), F.coalesce("of_center", "center").alias("b")), "a", "b").toDF("component", "whole")
+        groups = groups.join(joined, "component", "left").select("node", "sha", "copy_of", F.coalesce("whole", "component").alias("component"))
     groups = checkpoint(groups)
     least = checkpoint(groups.groupBy("component").agg(F.min(F.when(F.col("copy_of").isNotNull(), F.struct("copy_of", "sha"))).alias("least")))
     return seen.select("id", "sha"), groups.join(least, "component").select("sha", "copy_of", F.col("least.copy_of").alias("class_id"), F.col("least.sha").alias("class_sha"))
