@@ -94,14 +94,14 @@ def _rows(lists: list[list[tuple[int, float]]]) -> Rows:
 
 
 class _Numbers(dict):
-    """Token -> number of its core among the terms, or -1; forgets all when it holds a million."""
+    """Token -> number of its core among the terms, or -1; forgets all when it holds 200,000."""
 
     def __init__(self, terms: dict[str, int]) -> None:
         super().__init__()
         self.terms = terms
 
     def __missing__(self, token: str) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 200_000:
             self.clear()
         n = self[token] = self.terms.get(core(token), -1)
         return n
