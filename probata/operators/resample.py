@@ -1,7 +1,8 @@
 """Bootstrap, paired tests and intervals with draws that any engine can repeat.
 
 Metrics that count draw how often each cell comes up (``bootstrap_counts``), at a cost that doesn't grow with the rows. Where
-sums over the rows drawn are wanted, rows are drawn inside of blocks (``bootstrap_sums``). Where the rows themselves are, draw
+sums over the rows drawn are wanted, rows are drawn inside of blocks (``bootstrap_sums``), or from all rows, as other engines
+do (``drawn_sums``). Where the rows themselves are, draw
 ``pos`` of replicate ``rep`` is the first 32 bits of md5(seed|rep|pos) modulo n, an index into rows numbered from 0
 (``bootstrap``, replicates x rows, for small tables).
 """
@@ -18,7 +19,12 @@ from ..functions.distributions import binomial_quantile, clopper_pearson, let, l
 from ..session import stored
 from .ranks import places
 
-__all__ = ["binomial_two_sided", "block_counts", "bootstrap", "bootstrap_counts", "bootstrap_sums", "clopper_pearson", "draws", "interval", "mcnemar", "numbered", "uniform", "verdict"]
+#: Numbered rows are broadcast to their draws up to this many.
+BROADCAST_ROWS = 200_000
+#: Draws that a task makes.
+TASK_DRAWS = 4_000_000
+
+__all__ = ["binomial_two_sided", "block_counts", "bootstrap", "bootstrap_counts", "bootstrap_sums", "clopper_pearson", "drawn_sums", "draws", "interval", "mcnemar", "numbered", "uniform", "verdict"]
 
 
 def draws(spark, reps: int, n: int, seed: str) -> DataFrame:
@@ -117,6 +123,23 @@ def bootstrap_sums(df: DataFrame, id: str, reps: int, seed: str, *values: str, b
     return out.groupBy("rep").agg(F.sum("n").alias("n"), *[F.sum(f"s{i}").alias(v) for i, v in enumerate(values)])
 
 
+def drawn_sums(df: DataFrame, id: str, reps: int, seed: str, *values: str) -> DataFrame:
+    """(rep, n, values): as ``bootstrap_sums``, but each draw is one of all rows: the first 32 bits of md5(seed|rep|0|pos) modulo their number.
+
+    Draws are made where they are summed if the rows, which are counted first, are few enough to be broadcast. Beyond that they
+    are dealt by row, as (rep, idx), and a task sums its own by replicate before these sums move. Nulls add nothing.
+    """
+    rows = stored(numbered(df.select(id, *[v for v in values if v != id]), id).select("idx", *[F.coalesce(F.col(v), F.lit(0)).alias(f"v{i}") for i, v in enumerate(values)]), "drawn-rows")
+    n = rows.count()
+    spark, size = df.sparkSession, max(n, 1)
+    d = spark.range(0, reps * n, 1, max(spark.sparkContext.defaultParallelism, -(-reps * n // TASK_DRAWS))).select(F.expr(f"id div {size}").alias("rep"), F.expr(f"id % {size}").alias("pos"))
+    h = F.md5(F.concat_ws("|", F.lit(seed), "rep", F.lit("0"), "pos").cast("binary"))
+    d = d.select(F.col("rep").cast("int").alias("rep"), (F.conv(F.substring(h, 1, 8), 16, 10).cast("long") % size).alias("idx"))
+    known = F.broadcast(rows) if n <= BROADCAST_ROWS else rows.hint("shuffle_hash")
+    out = d.join(known, "idx").groupBy("rep").agg(F.count("*").alias("n"), *[F.sum(f"v{i}").alias(v) for i, v in enumerate(values)])
+    return out.withColumn("rep", F.col("rep").cast("long"))
+
+
 def interval(df: DataFrame, *values: str) -> DataFrame:
     """(metric, low, median, high): 95 % percentile interval of the columns over replicates, nulls skipped."""
     q = [F.percentile(v, F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975))).alias(v) for v in values]

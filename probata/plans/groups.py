@@ -292,8 +292,8 @@ DRAWN = f"n AS (SELECT count(*) AS n FROM gated), rows_ AS (SELECT *, row_number
 
 @query("boot_index", f"WITH {PREDS}, {DRAWN} SELECT rep, count(*) AS n, CAST(sum(id) AS BIGINT) AS s FROM boot GROUP BY rep")
 def boot_index(spark, d):
-    """Draws of each replicate and the sum of the ids drawn; the twin draws from one block, as there is up to 65,536 rows."""
-    return B.bootstrap_sums(gated(spark, d).select("id"), "id", REPS, SEED, "id").select("rep", "n", F.col("id").alias("s"))
+    """Draws of each replicate and the sum of the ids drawn, each from all rows."""
+    return B.drawn_sums(gated(spark, d).select("id"), "id", REPS, SEED, "id").select("rep", "n", F.col("id").alias("s"))
 
 
 def counted_sql(cells: str, by: list[str]) -> str:

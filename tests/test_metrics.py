@@ -15,6 +15,7 @@ from probata.functions import distributions as D
 from probata.operators import metrics as M
 from probata.operators import resample as B
 from probata.operators.ranks import prefix_sums
+from probata.plans import groups as G
 
 
 def cells(spark, table):
@@ -245,3 +246,16 @@ def test_sums_of_drawn_rows(spark):
             drawn += [rows[b * block + int(hashlib.md5(f"s|{rep}|{b}|{pos}".encode()).hexdigest()[:8], 16) % size] for pos in range(int(totals[rep, b]))]
         assert got[rep] == (n, pytest.approx(sum(r[1] for r in drawn)), sum(r[2] or 0 for r in drawn))
     assert B.bootstrap_sums(df.limit(0), "id", 5, "s", "x").count() == 0
+
+
+@pytest.mark.parametrize("broadcast", [200_000, 0])
+def test_draws_of_more_rows_than_a_block(spark, tmp_path, monkeypatch, broadcast):
+    """``boot_index`` draws from all rows, also beyond 65,536 of them, by a broadcast or a shuffle."""
+    n, reps = 70_000, 2
+    spark.range(n).selectExpr("id * 3 as vec_id", "array(cast(0 as float)) as embedding", "cast(id % 4 as int) as label").write.parquet(str(tmp_path / "embeddings.parquet"))
+    monkeypatch.setattr(G, "REPS", reps)
+    monkeypatch.setattr(B, "BROADCAST_ROWS", broadcast, raising=False)
+    got = {r.rep: (r.n, r.s) for r in G.boot_index(spark, str(tmp_path)).collect()}
+    draw = lambda rep, pos: int(hashlib.md5(f"{G.SEED}|{rep}|0|{pos}".encode()).hexdigest()[:8], 16) % n
+    assert got == {rep: (n, sum(3 * draw(rep, pos) for pos in range(n))) for rep in range(reps)}
+    assert B.drawn_sums(spark.range(0), "id", 5, "s", "id").count() == 0
