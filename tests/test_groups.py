@@ -152,3 +152,23 @@ def test_accepted_pseudo_labels(spark):
     assert sorted(r.id for r in got.collect()) == [1, 9, 10]
     assert SE.accepted(df, train.limit(0), "id", "content", F.col("fine")).count() == 4
     assert SE.accepted(df.limit(0), train, "id", "content", F.col("fine")).count() == 0
+
+
+def test_components_of_few_edges_take_few_tasks(spark):
+    """Tasks follow the edges, not the partitions of shuffles: the driver keeps a record of every task."""
+    edges = spark.createDataFrame([(i, i // 2) for i in range(1, 200)], "src long, dst long").repartition(3)
+    own = {"spark.sql.shuffle.partitions": "31", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    known = {k: spark.conf.get(k) for k in own}
+    tracker, group = spark.sparkContext.statusTracker(), "components-few-edges"
+    try:
+        for k, v in own.items():
+            spark.conf.set(k, v)
+        spark.sparkContext.setJobGroup(group, group)
+        assert {r.component for r in components(edges).collect()} == {0}
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+        for k, v in known.items():
+            spark.conf.set(k, v)
+    stages = {s for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds}
+    done = [i.numCompletedTasks for i in map(tracker.getStageInfo, stages) if i]
+    assert done and sum(n > 4 for n in done) <= 3
