@@ -84,7 +84,8 @@ FILES = f"f AS (SELECT 'folder=class-' || lang AS label, doc_id % {PARTS} AS par
 def class_files(spark, d) -> str:
     """All documents as text files in folders named by language, in four parts."""
     docs = table(spark, d, "documents").select("text", "doc_id", (F.col("doc_id") % PARTS).alias("part"), F.concat_ws("-", F.lit("class"), F.col("lang")).alias("folder"))
-    rows = docs.repartition("part", "folder").sortWithinPartitions("part", "folder", "doc_id").drop("doc_id")
+    docs = docs.withColumn("part", F.coalesce(F.col("part").cast("string"), F.lit("none")))
+    rows = IO.dealt(docs, docs.groupBy("part", "folder").agg(F.count("*").alias("n")), ["part", "folder"], "n").sortWithinPartitions("part", "folder", "doc_id").drop("doc_id")
     rows.write.partitionBy("part", "folder").text(path := scratch(spark, "files"))
     return path
 
@@ -112,7 +113,7 @@ def src_bytes(spark, d):
 def snk_sums(spark, d):
     """A SHA256SUMS file, written and read back."""
     lines = IO.sums(hashed_files(spark, d).withColumn("path", F.concat_ws("/", F.lit(""), F.regexp_replace("name", "/", "|"))))
-    lines.coalesce(1).write.text(path := scratch(spark, "SHA256SUMS"))
+    lines.repartition(1).write.text(path := scratch(spark, "SHA256SUMS"))  # coalesce(1) would hash all files in one task
     read = spark.read.text(path)
     return read.select(F.regexp_replace(F.substring_index("value", "  ", -1), r"\|", "/").alias("name"), F.substring_index("value", "  ", 1).alias("sha256"))
 
