@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest, RandomForestClassifier
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -21,6 +22,9 @@ from ..functions import probs as P
 from . import metrics as M
 from .select import fit_temperature
 
+#: Rows whose Fourier features are computed at once.
+WAVE_ROWS = 1024
+
 
 @dataclass(frozen=True)
 class Scaler:
@@ -115,12 +119,19 @@ def fourier(x: str, dims: int, gamma: float, features: int, seed: int = 42) -> C
     g = np.random.Generator(np.random.PCG64(seed))
     waves, phases = g.normal(0, np.sqrt(2 * gamma), (dims, features)), g.uniform(0, 2 * np.pi, features)
 
-    @F.pandas_udf("array<double>")
-    def run(v):  # noqa: ANN001, ANN202
-        import pandas as pd
-
-        z = np.cos(np.stack(v.to_numpy()) @ waves + phases) * np.sqrt(2 / features) if len(v) else np.zeros((0, features))
-        return pd.Series(list(z))
+    @F.arrow_udf("array<double>")
+    def run(v: pa.Array) -> pa.Array:
+        if v.null_count:
+            raise ValueError("a row has no features")
+        x = v.flatten().to_numpy(zero_copy_only=False).reshape(len(v), -1)
+        z = np.empty((len(v), features))
+        for at in range(0, len(v), WAVE_ROWS):
+            part = z[at : at + WAVE_ROWS]
+            np.matmul(x[at : at + WAVE_ROWS], waves, out=part)
+            part += phases
+            np.cos(part, out=part)
+            part *= np.sqrt(2 / features)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(v) + 1, dtype=np.int32) * features), pa.array(z.ravel()))
 
     return run(F.col(x))
 

@@ -102,3 +102,19 @@ def test_terms_are_counted_in_place(spark, monkeypatch):
     assert export.count() == 4 and set(whole) == set(range(len(texts)))
     for r in TX.score(docs, export, intercepts, "id", "text").collect():
         assert r.p == pytest.approx(whole[r.id], abs=1e-12)
+
+
+def test_fourier_features_of_a_batch(spark):
+    """A batch's features are one block of numbers, not an object per row, and are those of the formula."""
+    import pyarrow as pa
+
+    run = T.fourier("x", 3, 0.5, 8, seed=1)
+    x = np.random.default_rng(2).normal(size=(2500, 3))
+    got = np.array([r.z for r in spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(x)], "i long, x array<double>").select("i", run.alias("z")).orderBy("i").collect()])
+    g = np.random.Generator(np.random.PCG64(1))
+    waves, phases = g.normal(0, np.sqrt(2 * 0.5), (3, 8)), g.uniform(0, 2 * np.pi, 8)
+    assert np.allclose(got, np.cos(x @ waves + phases) * np.sqrt(2 / 8), atol=1e-12)
+    plan = spark.range(1).selectExpr("array(cast(id as double), 0D, 0D) as x").select(run)._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and pa.__version__
+    with pytest.raises(Exception, match="no features"):
+        spark.createDataFrame([(None,)], "x array<double>").select(run).collect()
