@@ -170,6 +170,36 @@ def psi(counts: DataFrame, period: str, bin: str, first: str, second: str, guard
     return wide.crossJoin(F.broadcast(total)).agg(F.sum((a - b) * F.ln(a / b)).alias("psi"))
 
 
+#: Rows that a task of a shuffle takes in lineage. Names compress so well that tasks cut by shuffled bytes would hold millions of rows.
+TASK_ROWS = 250_000
+
+
+def _dealt(df: DataFrame, n: int, *keys: str) -> DataFrame:
+    """``df`` by hash of the keys in a partition per TASK_ROWS of ``n`` rows; as it is if that is one."""
+    parts = -(-n // TASK_ROWS)
+    return df.repartition(parts, *keys) if parts > 1 else df
+
+
+def _linked(a: DataFrame, b: DataFrame, mid: str = "mid") -> DataFrame:
+    """The join on ``mid`` of two stored tables. What shares a ``mid`` with more than TASK_ROWS rows of ``a`` (all that lies in a
+    country) is cut into pieces, each of which meets a copy of its rows of ``b``.
+
+    Rows are counted by hashes of ``mid``, 16 a task, so that counting moves nothing but these, and few rows of ``b`` are copied.
+    """
+    n = a.count() + b.count()
+    if n <= TASK_ROWS:
+        return a.join(b, mid)
+    bucket = F.pmod(F.xxhash64(mid), F.lit(16 * -(-n // TASK_ROWS)))
+    hot = a.groupBy(bucket.alias("__b")).agg(F.count("*").alias("n")).where(F.col("n") > TASK_ROWS).collect()  # a row per TASK_ROWS rows at most
+    if not hot:
+        return _dealt(a, n, mid).join(_dealt(b, n, mid).hint("merge"), mid)
+    cut = F.broadcast(a.sparkSession.createDataFrame([(r["__b"], -(-r.n // TASK_ROWS)) for r in hot], "__b long, __pieces long"))
+    pieces = F.coalesce("__pieces", F.lit(1))
+    a = a.withColumn("__b", bucket).join(cut, "__b", "left").withColumn("__piece", F.pmod(F.xxhash64("node", F.lit(1)), pieces)).drop("__b", "__pieces")
+    b = b.withColumn("__b", bucket).join(cut, "__b", "left").withColumn("__piece", F.explode(F.sequence(F.lit(0), pieces - 1))).drop("__b", "__pieces")
+    return _dealt(a, n, mid, "__piece").join(_dealt(b, n, mid, "__piece").hint("merge"), [mid, "__piece"]).drop("__piece")
+
+
 def ancestors(edges: DataFrame, start: Column, kind: str | None = None) -> DataFrame:
     """(node, source, depth[, kinds]): all ancestors of the nodes of the edges (child, parent) where ``start`` holds, each with its
     least depth and, if the edges have a column ``kind``, the kinds of edges on its shortest paths, in order.
@@ -177,25 +207,52 @@ def ancestors(edges: DataFrame, start: Column, kind: str | None = None) -> DataF
     Paths double: with all walks of exactly 2, 4, 8, ... edges, what lies up to twice as far is what was reached before and one
     such walk. So a chain takes as many rounds as its length has binary digits, and a round that reaches nothing new is the
     last, so cycles end. Edges without a child or parent are left out. A node on a cycle is its own ancestor.
+
+    A set of kinds is a bit per kind, 64 to a column, so that sets are merged without lists; the driver sees a row per kind.
+    What is joined is stored before it is grouped, and tasks are cut by its rows, so a task holds no more of them on larger tables.
     """
-    merged = F.array_sort(F.array_distinct(F.flatten(F.collect_set("kinds")))).alias("kinds")
-    own = F.array(F.col(kind)) if kind else F.array().cast("array<string>")
     rows = edges.where(F.col("child").isNotNull() & F.col("parent").isNotNull())
-    walks = stored(rows.select(F.col("child").alias("node"), F.col("parent").alias("source"), own.alias("kinds")).groupBy("node", "source").agg(merged), "lineage")
-    starts = stored(rows.where(start).select(F.col("child").alias("node")).distinct(), "lineage")
-    reached = [stored(walks.join(starts, "node", "left_semi").withColumn("depth", F.lit(1)), "lineage")]
+    names = [r[0] for r in rows.select(kind).distinct().orderBy(F.asc_nulls_last(kind)).collect()] if kind else []
+    words = [f"k{i}" for i in range(-(-len(names) // 64))]
+    if words:
+        place = F.array_position(F.array(*[F.lit(v) for v in names if v is not None]), F.col(kind)) if names[0] is not None else F.lit(None)
+        rows = rows.withColumn("__bit", F.coalesce(place - 1, F.lit(len(names) - 1)))
+        rows = rows.withColumns({w: F.expr(f"if(__bit div 64 = {i}, shiftleft(1L, cast(__bit % 64 as int)), 0L)") for i, w in enumerate(words)})
+    merged = [F.bit_or(w).alias(w) for w in words]
+    own = stored(rows.select(F.col("child").alias("node"), F.col("parent").alias("source"), *words, F.coalesce(start, F.lit(False)).alias("begins")), "lineage")
+    n = own.count()
+    walks = _dealt(own, n, "node", "source").groupBy("node", "source").agg(F.count("*").alias("n"), *merged).drop("n")
+    starts = _dealt(own.where("begins").select("node"), n, "node").distinct().withColumn("begins", F.lit(True))
+    # whether any edge of the node begins; carried along from here
+    walks = _dealt(walks, n, "node").join(starts.hint("merge") if n > TASK_ROWS else starts, "node", "left")
+    walks = stored(walks.withColumn("begins", F.coalesce("begins", F.lit(False))), "lineage")
+    reached = [stored(walks.where("begins").drop("begins").withColumn("depth", F.lit(1)), "lineage")]
     length = 1
+
+    def met(a: DataFrame, *more: str) -> DataFrame:
+        """``a`` and then a walk from where it ends, with the kinds of both."""
+        ends = a.withColumnRenamed("source", "mid")
+        on = walks.select(F.col("node").alias("mid"), "source", *[F.col(w).alias(f"__{w}") for w in words])
+        return _linked(ends, on).select("node", "source", *more, *[F.col(w).bitwiseOR(F.col(f"__{w}")).alias(w) for w in words])
+
     while not reached[-1].isEmpty():
         length *= 2
-        a, b = walks.select("node", F.col("source").alias("mid"), F.col("kinds").alias("k1")), walks.select(F.col("node").alias("mid"), "source", F.col("kinds").alias("k2"))
-        walks = stored(a.join(b, "mid").select("node", "source", F.array_union("k1", "k2").alias("kinds")).groupBy("node", "source").agg(merged), "lineage")
+        far = stored(met(walks, "begins"), "lineage")
+        walks = stored(_dealt(far, far.count(), "node", "source").groupBy("node", "source").agg(F.bool_or("begins").alias("begins"), *merged), "lineage")
+        if walks.isEmpty():
+            break
         known = reduce(DataFrame.unionByName, reached)
-        a = known.select("node", F.col("source").alias("mid"), F.col("kinds").alias("k1"), "depth")
-        b = walks.select(F.col("node").alias("mid"), "source", F.col("kinds").alias("k2"))
-        far = a.join(b, "mid").select("node", "source", F.array_union("k1", "k2").alias("kinds"), (F.col("depth") + length).alias("depth"))
-        far = far.unionByName(walks.join(starts, "node", "left_semi").withColumn("depth", F.lit(length)))
-        far = far.join(known.select("node", "source"), ["node", "source"], "left_anti")
-        far = far.groupBy("node", "source", "depth").agg(merged).groupBy("node", "source").agg(F.min_by("kinds", "depth").alias("kinds"), F.min("depth").alias("depth"))
+        far = met(known, "depth").withColumn("depth", F.col("depth") + length)
+        far = stored(far.unionByName(walks.where("begins").drop("begins").withColumn("depth", F.lit(length))), "lineage")
+        pairs = known.select("node", "source")
+        n = far.count() + pairs.count()
+        far = _dealt(far, n, "node", "source").join(_dealt(pairs, n, "node", "source").hint("merge") if n > TASK_ROWS else pairs, ["node", "source"], "left_anti")
+        far = far.groupBy("node", "source", "depth").agg(F.count("*").alias("n"), *merged)
+        far = far.groupBy("node", "source").agg(F.min("depth").alias("depth"), *[F.min_by(w, "depth").alias(w) for w in words])
         reached.append(stored(far, "lineage"))
-    out = reduce(DataFrame.unionByName, reached).select("node", "source", "depth", "kinds")
-    return out if kind else out.drop("kinds")
+    out = reduce(DataFrame.unionByName, reached)
+    if not kind:
+        return out.select("node", "source", "depth")
+    every = F.array(*[F.lit(v) for v in names]).cast(T.ArrayType(edges.schema[kind].dataType))
+    held = F.filter(every, lambda x, i: F.getbit(F.get(F.array(*words), F.floor(i / 64).cast("int")), i % 64) == 1) if words else every
+    return out.select("node", "source", "depth", held.alias("kinds"))

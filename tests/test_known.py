@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -142,6 +143,33 @@ def test_lineage_of_a_random_graph(spark):
     assert len(got) == len(want)
 
 
+def test_lineage_tasks_hold_few_rows(spark, monkeypatch):
+    """Files of what is grouped, one a task, hold no more rows on more edges, though all lies below one node."""
+    monkeypatch.setattr(L, "TASK_ROWS", 200, raising=False)
+    for n in (500, 3000):
+        edges = [(f"o{i}", f"c{i % 40}", "placed") for i in range(n)] + [(f"c{i}", "hub", "resides") for i in range(40)] + [("hub", "root", "lies")]
+        df = spark.createDataFrame(edges, "child string, parent string, kind string")
+        got = L.ancestors(df, F.lit(True), "kind").withColumn("file", F.input_file_name())
+        want = {(f"o{i}", p): (d, k) for i in range(n) for p, d, k in ((f"c{i % 40}", 1, ["placed"]), ("hub", 2, ["placed", "resides"]), ("root", 3, ["lies", "placed", "resides"]))}
+        want |= {(f"c{i}", p): (d, k) for i in range(40) for p, d, k in (("hub", 1, ["resides"]), ("root", 2, ["lies", "resides"]))} | {("hub", "root"): (1, ["lies"])}
+        rows = got.collect()
+        assert {(r.node, r.source): (r.depth, r.kinds) for r in rows} == want and len(rows) == len(want)
+        assert max(Counter(r.file for r in rows if r.depth > 1).values()) <= 400
+    a = spark.createDataFrame([(f"o{i}", "hub") for i in range(5000)] + [(f"p{i}", f"q{i}") for i in range(100)], "node string, mid string")
+    met = L._linked(a, spark.createDataFrame([("hub", "root"), ("hub", "top"), ("q7", "x")], "mid string, source string")).withColumn("task", F.spark_partition_id()).collect()
+    assert {(r.node, r.source) for r in met} == {(f"o{i}", s) for i in range(5000) for s in ("root", "top")} | {("p7", "x")} and len(met) == 10_001
+    assert max(Counter(r.task for r in met).values()) <= 2500
+
+
+def test_lineage_of_many_kinds(spark):
+    """150 kinds and none: what is on the path, in order."""
+    kinds = [f"k{i:03}" for i in range(150)]
+    e = spark.createDataFrame([("a", "b", k) for k in kinds[:70]] + [("a", "b", None)] + [("b", "c", k) for k in kinds[60:]], "child string, parent string, kind string")
+    got = {(r.node, r.source): (r.depth, r.kinds) for r in L.ancestors(e, F.col("kind") == "k000", "kind").collect()}
+    assert got == {("a", "b"): (1, [*kinds[:70], None]), ("a", "c"): (2, [*kinds, None])}
+    assert L.ancestors(e.where("false"), F.lit(True), "kind").collect() == []
+
+
 def test_drift_inside_of_fields(spark):
     """Every kind of change at depth two, in structs, lists and maps."""
     old = StructType.fromDDL("a struct<b: struct<c: int, d: string, e: int, f: int>, g: array<struct<h: int, i: float>>>, m map<string, struct<x: int>>, k array<int>, t int")
